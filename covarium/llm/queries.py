@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from covarium.llm import rules
+from covarium.llm import bpe, merkle, mixing, rules, simhash, substring, wordpiece
 
 QUERIES = {
+    "op1_bpe": bpe.query,
+    "op2_mixing": mixing.query,
+    "op5_substring_dedup": substring.query,
+    "op6_merkle_fingerprints": merkle.query,
     "op7_quality_rules": rules.query,
+    "op8_token_counts": wordpiece.query,
+    "op9_simhash": simhash.query,
 }
 ORACLES = {
+    "op2_mixing": mixing.SQL,
+    "op5_substring_dedup": substring.SQL,
     "op7_quality_rules": rules.SQL,
 }
