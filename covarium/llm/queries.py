@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from covarium.llm import bpe, merkle, mixing, rules, simhash, substring, wordpiece
+from covarium.llm import bpe, langid, merkle, mixing, quality_model, rules, simhash, substring, toxicity, wordpiece
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_mixing": mixing.query,
+    "op3_quality_classifier": quality_model.query,
+    "op4_language_id": langid.query,
     "op5_substring_dedup": substring.query,
     "op6_merkle_fingerprints": merkle.query,
     "op7_quality_rules": rules.query,
     "op8_token_counts": wordpiece.query,
     "op9_simhash": simhash.query,
+    "op10_toxicity": toxicity.query,
 }
 ORACLES = {
     "op2_mixing": mixing.SQL,
