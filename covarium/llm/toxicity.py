@@ -189,8 +189,8 @@ class Network:
         return g, dxs[0] + dxs[1, ::-1], logit
 
 
-#: Weight decay by parameter; the learned vectors, which could memorize single documents, decay fastest.
-DECAY = {"W": 1e-4, "U": 1e-4, "EW": 3e-3, "EC": 3e-3}
+#: Weight decay by parameter.
+DECAY = dict.fromkeys(("W", "U", "EW", "EC"), 1e-4)
 
 
 class Adam:
