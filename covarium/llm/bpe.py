@@ -31,7 +31,7 @@ from covarium.llm.common import append
 SHORT = 128
 NO_RANK = 1 << 60
 #: Words remembered by one Python worker; the least recently used goes first.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 
 #: The pattern by which byte-level pre-tokenizers cut a text; white space is Unicode's property of that name.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -207,10 +207,28 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> Data
     return append(df, [ids_col], _decode, "decoded string", args=(df.sparkSession.sparkContext.broadcast(_spec(path)),))
 
 
+def _round_trip(texts: list[bytes], spec) -> list:
+    ids, back = [], []
+    c = codec(spec.value)
+    for t in texts:
+        x = np.array(c.encode(t.decode()), np.int32)
+        ids.append(x)
+        back.append(c.decode(x.tolist()))
+    ends = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=ends[1:])
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(back, pa.binary()).cast(pa.string())]
+
+
+def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """`df` with `ids` and `decoded`, which is decoded from these ids: one pass and one worker where both are wanted."""
+    return append(df, [text_col], _round_trip, "ids array<int>, decoded string", drop=drop, args=(df.sparkSession.sparkContext.broadcast(_spec(path)),))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from covarium.llm.common import documents
 
-    both = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), drop=("text",)))
+    both = round_trip(documents(spark, sf_dir).select("doc_id", "text"), drop=("text",))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -6,6 +6,8 @@ these six, so operators take the text as UTF-8 bytes and need no regular express
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -18,8 +20,8 @@ from pyspark.sql.types import StructField, StructType
 from covarium.session import ship
 
 #: Rows and bytes of one Arrow batch: whole texts can be long, so a batch is bounded by bytes as well.
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -47,6 +49,13 @@ def crc_fold(id_col: str, k: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(k)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process outlives its task, and what it keeps adds to the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def append(df: DataFrame, inputs: list[str], fn: Callable[..., Iterable], schema: str | StructType, drop: tuple[str, ...] = (), args: tuple = ()) -> DataFrame:
     """The rows of `df`, without the columns in `drop`, plus the columns of `schema`, computed by Arrow batches.
 
@@ -78,6 +87,8 @@ def append(df: DataFrame, inputs: list[str], fn: Callable[..., Iterable], schema
             new = [c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(new, list(target)[len(stay) :], strict=True)]
             old = [b.column(i).cast(target.field(k).type) for k, i in enumerate(stay)]
             yield pa.RecordBatch.from_arrays([*old, *new], schema=target)
+            del b, c, lists, new, old
+        give_back()
 
     out = inner.mapInArrow(run, kind)
     return out.toDF(*[names[i] for i in stay], *[f.name for f in schema])

@@ -37,6 +37,8 @@ def test_bpe_matches_the_public_library(spark):
         ids = t.encode(x or "", add_special_tokens=False).ids
         assert got[i].ids == ids, (i, x)
         assert got[i].decoded == t.decode(ids, skip_special_tokens=False)
+    both = {r.doc_id: (r.ids, r.decoded) for r in bpe.round_trip(table(spark, texts)).collect()}
+    assert both == {i: (r.ids, r.decoded) for i, r in got.items()}
 
 
 def test_bpe_pre_tokenizer_on_every_character():
