@@ -38,7 +38,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text")))
+    both = bpe.round_trip(docs.select("doc_id", "source", "lang", "text"))
     return both.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
