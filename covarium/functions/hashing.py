@@ -38,7 +38,7 @@ def ngram_buckets_py(word: str, minn: int, maxn: int, buckets: int, mode: str =
 def codes(text: Column, mode: str = "byte") -> Column:
     """The numbers that are hashed: bytes, or code points."""
     if mode == "codepoint":
-        return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("bigint"))
+        return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint"))
     hexes = F.hex(F.encode(text, "UTF-8"))
     return F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(text), F.lit(1))), lambda i: F.conv(F.substring(hexes, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint"))
 

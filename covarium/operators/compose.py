@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covarium.functions.hashing import ngram_buckets
-from covarium.functions.vectors import MIN_NORM, finite_or_zero, matvec, norm, normalized
+from covarium.functions.vectors import MIN_NORM, divide, finite_or_zero, matvec, norm, normalized
 from covarium.sources.model_store import Model
 
 
@@ -71,7 +71,7 @@ def combined(queries: DataFrame, model: Model, mode: str = "byte") -> DataFrame:
         tokens = q.select("qid", F.explode(g).alias("token")).join(model.words(g).select("token", "idx"), "token").join(model.matrix(g), F.col("idx") == F.col("row_idx"))
         s = sum_vectors(tokens.select("qid", "vec"), ["qid"]).select("qid", F.col("vec").alias(f"_{g}"), F.col("n").cast("double").alias(f"_n_{g}"))
         out = out.join(s, "qid", "left")
-        parts.append(F.coalesce(F.transform(f"_{g}", lambda x, g=g: x / F.col(f"_n_{g}")), zeros(m[f"d_{g}"])))
+        parts.append(F.coalesce(divide(F.col(f"_{g}"), F.col(f"_n_{g}")), zeros(m[f"d_{g}"])))
     z = out.withColumn("_z", F.concat(*parts)).join(F.broadcast(projection(model)))
     z = z.withColumn("vec", normalized(matvec(F.col("W"), F.col("_z"))))
     return z.select(*queries.columns, "vec")

@@ -15,7 +15,11 @@ GROUPS = ("word", "patient", "encounter")
 def token_counts(samples: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
     """(group_name, token, freq) over arrays of tokens, all groups in one aggregation. Groups are rows, so a fourth group is one more entry of `columns`."""
     columns = columns or {"word": "words", "patient": "patient", "encounter": "encounter"}
-    each = [F.transform(F.col(c), lambda t, g=g: F.struct(F.lit(g).alias("group_name"), t.alias("token"))) for g, c in columns.items()]
+
+    def tagged(group: str, column: str) -> Column:
+        return F.transform(F.col(column), lambda t: F.struct(F.lit(group).alias("group_name"), t.alias("token")))
+
+    each = [tagged(g, c) for g, c in columns.items()]
     return samples.select(F.explode(F.concat(*each)).alias("t")).groupBy("t.group_name", "t.token").agg(F.count(F.lit(1)).alias("freq"))
 
 

@@ -55,7 +55,7 @@ def missing_files(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_id, value): lines with a stable number made of file name and offset order."""
+    """(value): the lines that are not empty."""
     return spark.read.text(path).filter(F.length("value") > 0)
 
 
