@@ -8,8 +8,8 @@ has them are opened into their full windows, which are compared one by one. `lon
 
 So anchors (about one for 13 words) are all that is gathered for the whole corpus, and single windows only around the ends of repeated passages.
 
-Window hashes are polynomials modulo 2**64 over XXH64 values of the words; a window's identity is two of them with independent bases (128 bits), so
-that no two of 10**15 windows are expected to clash. Texts are never cut into blocks: every position is looked at.
+Window hashes are polynomials modulo 2**64 over XXH64 values of the words; a window's identity is two of them with independent bases (128 bits), and so is
+a cell's (its anchor and its words), so that no two of 10**15 are expected to clash. Texts are never cut into blocks: every position is looked at.
 
 Defined results: null and empty texts have no words; a text shorter than the window keeps all; of equal windows those in the document with the smallest id stay (a
 window repeated only inside one document stays); rows that share a doc_id count as one document and are judged alike; empty tables give
@@ -69,7 +69,7 @@ class Rolling:
             return x ^ (x >> np.uint64(32))
 
 
-def anchors(h: np.ndarray, window: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Rolling]:
+def anchors(h: np.ndarray, window: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each cell of a text with at least one full window: the anchor's hash and the first and last start of its full windows."""
     roll = Rolling(h, BASES[0])
     n = len(h) - window + 1
@@ -79,7 +79,7 @@ def anchors(h: np.ndarray, window: int, half: int) -> tuple[np.ndarray, np.ndarr
     pick = np.argmin(np.lib.stride_tricks.sliding_window_view(short, span), axis=1) + np.arange(n)
     lo = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
     hi = np.append(lo[1:], n) - 1
-    return short[pick[lo]], lo, hi, roll
+    return short[pick[lo]], lo, hi
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -87,7 +87,7 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(texts: list[bytes], window: int, half: int) -> list[list]:
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[], [], [], []]
     for t in texts:
         words = t.split()
         if len(words) < window:
@@ -95,18 +95,16 @@ def _anchor_rows(texts: list[bytes], window: int, half: int) -> list[list]:
                 c.append([])
             continue
         h = word_hashes(words)
-        a, lo, hi, roll = anchors(h, window, half)
-        ends = hi + window
-        two = Rolling(h, BASES[1])
-        for c, v in zip(out, (_signed(a), _signed(roll.of(lo, ends)), _signed(two.of(lo, ends)), lo, hi), strict=True):
+        a, lo, hi = anchors(h, window, half)
+        for c, v in zip(out, (_signed(a), _signed(Rolling(h, BASES[1]).of(lo, hi + window)), lo, hi), strict=True):
             c.append(v)
     return out
 
 
 def cells(docs: DataFrame, window: int, half: int) -> DataFrame:
-    """(doc_id, anchor, c1, c2, lo, hi): one row for each cell; c1 and c2 are the hash of all the words of the cell's windows."""
-    lists = append(docs.select("doc_id", "text"), ["text"], _anchor_rows, "a array<long>, c1 array<long>, c2 array<long>, lo array<int>, hi array<int>", drop=("text",), args=(window, half))
-    return lists.select("doc_id", F.inline(F.arrays_zip("a", "c1", "c2", "lo", "hi"))).withColumnRenamed("a", "anchor")
+    """(doc_id, anchor, cell, lo, hi): one row for each cell; `cell` is the hash of all the words of the cell's windows, by the other base than the anchor's."""
+    lists = append(docs.select("doc_id", "text"), ["text"], _anchor_rows, "anchor array<long>, cell array<long>, lo array<int>, hi array<int>", drop=("text",), args=(window, half))
+    return lists.select("doc_id", F.inline(F.arrays_zip("anchor", "cell", "lo", "hi")))
 
 
 def _window_rows(texts: list[bytes], lows: list[list[int]], highs: list[list[int]], window: int) -> list[list]:
@@ -124,10 +122,10 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, spans): for each document with repeated windows the runs of starts [lo, hi] of windows that also start in a document with a smaller id."""
     half = window // 2
     found = materialize(cells(docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()), window, half), "cells")
-    kinds = found.groupBy("anchor", "c1", "c2").agg(F.min("doc_id").alias("first"))
+    kinds = found.groupBy("anchor", "cell").agg(F.min("doc_id").alias("first"))
     # level one: anchors whose windows are alike everywhere, or occur in one document alone, end here
     level = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_kinds"))
-    both = found.join(kinds.join(level, "anchor"), ["anchor", "c1", "c2"])
+    both = found.join(kinds.join(level, "anchor"), ["anchor", "cell"])
     # level two: a cell that an earlier document has as well is settled; where cells differ around a shared anchor, those of the first document are opened
     decided = materialize(both.filter("doc_id > first OR n_kinds > 1").select("doc_id", "lo", "hi", (F.col("doc_id") > F.col("first")).alias("whole")), "decided")
     whole = decided.filter("whole").select("doc_id", "lo", "hi")
