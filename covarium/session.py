@@ -71,4 +71,11 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{checkpoint_dir(spark)}/covarium-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._covarium_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table from `materialize` that nothing reads any more, not even lazily."""
+    _delete(df.sparkSession, df._covarium_path)
