@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covarium.llm.common import append
-from covarium.session import materialize
+from covarium.session import materialize, release
 
 WINDOW = 50
 
@@ -128,6 +128,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     both = found.join(kinds.join(level, "anchor"), ["anchor", "cell"])
     # level two: a cell that an earlier document has as well is settled; where cells differ around a shared anchor, those of the first document are opened
     decided = materialize(both.filter("doc_id > first OR n_kinds > 1").select("doc_id", "lo", "hi", (F.col("doc_id") > F.col("first")).alias("whole")), "decided")
+    release(found)
     whole = decided.filter("whole").select("doc_id", "lo", "hi")
     spans = decided.filter("NOT whole").groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     again = docs.select("doc_id", "text").join(spans, "doc_id")
