@@ -195,7 +195,7 @@ def run_round(samples: DataFrame, params: Params, lexicon, cfg: Config, epoch: i
 
     schema = "matrix string, row long, vec array<double>"
     got = samples.select("sample", "words", "patient", "encounter").mapInPandas(task, schema).repartition("matrix", "row").mapInPandas(combine, schema)
-    rows = {(r.matrix, r.row): np.array(r.vec) for r in got.toLocalIterator()}
+    rows = {(r.matrix, r.row): np.array(r.vec) for r in got.collect()}  # at most the model's own rows
     sent.unpersist()
     loss, preds, n, tasks = rows.pop(("tasks", 0), np.zeros(4))
     return {k: (v, int(tasks)) for k, v in rows.items()}, float(loss), int(preds), int(n)
@@ -216,8 +216,9 @@ def fit(lines: DataFrame, cfg: Config | None = None, value: str = "value", key:
     """
     cfg = cfg or Config()
     spark = lines.sparkSession
-    vocabs = vocabularies(token_counts(counting_samples(lines, value)), cfg.threshold)
-    word = huffman.with_codes(vocabs["word"]).orderBy("idx").toPandas()  # bounded by the vocabulary, as the tree is
+    vocabs = vocabularies(materialize(token_counts(counting_samples(lines, value)), "counts"), cfg.threshold)
+    vocabs["word"] = materialize(huffman.with_codes(vocabs["word"]), "coded")
+    word = vocabs["word"].orderBy("idx").toPandas()  # bounded by the vocabulary, as the tree is
     if not len(word):
         raise ValueError("the vocabulary is empty: no word reaches the threshold")
     patient, encounter = ([r.token for r in vocabs[g].orderBy("idx").collect()] for g in ("patient", "encounter"))
@@ -251,7 +252,9 @@ def fit(lines: DataFrame, cfg: Config | None = None, value: str = "value", key:
     v = None
     empty = F.lit(None).cast("array<int>")
     for g in ("word", "patient", "encounter"):
-        t = huffman.with_codes(vocabs[g]) if g == "word" else vocabs[g].withColumns({"code": empty, "path": empty})
+        t = vocabs[g]
+        if g != "word":
+            t = t.withColumns({"code": empty, "path": empty})
         t = t.select(F.lit(g).alias("group_name"), "idx", "token", "freq", "code", "path")
         v = t if v is None else v.unionByName(t)
     out = spark.createDataFrame(metrics, "epoch int, avg_loss double, predictions long, seconds double, lr double")

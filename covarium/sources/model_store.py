@@ -9,7 +9,7 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,8 +89,10 @@ def from_binary(spark: SparkSession, path: str) -> Model:
 def matrix_table(spark: SparkSession, name: str, a: np.ndarray, rows: np.ndarray | None = None) -> DataFrame:
     if not len(a):
         return spark.createDataFrame([], MATRIX)
-    p = pd.DataFrame({"matrix": name, "row_idx": np.arange(len(a)) if rows is None else rows, "vec": list(a.astype(np.float32))})
-    return spark.createDataFrame(p, MATRIX)
+    n, d = a.shape
+    vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.ascontiguousarray(a, np.float32).reshape(-1)))
+    ids = np.arange(n) if rows is None else rows
+    return spark.createDataFrame(pa.table({"matrix": pa.array([name] * n), "row_idx": pa.array(ids, pa.int64()), "vec": vec}), MATRIX)
 
 
 def to_binary(model: Model) -> bytes:
