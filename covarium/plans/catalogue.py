@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from covarium.functions import categories, text, vectors
 from covarium.functions.hashing import ngram_buckets, ngram_texts, portable_int
 from covarium.operators import compose, covariates, huffman, resample, search, sentences, skipgram, training, uncertainty, vocabulary
+from covarium.session import spread
 from covarium.sources import corpus, model_store
 
 QUERIES: dict = {}
@@ -32,7 +33,7 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", text.letter_tokens(F.lower("text"), True).alias("words"))
+    return spread(t(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.letter_tokens(F.lower("text"), True).alias("words"))
 
 
 def _word_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +230,8 @@ s AS (
 
 
 def _sentence_rows(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", "lang", "source", text.sentences(F.col("text"), ascii_only=True).alias("Sentences")).filter(F.size("Sentences") > 0)
+    docs = spread(t(spark, d, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    return docs.select("doc_id", "lang", "source", text.sentences(F.col("text"), ascii_only=True).alias("Sentences")).filter(F.size("Sentences") > 0)
 
 
 @query(f"WITH {S_SQL} SELECT doc_id, unnest(generate_series(0, len(ss) - 1)) AS pos, unnest(ss) AS sentence FROM s WHERE len(ss) > 0")

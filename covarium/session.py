@@ -76,6 +76,12 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` over as many partitions as there are cores, if a scan gives fewer (a file of one row group); as it is otherwise, so that large inputs aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table from `materialize` that nothing reads any more, not even lazily."""
     _delete(df.sparkSession, df._covarium_path)

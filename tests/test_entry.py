@@ -64,6 +64,6 @@ def test_other_queries_run(spark, name):
 
 def test_plans(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<text:string>" in plan(catalogue._word_counts(spark, SF))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(catalogue._word_counts(spark, SF))
     assert "TakeOrderedAndProject" in plan(catalogue.QUERIES["knn_words"](spark, SF))
     assert "WindowGroupLimit" in plan(catalogue.QUERIES["knn_batch"](spark, SF))
