@@ -14,6 +14,7 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx", partition
     Rows are dealt out by ranges of the order; each range numbers its own rows, and only one count for each range meets in one task.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = materialize(df, "unranked")  # finding the ranges reads the rows once more
     dealt = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -14,7 +14,8 @@ from covarium.operators.ranking import dense_index
 
 def explode_sentences(table: DataFrame) -> DataFrame:
     """Every sentence once, with its position from 0."""
-    return table.select(*[c for c in table.columns if c != "Sentences"], F.posexplode("Sentences").alias("pos", "sentence"))
+    # the outer form keeps the optimizer from testing the arrays' sizes first, which would compute them twice
+    return table.select(*[c for c in table.columns if c != "Sentences"], F.posexplode_outer("Sentences").alias("pos", "sentence")).filter(F.col("pos").isNotNull())
 
 
 def draw(n: Column, *keys: Column) -> Column:

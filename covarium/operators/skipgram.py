@@ -16,14 +16,18 @@ def window(size: int, *keys: Column) -> Column:
 def pairs(samples: DataFrame, keys: list[str], size: int = 5, seed: int = 42, words: str = "words") -> DataFrame:
     """(keys, pos, ctx_pos, word, context) for each centre and each other word at most its drawn window away.
 
-    Positions are looked up in the sample's own array, so there is no self-join; rows are the pairs themselves.
+    Positions are looked up in the sample's own array before anything is exploded, so there is no self-join and no row carries a whole text.
     """
-    n = F.size(words)
-    centres = samples.select(*keys, words, F.posexplode(words).alias("pos", "word"))
-    win = window(size, F.lit(seed), *[F.col(k) for k in keys], F.col("pos"))
-    c = centres.withColumn("_win", win)
-    around = F.filter(F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("_win")), F.least(n - 1, F.col("pos") + F.col("_win"))), lambda o: o != F.col("pos"))
-    return c.withColumn("ctx_pos", F.explode(around)).select(*keys, "pos", "ctx_pos", "word", F.element_at(F.col(words), F.col("ctx_pos") + 1).alias("context"))
+    w, n = F.col(words), F.size(words)
+
+    def of(s: Column) -> Column:
+        pos = s["pos"]
+        around = F.filter(F.sequence(F.greatest(F.lit(0), pos - s["win"]), F.least(n - 1, pos + s["win"])), lambda o: o != pos)
+        return F.transform(around, lambda o: F.struct(pos.alias("pos"), o.alias("ctx_pos"), F.get(w, pos).alias("word"), F.get(w, o).alias("context")))
+
+    drawn = F.transform(F.sequence(F.lit(0), n - 1), lambda pos: F.struct(pos.alias("pos"), window(size, F.lit(seed), *[F.col(k) for k in keys], pos).alias("win")))
+    every = F.flatten(F.transform(drawn, of))
+    return samples.select(*keys, F.explode_outer(F.when(n > 0, every)).alias("p")).filter(F.col("p").isNotNull()).select(*keys, "p.*")
 
 
 def kept(pairs_: DataFrame, vocab: DataFrame, keys: list[str], seed: int = 42, epoch: int = 0) -> DataFrame:

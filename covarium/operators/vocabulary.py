@@ -20,7 +20,8 @@ def token_counts(samples: DataFrame, columns: dict[str, str] | None = None) -> D
         return F.transform(F.col(column), lambda t: F.struct(F.lit(group).alias("group_name"), t.alias("token")))
 
     each = [tagged(g, c) for g, c in columns.items()]
-    return samples.select(F.explode(F.concat(*each)).alias("t")).groupBy("t.group_name", "t.token").agg(F.count(F.lit(1)).alias("freq"))
+    # the outer form keeps the optimizer from testing the arrays' sizes first, which would compute them twice
+    return samples.select(F.explode_outer(F.concat(*each)).alias("t")).filter(F.col("t").isNotNull()).groupBy("t.group_name", "t.token").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def indexed(counts: DataFrame, threshold: int = 1, partitions: int | None = None) -> DataFrame:

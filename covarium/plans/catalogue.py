@@ -231,7 +231,7 @@ s AS (
 
 def _sentence_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(t(spark, d, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
-    return docs.select("doc_id", "lang", "source", text.sentences(F.col("text"), ascii_only=True).alias("Sentences")).filter(F.size("Sentences") > 0)
+    return docs.select("doc_id", "lang", "source", text.sentences(F.col("text"), ascii_only=True).alias("Sentences"))
 
 
 @query(f"WITH {S_SQL} SELECT doc_id, unnest(generate_series(0, len(ss) - 1)) AS pos, unnest(ss) AS sentence FROM s WHERE len(ss) > 0")
@@ -247,7 +247,7 @@ def explode_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {S_SQL} SELECT count(DISTINCT source) AS n_patients, count(*) AS n_notes, sum(len(ss))::BIGINT AS n_sentences FROM s WHERE len(ss) > 0")
 def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.totals(_sentence_rows(spark, d).withColumnRenamed("source", "SUBJECT_ID"))
+    return sentences.totals(_sentence_rows(spark, d).filter(F.size("Sentences") > 0).withColumnRenamed("source", "SUBJECT_ID"))
 
 
 @query()
