@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 the columns of documents.
 
 1. quality_rules: documents that the production policy rejects go.
-2. simhash_near_dedup: of each component of fingerprints one document stays, that with the smallest id.
+2. simhash_near_dedup: of each component of documents whose five-word shingles have a Jaccard similarity of 0.8 or more one stays, that with the smallest id.
 3. substring_dedup: words in passages of 50 words that also start in a document with a smaller id go; documents left without a word go.
 4. source_mixing: each document comes as often (0, 1 or 2 times) as the mix of its source takes it.
 5. bpe: token ids of every text, their number, and the text that they decode to compared with the text.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covarium.llm import bpe, mixing, rules, simhash, substring
+from covarium.llm import bpe, mixing, nearcopy, rules, substring
 from covarium.session import materialize
 
 
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return nearcopy.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
