@@ -4,7 +4,8 @@ The vocabulary is a trie with two roots, one for pieces that begin a word and on
 node, the automaton takes that node's failure link: the node reached after the greedy pieces of the text read so far are popped. How many pieces each link
 pops is computed with the trie, so a word costs one step for each character and each link, never more than two for each character, and no piece is built.
 
-A word with a part that no piece covers counts as one unknown token, as greedy word-piece tokenizers count it.
+An empty piece may begin a word: where no longer piece does, it counts as one and the word goes on at the inner root. The blank alone of a byte-level vocabulary
+is such a piece, so no word is unknown there. Without it, a word with a part that no piece covers counts as one unknown token, as greedy word-piece tokenizers count it.
 
 Defined results: null and empty texts have no words and no tokens; very long words are linear; every row is counted alone; extra columns pass through.
 """
@@ -27,7 +28,7 @@ DEAD = -1
 
 
 class Automaton:
-    """`initial`: pieces that begin a word; `inner`: pieces that continue it. Both as bytes."""
+    """`initial`: pieces that begin a word, among them perhaps the empty one; `inner`: pieces that continue it. Both as bytes."""
 
     def __init__(self, initial: Iterable[bytes], inner: Iterable[bytes]):
         self.edges: list[dict[int, int]] = [{}, {}]
@@ -42,7 +43,7 @@ class Automaton:
                         self.edges.append({})
                         self.piece.append(False)
                     node = nxt
-                if p:
+                if p or root == 0:
                     self.piece[node] = True
         self.link = [DEAD] * len(self.edges)
         self.pops = [0] * len(self.edges)
@@ -51,6 +52,8 @@ class Automaton:
 
     def _links(self) -> None:
         """Breadth first. A node that is a piece pops it whole and goes on at the inner root; another node follows its parent's links until the last character fits."""
+        if self.piece[0]:
+            self.link[0], self.pops[0] = 1, 1
         todo = deque((0, b, n) for b, n in self.edges[0].items())
         todo.extend((1, b, n) for b, n in self.edges[1].items())
         while todo:
@@ -89,7 +92,7 @@ def pieces_of(spec: str) -> tuple[list[bytes], list[bytes]]:
     """Word pieces from a byte-level vocabulary file: tokens with a leading blank begin a word, the others continue one."""
     letters = byte_letters()
     tokens = [bytes(letters[c] for c in t) for t in json.loads(spec)["model"]["vocab"]]
-    return [t[1:] for t in tokens if len(t) > 1 and t[:1] == b" "], [t for t in tokens if t[:1] != b" "]
+    return [t[1:] for t in tokens if t[:1] == b" "], [t for t in tokens if t[:1] != b" "]
 
 
 @lru_cache(4)
