@@ -98,8 +98,13 @@ def measure(texts: list[bytes]) -> list[tuple[int, ...]]:
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, all measurements and the bitmask `failed`."""
     m = append(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["text"], measure, LEDGER, drop=("text",))
+    return m.withColumn("failed", failures())
+
+
+def failures() -> Column:
+    """The bitmask of the rules that a row of measurements fails."""
     bits = sum((F.when(F.expr(f"({cond})"), F.lit(BITS[name])).otherwise(F.lit(0)) for name, cond in RULES.items()), F.lit(0))
-    return m.withColumn("failed", bits.cast("long"))
+    return bits.cast("long")
 
 
 def kept(policy: str = PRODUCTION, failed: str = "failed") -> Column:
@@ -125,11 +130,7 @@ def filter_documents(docs: DataFrame, policy: str = PRODUCTION, text_col: str =
     fields = LEDGER.split(", ")
     tagged = append(docs.toDF(*[f"_d{i}" for i in range(len(names))]), [f"_d{names.index(text_col)}"], measure, LEDGER)
     assert len(tagged.columns) == len(names) + len(fields)
-    good = F.lit(True)
-    for name, cond in RULES.items():
-        if BITS[name] & POLICIES[policy]:
-            good = good & ~F.expr(f"({cond})")
-    return tagged.filter(good).select(*[F.col(f"_d{i}") for i in range(len(names))]).toDF(*names)
+    return tagged.withColumn("failed", failures()).filter(kept(policy)).select(*[F.col(f"_d{i}") for i in range(len(names))]).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
