@@ -12,8 +12,8 @@ for all, found by repeated sums over the table of sources.
 Hot sources: sums are combined before the shuffle, refined rows are dealt by source and bucket, and thresholds reach the rows by a broadcast join only while there are at most
 `BROADCAST_SOURCES` of them, else by a join salted with bits of the number.
 
-Defined results: a null text has size 0; a null source is a source of its own; documents of size 0 take nothing; rows repeated with one id share one
-number and are taken or left together; equal numbers likewise; empty tables give empty results; extra columns pass through `mix`.
+Defined results: a null text has size 0; a null source is a source of its own; documents of size 0 take nothing; rows repeated with one id (or without
+id, with one text) share one number and are taken or left together; equal numbers likewise; empty tables give empty results; extra columns pass through `mix`.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covarium.llm.common import append
+from covarium.llm.common import append, text_key
 from covarium.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -31,9 +31,10 @@ BROADCAST_SOURCES = 10_000
 SALTS = 32
 
 
-def number(id_col: str = "doc_id") -> Column:
-    """A 60-bit number that depends on the id alone."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def number(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A 60-bit number that depends on the id alone; where that is null, on the text, so that rows without ids don't share one number."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text-"), text_key(text_col).cast("string")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _sizes(texts: list[bytes]) -> list[list[int]]:

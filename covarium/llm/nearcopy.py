@@ -9,18 +9,19 @@ save work. The last one is complete: if two sets of sizes a and b are similar en
 a - ceil(0.8 a) + 1 and b - ceil(0.8 b) + 1. All pairs of nodes of different components that share one are counted; a pair goes unchecked only if sizes and the
 number shared rule 0.8 out. The order puts shingles that a sample finds common last, which changes the work, never the links.
 
-Defined results: a null text counts as empty, and all texts without words are alike; an empty table gives an empty result.
+Defined results: a null text counts as empty, and all texts without words are alike; rows are known by id and text, so rows that share an id are compared like any others, and a
+row with a null id comes after all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covarium.llm import simhash
-from covarium.llm.common import append
+from covarium.llm.common import append, id_key, text_key
 from covarium.session import materialize
 
 SHINGLE, SEED = 5, 42
@@ -73,7 +74,7 @@ def _rows(texts: list[bytes], common) -> list[list]:
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of several sampled sets, ascending, and their ranks by number of sets."""
     step = max(1, docs.count() // SAMPLE)
-    some = append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0), ["text"], _sets, "node long, own array<long>", drop=("doc_id", "text"))
+    some = append(docs.filter(F.pmod(F.xxhash64("kid", "th"), F.lit(step)) == 0), ["text"], _sets, "node long, own array<long>", drop=("kid", "th", "text"))
     per = some.dropDuplicates(["node"]).select(F.explode("own").alias("key")).groupBy("key").count().filter("count > 2")
     found = np.array([r.key for r in per.orderBy(F.desc("count"), "key").limit(COMMON).collect()][::-1], np.int64).view(np.uint64)
     order = np.argsort(found)
@@ -91,57 +92,68 @@ def _similar(left: list, right: list) -> list[list[bool]]:
     return [[9 * k >= 4 * (len(a) + len(b)) for k, a, b in zip(both, left, right, strict=True)]]
 
 
-def check(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of the pairs that have a Jaccard similarity of 0.8 or more."""
-    pairs = materialize(pairs, "pairs")
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.join(used, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    sets = materialize(append(texts, ["text"], _sets, "node long, own array<long>", drop=("doc_id", "text")).join(used, "node", "left_semi").dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     return materialize(append(both, ["left", "right"], _similar, "near boolean", drop=("left", "right")).filter("near").select("a", "b"), "links")
 
 
 def cluster(docs: DataFrame) -> DataFrame:
-    """(node, root, least): the nodes of `docs` (doc_id, text), their components and the smallest id of each node."""
-    docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    """(node, root, least): the nodes of `docs` (doc_id, text), their components, and the least (kid, th) of each node: its smallest id, and the hash of that row's text."""
+    docs = docs.select(id_key().alias("kid"), text_key().alias("th"), "text")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
     rows = append(docs, ["text"], _rows, "node long, n int, fp long, prefix array<long>", drop=("text",), args=(common,))
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("kid", "th")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "nodes")
     small = nodes.select("node", "least", "n", "fp")
 
     of = materialize(small.groupBy("fp").agg(F.min("node").alias("top")), "distinct")
     alike = small.join(of, "fp").filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
     near = simhash.links(of.select("fp")).distinct().join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links = check(alike.union(near), small, docs)
+    first = materialize(alike.union(near), "pairs")
 
     keys = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    group = Window.partitionBy("key")
-    shared = materialize(keys.withColumn("k", F.count(F.lit(1)).over(group)).filter("k > 1").drop("k"), "shared")
-
-    def live() -> DataFrame:
-        """Rows of `shared` with their components, without shingles that lie in one component."""
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
+    shared = materialize(keys.join(several, "key", "left_semi"), "shared")
+    used = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(shared.select("node")).distinct()
+    ids = small.join(used, "node", "left_semi").select("least.kid", "least.th")
+    sets = append(docs.join(ids, ["kid", "th"], "left_semi"), ["text"], _sets, "node long, own array<long>", drop=("kid", "th", "text"))
+    sets = materialize(sets.dropDuplicates(["node"]), "sets")
+    links = check(first, sets)
+
+    def live(rows: DataFrame, k: int) -> DataFrame:
+        """Rows with their components and the centre of their shingle's group, without shingles whose nodes lie in one component. Groups are aggregated, never gathered."""
         roots = simhash.components(links)
-        r = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        return materialize(r.withColumn("lo", F.min("root").over(group)).withColumn("hi", F.max("root").over(group)).filter("lo < hi").drop("lo", "hi"), "live")
+        r = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        groups = r.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), "node", "n", "root")).alias("top"))
+        return materialize(r.join(groups.filter("lo < hi").select("key", "top"), "key"), "live")
 
-    rows = live()
+    rows = shared
     for k in range(STARS):
-        top = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), "node", "n", "root")).over(group)
-        star = rows.withColumn("top", top).filter("root <> top.root").groupBy(F.col("node").alias("a"), F.col("top.node").alias("b"), F.col("n").alias("n1"), F.col("top.n").alias("n2"))
-        more = check(star.agg(F.count(F.lit(1)).alias("c")).filter(_may(F.col("c"))).select("a", "b"), small, docs)
+        rows = live(rows.select("node", "n", "key"), k)
+        star = rows.filter("root <> top.root").groupBy(F.col("node").alias("a"), F.col("top.node").alias("b"), F.col("n").alias("n1"), F.col("top.n").alias("n2"))
+        more = check(star.agg(F.count(F.lit(1)).alias("c")).filter(_may(F.col("c"))).select("a", "b"), sets)
         if more.isEmpty():
             break
         links = links.union(more)
-        rows = live()
-    one, two = rows.toDF("node", "n1", "key", "root"), rows.toDF("a_node", "n2", "key", "a_root")
-    pairs = one.join(two, "key").filter((F.col("node") < F.col("a_node")) & (F.col("root") != F.col("a_root")) & (5 * F.least("n1", "n2") >= 4 * F.greatest("n1", "n2")))
+    else:
+        rows = live(rows.select("node", "n", "key"), STARS)
+    rows = rows.select("node", "n", "key", "root")
+    one, two = rows, rows.toDF("a_node", "n2", "key", "a_root").withColumnRenamed("key", "a_key")
+    pairs = one.withColumnRenamed("n", "n1").join(two, F.col("key") == F.col("a_key"))
+    pairs = pairs.filter((F.col("node") < F.col("a_node")) & (F.col("root") != F.col("a_root")) & (5 * F.least("n1", "n2") >= 4 * F.greatest("n1", "n2")))
     pairs = pairs.groupBy(F.col("node").alias("a"), F.col("a_node").alias("b"), "n1", "n2").agg(F.count(F.lit(1)).alias("c")).filter(_may(F.col("c")))
-    links = links.union(check(pairs.select("a", "b"), small, docs))
+    links = links.union(check(pairs.select("a", "b"), sets))
     return small.join(simhash.components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Of each component of `docs` the row with the smallest doc_id, with all its columns; of rows repeated with that id, one."""
-    keep = cluster(docs).groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each component of `docs` one row, with all its columns: that with the smallest id (a null id comes last), among rows of one id that with the smallest hash of its text, among
+    rows with equal ids and texts that with the smallest hash of all its columns. No row goes unless another of its component stays, whatever its id."""
+    keep = cluster(docs).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.kid").alias("_kid"), F.col("least.th").alias("_th"))
+    names = docs.columns
+    rows = docs.toDF(*[f"_d{i}" for i in range(len(names))])
+    own = rows.columns
+    hashed = [f.name for f in rows.schema if "map" not in f.dataType.simpleString()]
+    rows = rows.withColumns({"_kid": id_key(f"_d{names.index('doc_id')}"), "_th": text_key(f"_d{names.index('text')}")}).join(keep, ["_kid", "_th"], "left_semi")
+    one = rows.groupBy("_kid", "_th").agg(F.min_by(F.struct(*own), F.xxhash64(*hashed)).alias("r"))
+    return one.select("r.*").toDF(*names)

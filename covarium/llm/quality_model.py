@@ -8,8 +8,8 @@ Statistics cover the whole text. Labels are read only for the rows that `trainin
 by SAMPLE rows of numbers; scoring covers all rows.
 
 Defined results: a null or empty text has statistics of zero and gets a score like any other; rows with an equal text get equal scores; with no labelled rows,
-or labels of one kind, the score is the smoothed share of label 1 for all; a label that is null or not 0 or 1 is not used; rows repeated in the labels count once for
-each; extra columns do not take part.
+or labels of one kind, the score is the smoothed share of label 1 for all; a label that is null or not 0 or 1 is not used; repeated labels count once, and of several
+texts with one id one is learned from; extra columns do not take part, and columns named as a statistic are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.common import append, crc_fold
+from covarium.llm.common import append, crc_fold, labelled
 from covarium.llm.rules import repeat_words
 
 SAMPLE = 20_000
@@ -221,9 +221,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, y, text): at most `sample` labelled rows among those allowed, by the smallest hashes of their ids."""
-    use = labels.select("doc_id", F.col(label).alias("y")).filter(F.col("y").isin(0, 1)).filter(allowed)
-    few = use.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return labelled(docs, labels, label, allowed, sample)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 1, folds: int = 3) -> Ensemble:

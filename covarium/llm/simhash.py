@@ -14,7 +14,7 @@ thousands of rows, not millions.
 Components: the forests' edges are contracted with alternating large and small stars, each round a written table; no edge reaches the driver.
 
 Defined results: a null text counts as empty; rows repeated with one id count once in the class and are returned as often as they came in; an empty table gives an
-empty result; all classes are named by their smallest id, so ties can't occur. Rows with a null id are linked, but name a class only if no other row does.
+empty result; all classes are named by their smallest id, so ties can't occur. Rows with a null id are linked, but name a class only if no other row does (then its name is null).
 """
 
 from __future__ import annotations
@@ -300,23 +300,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return star.union(star.select(F.col("root").alias("node"), "root").distinct())
 
 
+#: Parts into which the rows of one component are dealt when they get its name.
+SALTS = 16
+
+
 def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(id, fp, component_id) for every row of `df`."""
     fps = materialize(fingerprints(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), drop=("text",)), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    comp = components(links(distinct.select("fp"), radius, group_rows))
-    rooted = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    comp = materialize(components(links(distinct.select("fp"), radius, group_rows)).withColumnRenamed("node", "fp"), "components")
+    rooted = distinct.join(comp, "fp")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(names, "root").select("fp", "component_id")
+    # one component may hold a third of all fingerprints: its rows are dealt by salt as well
+    salted = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of = rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("fp", "component_id")
+    of = of.unionByName(distinct.join(comp, "fp", "left_anti").select("fp", F.col("least").alias("component_id")))
     return fps.join(of, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """Of each component of `docs` the row with the smallest doc_id, with all its columns; of rows repeated with that id, one."""
-    keep = cluster(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     from covarium.llm.common import documents
 

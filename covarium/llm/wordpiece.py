@@ -7,7 +7,8 @@ pops is computed with the trie, so a word costs one step for each character and
 An empty piece may begin a word: where no longer piece does, it counts as one and the word goes on at the inner root. The blank alone of a byte-level vocabulary
 is such a piece, so no word is unknown there. Without it, a word with a part that no piece covers counts as one unknown token, as greedy word-piece tokenizers count it.
 
-Defined results: null and empty texts have no words and no tokens; very long words are linear; every row is counted alone; extra columns pass through.
+Defined results: null and empty texts have no words and no tokens; very long words are linear; every row is counted alone; extra columns pass through
+(one named `n_words`, `n_tokens` or `n_unknown` is replaced).
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 from covarium.llm.bpe import byte_letters
-from covarium.llm.common import append
+from covarium.llm.common import WordCache, append
 
-CACHE_WORDS = 1 << 18
 #: Pops of a failure link that leads nowhere: the word has no segmentation.
 DEAD = -1
 
@@ -48,7 +48,7 @@ class Automaton:
         self.link = [DEAD] * len(self.edges)
         self.pops = [0] * len(self.edges)
         self._links()
-        self.count = lru_cache(CACHE_WORDS)(self.walk)
+        self.count = WordCache(self.walk).__getitem__
 
     def _links(self) -> None:
         """Breadth first. A node that is a piece pops it whole and goes on at the inner root; another node follows its parent's links until the last character fits."""
@@ -116,7 +116,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", path: str | None = None,
     """`df` with n_words, n_tokens (an unknown word counts as one) and n_unknown. The vocabulary file is of a fixed size and is broadcast."""
     from covarium.llm.bpe import _spec
 
-    return append(df, [text_col], _count, "n_words long, n_tokens long, n_unknown long", drop=drop, args=(df.sparkSession.sparkContext.broadcast(_spec(path)[0]),))
+    return append(df, [text_col], _count, "n_words long, n_tokens long, n_unknown long", drop=drop, args=(df.sparkSession.sparkContext.broadcast(_spec(path)),))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

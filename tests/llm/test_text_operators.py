@@ -44,7 +44,7 @@ def test_bpe_matches_the_public_library(spark):
 def test_bpe_pre_tokenizer_on_every_character():
     from tokenizers import pre_tokenizers
 
-    c = bpe.Codec(*bpe._spec(None))
+    c = bpe.Codec(bpe._spec(None))
     split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
     bad = []
     for lo in range(0, 0x110000, 0x40):
@@ -86,7 +86,7 @@ def test_token_counts_match_greedy_longest_match(spark):
 
 
 def test_token_counts_on_the_public_vocabulary():
-    spec = bpe._spec(None)[0]
+    spec = bpe._spec(None)
     initial, inner = map(set, wordpiece.pieces_of(spec))
     a = wordpiece.automaton(spec)
     rng = random.Random(4)
@@ -211,8 +211,6 @@ def test_simhash_components(spark):
     fps, comp = slow_clusters(texts)
     got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.cluster(table(spark, texts)).collect()}
     assert got == {i: (fps[i], comp[i]) for i in fps}
-    kept = simhash.keep_first(table(spark, texts).union(table(spark, texts)))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comp.values()))
     assert simhash.cluster(table(spark, []).limit(0)).count() == 0
 
 

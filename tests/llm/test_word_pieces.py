@@ -4,7 +4,7 @@ from covarium.llm import bpe, wordpiece
 
 
 def test_no_word_of_a_byte_level_vocabulary_is_unknown():
-    spec = bpe._spec(None)[0]
+    spec = bpe._spec(None)
     a = wordpiece.automaton(spec)
     initial, inner = map(set, wordpiece.pieces_of(spec))
     assert b"" in initial
