@@ -26,6 +26,7 @@ def session(app: str = "covarium", master: str | None = None, partitions: int |
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
         .config("spark.ui.enabled", "false")
     )
     return b.getOrCreate()
@@ -45,12 +46,19 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def is_local(master: str) -> bool:
+    """One process: local, local[8], local[*], local[8, 2]. local-cluster has executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors that the cluster names; a local one is made only where none is set."""
+    """The folder shared by driver and executors that the cluster names. Where none is set, a local master gets a folder of its own; a cluster is an error, as its executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="covarium-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
