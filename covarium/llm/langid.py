@@ -4,12 +4,12 @@ A text is a vector of hashed byte bigrams and trigrams of its lower-cased letter
 against the rest); the second tells the languages of the chosen family apart with one-versus-one linear support vector machines, by votes, then by summed margins.
 Families aren't given: languages whose mean vectors are most alike are put together (average linkage) until about the square root of their number is left.
 
-Whole texts are counted and scored. Only the fit uses a bounded sample: at most `SAMPLE` documents, the same number for each language, those with the smallest
-hashes of their ids; each lends its whole text and a short passage, so that short texts are learned too. The most frequent `MAX_LANGS` languages are learned.
+Whole texts are counted and scored, and every language is learned. Only the fit uses a bounded sample: `SAMPLE` documents, the same number for each language, but at least
+`LEAST` for each; those with the smallest hashes. Each lends its whole text and a short passage, so that short texts are learned too.
 
 Defined results: a text that is null, empty or without any letter is `und` with score 0; equal texts get equal results; votes that tie go by summed margins,
 then to the language that comes first by code point; with one learned language everything with a letter is that one; with none everything is `und`;
-rows repeated in the table count once for each; extra columns do not take part.
+equal rows are learned from once; extra columns do not take part, and those named `lang_pred` or `score` are replaced.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from itertools import combinations
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.common import append, crc_fold
+from covarium.llm.common import append, crc_fold, text_key
 
 DIMS = 1 << 12
-SAMPLE, MAX_LANGS = 2400, 128
+SAMPLE, LEAST = 2400, 12
 PASSAGE = 80
 UNKNOWN = "und"
 
@@ -72,15 +72,22 @@ def machines(x: np.ndarray, y: np.ndarray, c: float = 30.0, steps: int = 120) ->
 
 
 def families(means: np.ndarray) -> list[list[int]]:
-    """Groups of languages by average linkage of their mean vectors' cosines."""
+    """Groups of languages by average linkage of their mean vectors' cosines. Sums of similarities between groups are kept and updated at each merge."""
     n = len(means)
     unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
-    like = unit @ unit.T
-    groups = [[i] for i in range(n)]
-    while len(groups) > max(1, math.ceil(math.sqrt(n))):
-        a, b = max(combinations(range(len(groups)), 2), key=lambda p: (float(like[np.ix_(groups[p[0]], groups[p[1]])].mean()), -p[0], -p[1]))
-        groups[a] = sorted(groups[a] + groups.pop(b))
-    return groups
+    sums = (unit @ unit.T).astype(float)
+    size = np.ones(n)
+    groups: list[list[int]] = [[i] for i in range(n)]
+    live = np.ones(n, bool)
+    for _ in range(n - max(1, math.ceil(math.sqrt(n)))):
+        mean = np.where(np.triu(np.outer(live, live), 1), sums / np.outer(size, size), -np.inf)
+        a, b = divmod(int(np.argmax(mean)), n)
+        groups[a] = sorted(groups[a] + groups[b])
+        sums[a] += sums[b]
+        sums[:, a] += sums[:, b]
+        size[a] += size[b]
+        live[b] = False
+    return [g for g, k in zip(groups, live, strict=True) if k]
 
 
 class Hierarchy:
@@ -126,11 +133,15 @@ def fit(x: np.ndarray, lang: list[str]) -> Hierarchy:
     fam = np.zeros(len(langs), int)
     for k, g in enumerate(groups):
         fam[g] = k
-    y_top = np.where(fam[of][:, None] == np.arange(len(groups)), 1, -1).astype(np.float32)
-    pairs = [p for g in groups for p in combinations(g, 2)]
-    y_low = np.stack([(of == a).astype(np.float32) - (of == b) for a, b in pairs], axis=1) if pairs else np.zeros((len(of), 0), np.float32)
-    w = machines(x, np.concatenate([y_top, y_low], axis=1).astype(np.float32))
-    return Hierarchy(langs, groups, w[:, : len(groups)], pairs, w[:, len(groups) :])
+    top = machines(x, np.where(fam[of][:, None] == np.arange(len(groups)), 1, -1).astype(np.float32))
+    pairs, low = [], [np.zeros((DIMS + 1, 0), np.float32)]
+    for g in groups:  # a family's machines see its own languages' rows only
+        own = list(combinations(g, 2))
+        if own:
+            rows = np.flatnonzero(np.isin(of, g))
+            low.append(machines(x[rows], np.stack([(of[rows] == a).astype(np.float32) - (of[rows] == b) for a, b in own], axis=1).astype(np.float32)))
+            pairs += own
+    return Hierarchy(langs, groups, top, pairs, np.concatenate(low, axis=1))
 
 
 def _sparse(texts: list[bytes]) -> list[list]:
@@ -148,14 +159,28 @@ def _sparse(texts: list[bytes]) -> list[list]:
     return out
 
 
-def training_rows(docs: DataFrame, fold: int = 2, folds: int = 4) -> DataFrame:
-    """(text, lang) of the bounded sample."""
+def training_rows(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = SAMPLE, least: int = LEAST) -> DataFrame:
+    """(doc_id, lang, text) of the bounded sample, without a window over a language: a language's rows below a threshold on their hashes, some more than wanted, are gathered and the smallest taken.
+
+    What reaches the driver is one row for each language and some three numbers for each row of the sample.
+    """
+    spark = docs.sparkSession
     use = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(crc_fold("doc_id", folds) != fold)
-    langs = use.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang").collect()
-    each = SAMPLE // max(1, len(langs))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = use.filter(F.col("lang").isin([r.lang for r in langs])).select("doc_id", "lang").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= each).select("doc_id", "lang")
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "text", "lang")
+    sizes = use.groupBy("lang").count().collect()
+    each = max(least, sample // max(1, len(sizes)))
+    unit = 1 << 62
+    limits = [(r.lang, min(unit, unit * (2 * each + 64) // r["count"])) for r in sizes]
+    # which rows lend is decided by ids and texts, so equal rows count once, however often they come
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    hashed = use.select("doc_id", "lang", text_key().alias("th"), h.alias("h"))
+    below = hashed.join(F.broadcast(spark.createDataFrame(limits, "lang string, below long")), "lang").filter("h < below")
+    found: dict[str, set] = {}
+    for r in below.select("lang", "h", "doc_id", "th").distinct().collect():
+        found.setdefault(r.lang, set()).add((r.h, r.doc_id, r.th))
+    few = [(i, lang, th) for lang, rows in found.items() for _, i, th in sorted(rows)[:each]]
+    chosen = spark.createDataFrame(few, "doc_id long, lang string, th long")
+    rows = docs.select("doc_id", "text", "lang", text_key().alias("th")).join(F.broadcast(chosen), ["doc_id", "lang", "th"])
+    return rows.groupBy("doc_id", "lang", "th").agg(F.first("text").alias("text")).select("doc_id", "text", "lang")
 
 
 def train(docs: DataFrame, fold: int = 2, folds: int = 4) -> Hierarchy:

@@ -1,33 +1,42 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A text is read in overlapping windows of `WINDOW` words, a new one every `STRIDE` words and a last one that ends with the text. Each word gives word inputs (how much more
-often it occurs in toxic training documents, and a learned vector of its hash) and character inputs (the same for its character 3- to 5-grams, pooled by
+often it occurs in toxic training documents, and a learned vector of its hash) and character inputs (the same for its character 4- to 6-grams, pooled by
 maximum, mean and share of strong ones, and a learned vector pooled over them). Two gated recurrent layers read a window from either end, attention pools their states into one
-logit, and a document's logit is its highest window's, scaled to a probability on the training documents.
+logit. A document's logit joins its highest window's and that of the highest window apart from it: one chance word makes one suspicious window, an insulting text several.
+The weights of the two are fitted on the training documents.
 
 Only whole documents have labels. So training alternates: each toxic document lends the window that the model so far finds most toxic, each other
 document its two most suspicious windows and one by chance; then the network is trained on these windows.
 
-The fit uses at most `SAMPLE` labelled documents of each label, of at most `TRAIN_CHARS` characters, those with the smallest hashes of their ids. All documents are scored, all
-their windows. The evidence that a training document's own words
+The fit uses at most `SAMPLE` labelled documents of each label, those with the smallest hashes of their ids. None is left out for its length: a text longer than `TRAIN_CHARS`
+of its label lends passages that are spread evenly over it. All documents are scored, all their windows. The evidence that a training document's own words
 get leaves that document out, so that words which one document has alone teach nothing. The model is a few megabytes, whatever the corpus.
 
 Defined results: a null or empty text, or one without words, scores 0; shorter texts than a window are one window; a last window repeats words of the one before
 it; with no toxic or no other training documents the score is the share of toxic ones for all texts with words; equal texts score alike, whatever their batch, up to
-rounding at the sixth digit; rows repeated in the labels count once for each; extra columns do not take part.
+rounding at the sixth digit; repeated labels count once, and of several texts with one id one is learned from; extra columns do not take part, and one named `score` is replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.common import append, crc_fold
+from covarium.llm.common import append, crc_fold, labelled
 
 WINDOW, STRIDE = 24, 12
-SAMPLE, TRAIN_CHARS = 1500, 12_000
-HIDDEN, LEARNED = 8, 4
+SAMPLE = 1500
+#: Characters that a training text lends, by its label, and those of one passage. What is toxic in a text may be one passage of it, so toxic texts are read nearly whole.
+TRAIN_CHARS = {0: 12_000, 1: 200_000}
+PASSAGE = 2_000
+GRAMS = (4, 5, 6)
+HIDDEN, LEARNED = 12, 6
+#: The least logit of a second window that counts.
+APART = -8.0
+#: One of so many training documents is kept from the network that the scale is fitted with.
+FOLDS = 4
 WORD_BITS, GRAM_BITS, LEARNED_BITS = 18, 20, 10
 CHANNELS = 4
 STRONG = 0.5
@@ -46,8 +55,8 @@ class Hashes:
     """Hashes of a list of distinct words: one for each word, and those of its character n-grams with the number of the word."""
 
     def __init__(self, words: list[bytes]):
-        marked = b"\x01" + b"\x02\x01".join(words) + b"\x02"
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        marked = b"\x01" + b"\x02\x03\x01".join(words) + b"\x02\x03"  # so every word has a 4-gram
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 3
         start = np.cumsum(size) - size
         b = np.frombuffer(marked, np.uint8).astype(np.uint64)
         wid = np.repeat(np.arange(len(words)), size)
@@ -57,8 +66,10 @@ class Hashes:
             mixed ^= mixed >> np.uint64(31)
             self.word = (np.add.reduceat(mixed * _ODD, start) * _ODD) >> np.uint64(64 - WORD_BITS)
             self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-            code = b | np.append(b[1:], np.uint64(0)) << np.uint64(8)
-            for n in (3, 4, 5):
+            code = b
+            for n in range(2, GRAMS[0]):
+                code = code[:-1] | b[n - 1 :] << np.uint64(8 * (n - 1))
+            for n in GRAMS:
                 if len(b) < n:
                     break
                 code = code[: len(b) - n + 1] | b[n - 1 :] << np.uint64(8 * (n - 1))
@@ -214,10 +225,10 @@ class Adam:
 
 
 class Model:
-    """Evidence tables, network and scale; `share` alone if there was nothing to learn from."""
+    """Evidence tables, network and scale (weights of a document's two windows, and bias); `share` alone if there was nothing to learn from."""
 
-    def __init__(self, words: np.ndarray | None, grams: np.ndarray | None, net: Network | None, slope: float = 1.0, bias: float = 0.0, share: float = 0.0):
-        self.words, self.grams, self.net, self.slope, self.bias, self.share = words, grams, net, slope, bias, share
+    def __init__(self, words: np.ndarray | None, grams: np.ndarray | None, net: Network | None, scale: tuple[float, float, float] = (1.0, 0.0, 0.0), share: float = 0.0):
+        self.words, self.grams, self.net, self.scale, self.share = words, grams, net, scale, share
 
     def evidence(self, h: Hashes) -> np.ndarray:
         """(words, CHANNELS): the word's own evidence, and the maximum, the mean and the share of strong ones of its character n-grams'."""
@@ -272,10 +283,9 @@ class Model:
         out = np.zeros(len(texts))
         if some:
             h = Hashes(list(seen))
-            who, _, z = self.window_logits([docs[i] for i in some], h, self.evidence(h))
-            top = np.full(len(some), -np.inf)
-            np.maximum.at(top, who, z)
-            out[some] = np.round(_sigmoid(np.clip(self.slope * top + self.bias, -30, 30)), 6)
+            first, second = two_highest(*self.window_logits([docs[i] for i in some], h, self.evidence(h)), len(some))
+            a, b, c = self.scale
+            out[some] = np.round(_sigmoid(np.clip(a * first + b * second + c, -30, 30)), 6)
         return out.tolist()
 
 
@@ -291,6 +301,19 @@ def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(who, np.int64), np.array(start, np.int64)
 
 
+def two_highest(who: np.ndarray, start: np.ndarray, z: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of n documents the highest window's logit, and the highest of those that share no word with it (APART at least); where there is none, the document is one passage, whose logit counts for both."""
+    top = np.full(n, -np.inf)
+    np.maximum.at(top, who, z)
+    at = np.full(n, np.iinfo(np.int64).max)
+    is_top = z == top[who]
+    np.minimum.at(at, who[is_top], start[is_top])
+    apart = np.abs(start - at[who]) >= WINDOW
+    second = np.full(n, -np.inf)
+    np.maximum.at(second, who[apart], z[apart])
+    return top, np.maximum(np.where(np.isinf(second), top, second), APART)
+
+
 def fit(texts: list[bytes], y: np.ndarray, rounds: int = 3, epochs: int = 4, seed: int = 5) -> Model:
     split = [fold_words(t) for t in texts]
     keep = [i for i, s in enumerate(split) if s]
@@ -298,7 +321,6 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 3, epochs: int = 4, see
     n_pos = int(y.sum())
     if n_pos in (0, len(y)):
         return Model(None, None, None, share=n_pos / max(1, len(y)))
-    rng = np.random.default_rng(seed)
     seen: dict[bytes, int] = {}
     docs = [np.fromiter((seen.setdefault(w, len(seen)) for w in s), np.int64, len(s)) for s in split]
     h = Hashes(list(seen))
@@ -320,12 +342,29 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 3, epochs: int = 4, see
     who, start = windows(docs)
     first = np.searchsorted(who, np.arange(len(docs) + 1))
     strength = np.array([float(np.maximum(evidence[docs[i][a : a + WINDOW], 0], evidence[docs[i][a : a + WINDOW], 1]).max()) for i, a in zip(who, start, strict=True)])
-    wid, code = h.grams[0]
-    gram_ends, low = ends[0], (1 << LEARNED_BITS) - 1
+    spans = h, docs, y, who, start, first, strength, evidence, ends[0]
+    # the scale is fitted on documents that a network of its own hasn't seen: what a network says of its own training documents is too sure
+    rest = np.arange(len(docs)) % FOLDS == 0
+    held = np.flatnonzero(rest)
+    if 0 < y[held].sum() < len(held) and 0 < y[~rest].sum() < len(docs) - len(held):
+        other = Model(model.words, model.grams, Network(CHANNELS + 2 * LEARNED, HIDDEN))
+        seen_by = learn(other, *spans, np.flatnonzero(~rest), rounds, epochs, seed)
+        one, two = two_highest(who, start, seen_by, len(docs))
+        model.scale = scale(one[held], two[held], y[held])
+        learn(model, *spans, np.arange(len(docs)), rounds, epochs, seed)
+    else:
+        model.scale = scale(*two_highest(who, start, learn(model, *spans, np.arange(len(docs)), rounds, epochs, seed), len(docs)), y)
+    return model
+
+
+def learn(model: Model, h: Hashes, docs: list[np.ndarray], y: np.ndarray, who: np.ndarray, start: np.ndarray, first: np.ndarray, strength: np.ndarray, evidence: np.ndarray, gram_ends: np.ndarray, use: np.ndarray, rounds: int, epochs: int, seed: int) -> np.ndarray:
+    """Trains the model's network on windows of the documents `use`, and returns the logits of all windows of all documents."""
+    net, rng = model.net, np.random.default_rng(seed)
+    code, low = h.grams[0][1], (1 << LEARNED_BITS) - 1
     adam = Adam(net.p, 0.01)
     for _ in range(rounds):
         picked, target = [], []
-        for i in range(len(docs)):
+        for i in use:
             own = np.arange(first[i], first[i + 1])
             best = own[np.argsort(-strength[own], kind="stable")]
             take = best[:1] if y[i] else np.unique(np.append(best[:2], rng.choice(own)))
@@ -356,28 +395,41 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 3, epochs: int = 4, see
                 np.add.at(g["EC"], ec, np.repeat(du[:, CHANNELS + LEARNED :] / per[:, None], per, axis=0))
                 adam.update(g)
         strength = model.window_logits(docs, h, evidence)[2]
-    top = np.maximum.reduceat(strength, first[:-1]).astype(float)
-    a, b = 1.0, 0.0
-    for _ in range(200):  # scale on documents, by Newton's method with a small penalty
-        p = _sigmoid(np.clip(a * top + b, -30, 30))
-        gr = np.array([((p - y) * top).sum() + 0.01 * a, (p - y).sum()])
-        s = p * (1 - p)
-        hess = np.array([[(s * top * top).sum() + 0.01, (s * top).sum()], [(s * top).sum(), s.sum() + 1e-6]])
-        move = np.linalg.solve(hess, gr)
-        move *= min(1.0, 1.0 / max(np.abs(move).max(), 1e-9))
-        a, b = a - move[0], b - move[1]
-        if np.abs(move).max() < 1e-8:
+    return strength
+
+
+def scale(first: np.ndarray, second: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Weights (none below zero) and bias of a document's two windows: logistic regression by Newton's method with a small penalty, labels weighing by the
+    root of their rarity, half-way between calibrated scores and equal labels; a weight that would be negative is left out."""
+    share = np.sqrt(np.where(y > 0, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, len(y) - y.sum()))))
+    for use in ((0, 1), (0,)):
+        x = np.stack([(first, second)[k] for k in use] + [np.ones(len(y))], axis=1)
+        penalty = np.array([0.01] * len(use) + [1e-6])
+        w = np.array([1.0] * len(use) + [0.0])
+        for _ in range(200):
+            p = _sigmoid(np.clip(x @ w, -30, 30))
+            move = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (share * (p - y)) + penalty * w)
+            move *= min(1.0, 1.0 / max(np.abs(move).max(), 1e-9))
+            w = w - move
+            if np.abs(move).max() < 1e-8:
+                break
+        if len(use) == 1 or (w[:-1] >= 0).all():
             break
-    model.slope, model.bias = float(max(a, 1e-3)), float(b)
-    return model
+    return float(max(w[0], 1e-3)), float(w[1]) if len(use) == 2 else 0.0, float(w[-1])
+
+
+def passages(text: Column, limit: int) -> Column:
+    """The text if it has at most `limit` characters, else passages of PASSAGE characters, as many as the limit holds, spread evenly from its start to its end."""
+    n = max(2, limit // PASSAGE)
+    step = (F.length(text) - PASSAGE) / F.lit(float(n - 1))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(text, (F.floor(i * step) + 1).cast("int"), F.lit(PASSAGE)))
+    return F.when(F.length(text) <= limit, text).otherwise(F.array_join(parts, " "))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = SAMPLE, chars: int = TRAIN_CHARS) -> DataFrame:
-    """(doc_id, y, text): at most `sample` documents of each label, none longer than `chars`."""
-    use = labels.select("doc_id", F.col(label).alias("y")).filter(F.col("y").isin(0, 1)).filter(allowed)
-    w = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = use.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= sample).select("doc_id", "y")
-    return docs.select("doc_id", "text").filter(F.length("text") <= chars).join(F.broadcast(few), "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, y, text): at most `sample` documents of each label, and of each text at most what its label's TRAIN_CHARS allow."""
+    rows = labelled(docs, labels, label, allowed, sample, (0,)).unionByName(labelled(docs, labels, label, allowed, sample, (1,)))
+    return rows.withColumn("text", F.when(F.col("y") == 1, passages(F.col("text"), TRAIN_CHARS[1])).otherwise(passages(F.col("text"), TRAIN_CHARS[0])))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 1, folds: int = 3) -> Model:
