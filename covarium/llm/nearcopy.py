@@ -6,8 +6,8 @@ Texts with equal sets are one node from the start.
 Candidates come in steps, and every one is checked on whole sets before it becomes a link. SimHash links within op9's radius come first, then in each
 group of nodes that share a shingle those with one centre, so that large groups of near copies become one component without their pairs. These steps only
 save work. The last one is complete: if two sets of sizes a and b are similar enough, then in any fixed order of all shingles they share one of their first
-a - ceil(0.8 a) + 1 and b - ceil(0.8 b) + 1. All pairs of nodes of different components that share one are counted; a pair goes unchecked only if sizes and the
-number shared rule 0.8 out. The order puts shingles that a sample finds common last, which changes the work, never the links.
+a - ceil(0.8 a) + 1 and b - ceil(0.8 b) + 1. Pairs of nodes of different components that share one are counted; a pair goes unchecked only if sizes, parities or the
+number shared rule 0.8 out (a bitmap of the parities of hashed shingles bounds the difference of two sets from below). The order puts shingles that a sample finds common last, which changes the work, never the links.
 
 Defined results: a null text counts as empty, and all texts without words are alike; rows are known by id and text, so rows that share an id are compared like any others, and a
 row with a null id comes after all others; an empty table gives an empty result.
@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 
 from covarium.llm import simhash
 from covarium.llm.common import append, id_key, text_key
-from covarium.session import materialize
+from covarium.session import materialize, release, tidy
 
 SHINGLE, SEED = 5, 42
 #: Documents in the sample that finds common shingles, and how many of these are put last.
 SAMPLE, COMMON = 20_000, 50_000
-STARS = 2
+#: Rounds in which every node is compared with one centre of each of its groups.
+STARS = 3
+#: 64-bit words of a set's parities.
+MAP_WORDS = 16
 
 
 def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -56,17 +59,23 @@ def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([own[~hot], own[hot][np.argsort(rank[at[hot]])]])[:size]
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Bit i: whether the number of shingles whose hash is i modulo the number of bits is odd."""
+    odd = np.bincount((own & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(texts: list[bytes]) -> list[list]:
     sets = [shingles(t) for t in texts]
     return [[node_of(s) for s in sets], [s.view(np.int64) for s in sets]]
 
 
 def _rows(texts: list[bytes], common) -> list[list]:
-    out: list[list] = [[], [], [], []]
+    out: list[list] = [[], [], [], [], []]
     for t in texts:
         own = shingles(t)
         fp = simhash.fingerprint(t, SHINGLE)
-        for c, v in zip(out, (node_of(own), len(own), fp - (1 << 64) if fp >> 63 else fp, prefix(own, *common.value).view(np.int64)), strict=True):
+        for c, v in zip(out, (node_of(own), len(own), fp - (1 << 64) if fp >> 63 else fp, prefix(own, *common.value).view(np.int64), parities(own)), strict=True):
             c.append(v)
     return out
 
@@ -95,54 +104,89 @@ def _similar(left: list, right: list) -> list[list[bool]]:
 def check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of the pairs that have a Jaccard similarity of 0.8 or more."""
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-    return materialize(append(both, ["left", "right"], _similar, "near boolean", drop=("left", "right")).filter("near").select("a", "b"), "links")
+    out = materialize(append(both, ["left", "right"], _similar, "near boolean", drop=("left", "right")).filter("near").select("a", "b"), "links")
+    tidy(pairs.sparkSession)
+    return out
+
+
+def centred(rows: DataFrame, links: DataFrame | None, k: int) -> DataFrame:
+    """Rows (node, n, key) with their components so far, and the centre (the k-th choice) of their shingle's group; shingles whose nodes lie in one component go.
+
+    Groups are aggregated before anything is shuffled, never gathered.
+    """
+    r = rows.withColumn("root", F.col("node"))
+    if links is not None:
+        r = rows.join(simhash.components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = r.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), "node", "n", "root")).alias("top"))
+    out = materialize(r.join(groups.filter("lo < hi").select("key", "top"), "key"), "centred")
+    tidy(rows.sparkSession)
+    return out
+
+
+def _to_centres(rows: DataFrame) -> DataFrame:
+    """Pairs of nodes with the centres of their groups that sizes and shared shingles don't rule out."""
+    star = rows.filter("root <> top.root").groupBy(F.col("node").alias("a"), F.col("top.node").alias("b"), F.col("n").alias("n1"), F.col("top.n").alias("n2"))
+    return star.agg(F.count(F.lit(1)).alias("c")).filter(_may(F.col("c"))).select("a", "b")
+
+
+def _rest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of `rows` (node, n, key, root) and that neither sizes, nor parities, nor the number shared rule out.
+
+    Sets whose parities differ in d places differ in at least d shingles; where that is too many, the join drops the pair as it finds it, so of a group of many texts that
+    have a passage in common only pairs come out that are about as similar as wanted.
+    """
+    maps = nodes.select("node", *[F.element_at("map", i + 1).alias(f"m{i}") for i in range(MAP_WORDS)])
+    one = rows.select("node", "n", "key", "root").join(maps, "node")
+    two = one.toDF(*[f"a_{c}" for c in one.columns])
+    size = F.col("n") + F.col("a_n")
+    apart = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"a_m{i}"))) for i in range(1, MAP_WORDS)), F.bit_count(F.col("m0").bitwiseXOR(F.col("a_m0"))))
+    fit = (5 * F.least("n", "a_n") >= 4 * F.greatest("n", "a_n")) & (9 * apart <= size)
+    pairs = one.join(two, (F.col("key") == F.col("a_key")) & (F.col("node") < F.col("a_node")) & (F.col("root") != F.col("a_root")) & fit)
+    counted = pairs.groupBy(F.col("node").alias("a"), F.col("a_node").alias("b"), F.col("n").alias("n1"), F.col("a_n").alias("n2")).agg(F.count(F.lit(1)).alias("c"))
+    return counted.filter(_may(F.col("c"))).select("a", "b")
 
 
 def cluster(docs: DataFrame) -> DataFrame:
     """(node, root, least): the nodes of `docs` (doc_id, text), their components, and the least (kid, th) of each node: its smallest id, and the hash of that row's text."""
+    spark = docs.sparkSession
     docs = docs.select(id_key().alias("kid"), text_key().alias("th"), "text")
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
-    rows = append(docs, ["text"], _rows, "node long, n int, fp long, prefix array<long>", drop=("text",), args=(common,))
-    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("kid", "th")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "nodes")
+    common = spark.sparkContext.broadcast(common_shingles(docs))
+    made = append(docs, ["text"], _rows, "node long, n int, fp long, prefix array<long>, map array<long>", drop=("text",), args=(common,))
+    nodes = made.groupBy("node").agg(F.min(F.struct("kid", "th")).alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix", "map")])
+    nodes = materialize(nodes, "nodes")
+    tidy(spark)
     small = nodes.select("node", "least", "n", "fp")
 
     of = materialize(small.groupBy("fp").agg(F.min("node").alias("top")), "distinct")
     alike = small.join(of, "fp").filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
     near = simhash.links(of.select("fp")).distinct().join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     first = materialize(alike.union(near), "pairs")
+    release(of)
 
     keys = nodes.select("node", "n", F.explode("prefix").alias("key"))
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
     shared = materialize(keys.join(several, "key", "left_semi"), "shared")
+    tidy(spark)
     used = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(shared.select("node")).distinct()
     ids = small.join(used, "node", "left_semi").select("least.kid", "least.th")
     sets = append(docs.join(ids, ["kid", "th"], "left_semi"), ["text"], _sets, "node long, own array<long>", drop=("kid", "th", "text"))
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
-    links = check(first, sets)
-
-    def live(rows: DataFrame, k: int) -> DataFrame:
-        """Rows with their components and the centre of their shingle's group, without shingles whose nodes lie in one component. Groups are aggregated, never gathered."""
-        roots = simhash.components(links)
-        r = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        groups = r.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), "node", "n", "root")).alias("top"))
-        return materialize(r.join(groups.filter("lo < hi").select("key", "top"), "key"), "live")
+    tidy(spark)
 
-    rows = shared
+    links, rows = None, shared
     for k in range(STARS):
-        rows = live(rows.select("node", "n", "key"), k)
-        star = rows.filter("root <> top.root").groupBy(F.col("node").alias("a"), F.col("top.node").alias("b"), F.col("n").alias("n1"), F.col("top.n").alias("n2"))
-        more = check(star.agg(F.count(F.lit(1)).alias("c")).filter(_may(F.col("c"))).select("a", "b"), sets)
-        if more.isEmpty():
+        old, rows = rows, centred(rows.select("node", "n", "key"), links, k)
+        release(old)
+        pairs = _to_centres(rows)
+        more = check(pairs if links is not None else pairs.union(first), sets)
+        if links is not None and more.isEmpty():
             break
-        links = links.union(more)
+        links = more if links is None else links.union(more)
     else:
-        rows = live(rows.select("node", "n", "key"), STARS)
-    rows = rows.select("node", "n", "key", "root")
-    one, two = rows, rows.toDF("a_node", "n2", "key", "a_root").withColumnRenamed("key", "a_key")
-    pairs = one.withColumnRenamed("n", "n1").join(two, F.col("key") == F.col("a_key"))
-    pairs = pairs.filter((F.col("node") < F.col("a_node")) & (F.col("root") != F.col("a_root")) & (5 * F.least("n1", "n2") >= 4 * F.greatest("n1", "n2")))
-    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("a_node").alias("b"), "n1", "n2").agg(F.count(F.lit(1)).alias("c")).filter(_may(F.col("c")))
-    links = links.union(check(pairs.select("a", "b"), sets))
+        old, rows = rows, centred(rows.select("node", "n", "key"), links, STARS)
+        release(old)
+    links = links.union(check(_rest(rows, nodes), sets))
+    release(rows, sets, first)
     return small.join(simhash.components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covarium.llm.common import append
-from covarium.session import materialize, ship
+from covarium.session import materialize, release, ship
 
 BITS, SHINGLE, SEED, RADIUS = 64, 4, 42, 4
 #: Rows of one group that a task takes at most; larger groups are descended in the cluster first.
@@ -291,6 +291,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         after = materialize(small, "edges")
         sums = [d.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (pairs, after)]
+        release(pairs)
         pairs = after
         if tuple(sums[0]) == tuple(sums[1]):
             break

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -47,3 +49,32 @@ def test_all_pairs_of_four_fifths(spark):
     assert n > 40
     got = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r.doc_id for r in got.collect()} == want
+
+
+def test_parities_never_rule_a_similar_pair_out():
+    import numpy as np
+
+    from covarium.llm import nearcopy
+
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 40, 400, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for k in (0, 1, max(1, n // 10), n // 5):
+            b = np.unique(np.concatenate([a[k:], rng.integers(0, 1 << 63, k).astype(np.uint64)]))
+            apart = int(np.bitwise_count((nearcopy.parities(a) ^ nearcopy.parities(b)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(a, b))
+
+
+def test_a_passage_in_many_texts_makes_no_pairs(spark, monkeypatch):
+    """Texts that share half of their words are in one group for each shared shingle, but no pair of them leaves the join."""
+    from covarium.llm import nearcopy
+
+    rng = random.Random(6)
+    part = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{part} " + " ".join(f"w{rng.randrange(9000)}" for _ in range(30))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert nearcopy.keep_first(df).count() == 200
+    nodes = spark.createDataFrame([(nearcopy.node_of(x), len(x), [1], nearcopy.parities(x).tolist()) for x in (nearcopy.shingles(t.encode()) for _, t in rows)], "node long, n int, prefix array<long>, map array<long>")
+    groups = nodes.select("node", "n", F.explode("prefix").alias("key"), F.col("node").alias("root"))
+    monkeypatch.setattr(nearcopy, "_may", lambda c: c > 0)
+    assert groups.count() == 200 and nearcopy._rest(groups, nodes).count() == 0
