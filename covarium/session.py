@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -90,6 +91,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table from `materialize` that nothing reads any more, not even lazily."""
-    _delete(df.sparkSession, df._covarium_path)
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables from `materialize` that nothing reads any more, not even lazily."""
+    for df in tables:
+        _delete(df.sparkSession, df._covarium_path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs now: it acts when the plans that made them are collected, on an idle driver perhaps only after half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
