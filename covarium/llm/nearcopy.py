@@ -27,7 +27,7 @@ from covarium.session import materialize, release, tidy
 SHINGLE, SEED = 5, 42
 #: Documents in the sample that finds common shingles, and how many of these are put last.
 SAMPLE, COMMON = 20_000, 50_000
-#: Rounds in which every node is compared with one centre of each of its groups.
+#: Rounds in which every node is compared with the likeliest of its groups' centres.
 STARS = 3
 #: 64-bit words of a set's parities.
 MAP_WORDS = 16
@@ -124,9 +124,10 @@ def centred(rows: DataFrame, links: DataFrame | None, k: int) -> DataFrame:
 
 
 def _to_centres(rows: DataFrame) -> DataFrame:
-    """Pairs of nodes with the centres of their groups that sizes and shared shingles don't rule out."""
+    """Each node with that centre of its groups with which it shares most shingles, if sizes and their number don't rule the pair out: one pair a node and round."""
     star = rows.filter("root <> top.root").groupBy(F.col("node").alias("a"), F.col("top.node").alias("b"), F.col("n").alias("n1"), F.col("top.n").alias("n2"))
-    return star.agg(F.count(F.lit(1)).alias("c")).filter(_may(F.col("c"))).select("a", "b")
+    likely = star.agg(F.count(F.lit(1)).alias("c")).filter(_may(F.col("c")))
+    return likely.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b")
 
 
 def _rest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
