@@ -6,6 +6,7 @@ uses); `codepoint` mode hashes code points of character n-grams instead. Both ag
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -35,6 +36,31 @@ def ngram_buckets_py(word: str, minn: int, maxn: int, buckets: int, mode: str =
     return [fnv_bucket_py(data[i : i + n], buckets) for n in range(minn, maxn + 1) for i in range(len(data) - n + 1)]
 
 
+def ngram_buckets_many(words: list[str], minn: int, maxn: int, buckets: int, mode: str = "byte") -> tuple[np.ndarray, np.ndarray]:
+    """(start, buckets): `ngram_buckets_py` of all words, one after the other, word i having start[i]..start[i + 1] - 1. All n-grams of one length are hashed together, one character at a time."""
+    if mode == "byte":
+        data = [np.frombuffer(f"<{w}>".encode(), np.uint8).astype(np.int8).astype(np.int64).view(np.uint64) for w in words]  # sign-extended
+    else:
+        data = [np.frombuffer(f"<{w}>".encode("utf-32-le"), np.uint32).astype(np.uint64) for w in words]
+    size = np.array([len(d) for d in data], np.int64)
+    flat = np.concatenate(data) if data else np.zeros(0, np.uint64)
+    offset = np.cumsum(size) - size
+    per = np.stack([np.maximum(size - n + 1, 0) for n in range(minn, maxn + 1)]) if len(words) else np.zeros((maxn - minn + 1, 0), np.int64)
+    start = np.concatenate([[0], np.cumsum(per.sum(axis=0))])
+    out = np.zeros(int(start[-1]), np.int64)
+    put = start[:-1].copy()
+    for k, n in enumerate(range(minn, maxn + 1)):
+        owner = np.repeat(np.arange(len(words)), per[k])
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(per[k]) - per[k], per[k])
+        h = np.full(len(owner), FNV_OFFSET, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(n):
+                h = (h ^ flat[offset[owner] + inner + i]) * np.uint64(FNV_PRIME)
+        out[put[owner] + inner] = (h % np.uint64(buckets)).astype(np.int64)
+        put += per[k]
+    return start, out
+
+
 def codes(text: Column, mode: str = "byte") -> Column:
     """The numbers that are hashed: bytes, or code points."""
     if mode == "codepoint":

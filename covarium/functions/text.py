@@ -35,8 +35,18 @@ def clean_text(text: Column, ascii_only: bool = False) -> Column:
     return c if ascii_only else F.regexp_replace(c, r"[\p{C}\p{Z}&&[^ ]]", "")
 
 
+#: Words (without their full stop, in any case) after which a full stop ends no sentence.
+ABBREVIATIONS = ["dr", "mr", "mrs", "ms", "prof", "st", "sr", "jr", "vs", "etc", "e\\.g", "i\\.e", "no", "approx", "dept", "est", "fig", "pt", "pts", "hosp", "resp", "temp", "wt", "ht", "a\\.m", "p\\.m"]
+_SENTENCE_END = rf"(?<=[.!?])(?<!(?<![\p{{L}}\p{{N}}])(?i:{'|'.join(ABBREVIATIONS)})\.)(?<!(?<![\p{{L}}\p{{N}}.])\p{{L}}\.)\s+"
+
+
 def split_sentences(text: Column) -> Column:
-    """After `.`, `!` or `?` and white space. A rule, not a trained model: abbreviations such as `Dr.` end a sentence too; see operators.sentences for a hook."""
+    """After `.`, `!` or `?` and white space, but not after the full stop of a known abbreviation or of a single letter, an initial. A rule, not a trained model; see operators.sentences for a hook."""
+    return F.split(text, _SENTENCE_END)
+
+
+def split_marks(text: Column) -> Column:
+    """After every `.`, `!` or `?` with white space behind it."""
     return F.split(text, r"(?<=[.!?])\s+")
 
 

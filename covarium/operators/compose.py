@@ -6,6 +6,8 @@ time. The three means, one after the other, go through the projection and get un
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,9 @@ from covarium.sources.model_store import Model
 
 
 def sum_vectors(rows: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
-    """Element-wise sums: one row for each key, with `vec` and `n`, the number of rows. Partial sums are combined before the shuffle; a hot key is only as many rows as a vector has parts."""
-    parts = rows.select(*keys, F.posexplode(vec).alias("_pos", "_x")).groupBy(*keys, "_pos").agg(F.sum(F.col("_x").cast("double")).alias("_x"), F.count(F.lit(1)).alias("_n"))
-    lists = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", "_x"))).alias("_l"), F.max("_n").alias("n"))  # as long as a vector, no longer
-    return lists.select(*keys, F.transform("_l", lambda s: s["_x"]).alias(vec), "n")
+    """Element-wise sums: one row for each key, with `vec` and `n`, the number of rows. A vector aggregate adds whole vectors in each task before the shuffle, so a hot key is one row a task."""
+    made = rows.select(*keys, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("_v"))
+    return made.groupBy(*keys).agg(Summarizer.sum(F.col("_v")).alias("_s"), F.count(F.lit(1)).alias("n")).select(*keys, vector_to_array("_s").alias(vec), "n")
 
 
 def zeros(d: int) -> Column:

@@ -48,8 +48,20 @@ def left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.withColumn("_salt", salt).join(right.filter(F.col(key).isNotNull()).withColumn("_salt", F.lit(0).cast("bigint")), [key, "_salt"], "left").drop("_salt")
 
 
-def merge_notes(notes: DataFrame, patients: DataFrame, admissions: DataFrame, caregivers: DataFrame) -> DataFrame:
-    """Notes with 7 patient and 4 encounter covariates. Joins run over keys and small columns; the text takes part in none of the derivations and keeps its own column."""
+#: Estimated bytes of one side up to which it is broadcast; its estimate is Spark's own.
+BROADCAST_BYTES = 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def merge_notes(notes: DataFrame, patients: DataFrame, admissions: DataFrame, caregivers: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Notes with 7 patient and 4 encounter covariates.
+
+    If every other table's estimated size allows it to be broadcast, the notes aren't shuffled at all. Else the joins run over the notes' distinct keys, without their texts, and the covariates
+    come back to the notes in one join on all keys, so texts are shuffled once, however many tables there are.
+    """
     died = F.when(F.col("HOSPITAL_EXPIRE_FLAG") == 1, "Dead").otherwise("Alive")
     adm = admissions.select(
         F.expr("try_cast(HADM_ID AS BIGINT)").alias("HADM_ID"), "ADMITTIME", "DISCHTIME", "ADMISSION_TYPE", "INSURANCE", "LANGUAGE", "RELIGION", "MARITAL_STATUS", "ETHNICITY", died.alias("mortality")
@@ -57,7 +69,14 @@ def merge_notes(notes: DataFrame, patients: DataFrame, admissions: DataFrame, ca
     cg = caregivers.select(F.expr("try_cast(CGID AS BIGINT)").alias("CGID"), F.col("LABEL").alias("caregiver_role"))
     pat = patients.select(F.expr("try_cast(SUBJECT_ID AS BIGINT)").alias("SUBJECT_ID"), "DOB", "GENDER")
     n = notes.select("ROW_ID", *[F.expr(f"try_cast({c} AS BIGINT)").alias(c) for c in ("SUBJECT_ID", "HADM_ID", "CGID")], "TEXT")
-    n = left_join(left_join(left_join(n, cg, "CGID"), pat, "SUBJECT_ID"), adm, "HADM_ID")
+    if max(map(estimated_bytes, (cg, pat, adm))) <= broadcast_bytes:
+        for side, key in ((cg, "CGID"), (pat, "SUBJECT_ID"), (adm, "HADM_ID")):
+            n = n.join(F.broadcast(side), key, "left")  # of a checked size
+    else:
+        keys = n.select("SUBJECT_ID", "HADM_ID", "CGID").distinct()
+        wide = left_join(left_join(left_join(keys, cg, "CGID"), pat, "SUBJECT_ID"), adm, "HADM_ID")
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"w.{c}")) for c in keys.columns]
+        n = n.alias("n").join(wide.alias("w"), same[0] & same[1] & same[2], "left").select("n.*", *[F.col(f"w.{c}") for c in wide.columns if c not in keys.columns])
     times = {c: F.try_to_timestamp(F.col(c)) for c in ("ADMITTIME", "DISCHTIME", "DOB")}
     n = n.withColumns(times)
     n = n.withColumns({"age_group": age_group(age(F.col("ADMITTIME"), F.col("DOB"))), "length_of_stay": stay_group(whole_days(F.col("DISCHTIME"), F.col("ADMITTIME")))})

@@ -1,18 +1,21 @@
 """Huffman codes over a vocabulary.
 
-The merge is sequential, so it runs on the driver over two integer arrays of twice the vocabulary's length; the threshold of the vocabulary
-bounds them, and `MAX_WORDS` checks it.
+The merge is sequential, so it runs on the driver, over arrays of a few numbers for each word and each bit of its code; the vocabulary's threshold bounds them, and
+`MAX_BYTES` checks it before anything is gathered. Frequencies come in and codes go out as Arrow arrays, never as one object for each word.
 """
 
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_WORDS = 20_000_000
+#: Bytes that the tree and its codes may take, and those that one word takes: two nodes and some 30 bits, each with the number of a node.
+MAX_BYTES, WORD_BYTES = 4 << 30, 256
 
 
 def tree(freqs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -24,36 +27,51 @@ def tree(freqs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     parent, bit = np.full(max(1, 2 * v - 1), -1, np.int64), np.zeros(max(1, 2 * v - 1), np.int8)
     if v < 2:
         return parent, bit
-    weight = np.concatenate([np.asarray(freqs, np.int64), np.zeros(v - 1, np.int64)]).tolist()
+    weight = np.concatenate([np.asarray(freqs, np.int64), np.zeros(v - 1, np.int64)])
     leaf, inner = v - 1, v
     for node in range(v, 2 * v - 1):
-        pair = []
-        for _ in range(2):
+        total = 0
+        for b in (0, 1):
             if leaf >= 0 and (inner >= node or weight[leaf] <= weight[inner]):
-                pair.append(leaf)
-                leaf -= 1
+                at, leaf = leaf, leaf - 1
             else:
-                pair.append(inner)
-                inner += 1
-        weight[node] = weight[pair[0]] + weight[pair[1]]
-        parent[pair] = node
-        bit[pair[1]] = 1
+                at, inner = inner, inner + 1
+            total += weight[at]
+            parent[at], bit[at] = node, b
+        weight[node] = total
     return parent, bit
 
 
-def codes(freqs: np.ndarray) -> list[tuple[list[int], list[int]]]:
-    """(code, path) of each word, from the root down; a path holds inner nodes' numbers, the root being V-2. A single word has neither."""
+@dataclass
+class Codes:
+    """Codes and paths of all words from the root down, one word after the other; word i has start[i]..start[i + 1] - 1. A path holds inner nodes' numbers, the root being V-2. A single word has neither."""
+
+    start: np.ndarray
+    code: np.ndarray
+    path: np.ndarray
+
+    def of(self, i: int) -> tuple[list[int], list[int]]:
+        a, b = self.start[i], self.start[i + 1]
+        return self.code[a:b].tolist(), self.path[a:b].tolist()
+
+
+def codes(freqs: np.ndarray) -> Codes:
     v = len(freqs)
-    parent, bit = (a.tolist() for a in tree(freqs))
-    out = []
-    for i in range(v):
-        code, path, at = [], [], i
-        while parent[at] >= 0:
-            code.append(bit[at])
-            at = parent[at]
-            path.append(at - v)
-        out.append((code[::-1], path[::-1]))
-    return out
+    parent, bit = tree(freqs)
+    depth = np.zeros(len(parent), np.int64)
+    for node in range(len(parent) - 2, -1, -1):  # a parent comes after its children
+        depth[node] = depth[parent[node]] + 1
+    start = np.zeros(v + 1, np.int64)
+    np.cumsum(depth[:v] if v else depth[:0], out=start[1:])
+    code, path = np.zeros(start[-1], np.int8), np.zeros(start[-1], np.int32)
+    at, left = np.arange(v), depth[:v].copy()
+    while (live := np.flatnonzero(left)).size:  # all words climb one step at a time
+        left[live] -= 1
+        place = start[live] + left[live]
+        code[place] = bit[at[live]]
+        at[live] = parent[at[live]]
+        path[place] = at[live] - v
+    return Codes(start, code, path)
 
 
 def least_weighted_length(freqs) -> int:
@@ -68,15 +86,20 @@ def least_weighted_length(freqs) -> int:
     return total
 
 
+def table(spark: SparkSession, made: Codes) -> DataFrame:
+    """(idx, code, path)."""
+    lists = lambda a: pa.LargeListArray.from_arrays(pa.array(made.start), pa.array(a, pa.int32())).cast(pa.list_(pa.int32()))
+    rows = pa.table({"idx": pa.array(np.arange(len(made.start) - 1)), "code": lists(made.code), "path": lists(made.path)})
+    return spark.createDataFrame(rows, "idx long, code array<int>, path array<int>")
+
+
 def with_codes(vocab: DataFrame) -> DataFrame:
     """`vocab` (idx, token, freq) with code and path."""
-    rows = vocab.select("idx", "freq").orderBy("idx").limit(MAX_WORDS + 1).toPandas()
-    if len(rows) > MAX_WORDS:
-        raise ValueError(f"more than {MAX_WORDS} words: raise the vocabulary's threshold")
-    made = codes(rows["freq"].to_numpy())
-    rows["code"], rows["path"] = [c for c, _ in made], [p for _, p in made]
-    table = vocab.sparkSession.createDataFrame(rows[["idx", "code", "path"]], "idx long, code array<int>, path array<int>")
-    return vocab.join(table, "idx")
+    n = vocab.count()
+    if n * WORD_BYTES > MAX_BYTES:
+        raise ValueError(f"{n} words: raise the vocabulary's threshold, the tree may take {MAX_BYTES} bytes")
+    freqs = vocab.select("idx", "freq").orderBy("idx").toArrow()["freq"].to_numpy()
+    return vocab.join(table(vocab.sparkSession, codes(freqs)), "idx")
 
 
 def depth_stats(coded: DataFrame) -> DataFrame:

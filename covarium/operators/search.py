@@ -2,33 +2,103 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from covarium.functions.vectors import MIN_NORM, cosine, dot, euclid, norm, similarity_label
+from covarium.session import ship
+
+#: Candidates of one matrix product.
+BLOCK_ROWS = 4096
+
+#: Bytes of query vectors that are broadcast at once; more queries go through in several rounds over the candidates.
+QUERY_BYTES = 64 << 20
+#: Similarities that lie closer than this to a task's k-th best are all kept until they are computed exactly.
+SLACK = 1e-9
+
+
+def _exact(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Row-wise dot products, each in one order of additions whatever the block, so that equal vectors tie."""
+    return (c * q).sum(axis=1)
+
 
-#: Queries of one batch that are broadcast at most; more go through in several rounds over the candidates.
-MAX_QUERIES = 10_000
+class Best:
+    """The k best candidates of every query so far, in one task."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.rows: list[list[tuple[float, int, str]]] = [[] for _ in range(n)]
+        self.least = np.full(n, -np.inf)
+
+    def add(self, q: np.ndarray, vec: np.ndarray, idx: np.ndarray, token: list) -> None:
+        """q, vec: unit vectors. One matrix product finds which pairs can be among the best; only these are computed exactly."""
+        rough = vec @ q.T
+        k = min(self.k, len(vec))
+        kth = np.maximum(np.partition(rough, len(vec) - k, axis=0)[len(vec) - k], self.least)
+        at, of = np.nonzero(rough >= kth - SLACK)
+        sim = _exact(vec[at], q[of])
+        for j in np.unique(of):
+            own = np.flatnonzero(of == j)
+            both = self.rows[j] + [(-float(sim[m]), int(idx[at[m]]), token[at[m]]) for m in own]
+            both.sort()
+            self.rows[j] = both[: self.k]
+            if len(self.rows[j]) == self.k:
+                self.least[j] = -self.rows[j][-1][0]
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """(qid, rank, idx, token, similarity): the k most similar candidates (idx, token, vec, norm) of each query (qid, vec), smaller idx first among equals.
 
-    Exhaustive, as candidates meet every query; queries are few and are broadcast, and each task keeps only its own k best before anything is
-    shuffled. A query or candidate that counts as zero gives nothing; a query's own words may be among its results; k below 1 counts as 1.
+    Exhaustive, as candidates meet every query, in blocks: a block of candidates times the broadcast queries is one matrix product, each task keeps the k best it has seen for each query, and
+    only these are shuffled and ranked. A query or candidate that counts as zero gives nothing; a query's own words may be among its results; k below 1 counts as 1.
     """
     k = max(1, k)
-    live = queries.select("qid", F.col("vec").alias("_q"), norm(F.col("vec")).alias("_qn")).filter(F.col("_qn") >= MIN_NORM)
-    n = live.count()
+    spark = queries.sparkSession
+    ship(spark)
+    live = queries.select("qid", F.transform("vec", lambda x: x.cast("double")).alias("vec"), norm(F.col("vec")).alias("_n")).filter(F.col("_n") >= MIN_NORM)
+    size = live.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    rounds = max(1, -(-size[0] * 8 * (size[1] or 1) // QUERY_BYTES))
+    cand = candidates.filter(F.col("norm") >= MIN_NORM).select("idx", "token", F.transform("vec", lambda x: x.cast("double")).alias("vec"), "norm")
+    kind = queries.schema["qid"].dataType.simpleString()
     out = None
-    for part in range(max(1, -(-n // MAX_QUERIES))):
-        some = live if n <= MAX_QUERIES else live.filter(F.pmod(F.xxhash64("qid"), F.lit(-(-n // MAX_QUERIES))) == part)
-        cand = candidates.filter(F.col("norm") >= MIN_NORM)
-        pairs = cand.join(F.broadcast(some)).select("qid", "idx", "token", (dot(F.col("vec"), F.col("_q")) / (F.col("norm") * F.col("_qn"))).alias("similarity"))
-        w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "idx")
-        best = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out.select("qid", "rank", "idx", "token", "similarity")
+    for part in range(rounds):
+        rows = live.filter(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == part).toArrow() if size[0] else None  # QUERY_BYTES at most, more or less
+        if rows is None or not rows.num_rows:
+            continue
+        qid = rows["qid"].to_pylist()
+        q = _matrix(rows["vec"]) / rows["_n"].to_numpy()[:, None]
+        sent = spark.sparkContext.broadcast((qid, q))
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qid, q = sent.value
+            best = Best(len(qid), k)
+            for b in batches:
+                for at in range(0, b.num_rows, BLOCK_ROWS):
+                    s = b.slice(at, BLOCK_ROWS)
+                    best.add(q, _matrix(s.column(2)) / s.column(3).to_numpy()[:, None], s.column(0).to_numpy(), s.column(1).to_pylist())
+            flat = [(i, x[1], x[2], -x[0]) for i, rows in zip(qid, best.rows, strict=True) for x in rows]
+            if flat:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat, strict=True), target, strict=True)], schema=target)
+
+        schema = f"qid {kind}, idx long, token string, similarity double"
+        target = to_arrow_schema(StructType.fromDDL(schema))
+        some = cand.mapInArrow(search, schema)
+        out = some if out is None else out.unionByName(some)
+    if out is None:
+        return spark.createDataFrame([], f"qid {kind}, rank int, idx long, token string, similarity double")
+    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "idx")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "rank", "idx", "token", "similarity")
+
+
+def _matrix(c) -> np.ndarray:
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
 
 
 def nearest_one(query_vec: list[float], candidates: DataFrame, k: int = 10) -> DataFrame:

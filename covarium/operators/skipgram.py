@@ -13,21 +13,39 @@ def window(size: int, *keys: Column) -> Column:
     return (draw(F.lit(size), *keys) + 1).cast("int")
 
 
-def pairs(samples: DataFrame, keys: list[str], size: int = 5, seed: int = 42, words: str = "words") -> DataFrame:
-    """(keys, pos, ctx_pos, word, context) for each centre and each other word at most its drawn window away.
+def centres(samples: DataFrame, keys: list[str], size: int = 5, seed: int = 42, words: str = "words", around: bool = True) -> DataFrame:
+    """(keys, pos, lo, hi) for each centre: its position and the first and last of its window; with `around` also `word` and the window's words, so that no row carries a whole text.
 
-    Positions are looked up in the sample's own array before anything is exploded, so there is no self-join and no row carries a whole text.
+    One small struct for each position is exploded; pairs come from these rows, never as one array for a text.
     """
     w, n = F.col(words), F.size(words)
 
-    def of(s: Column) -> Column:
-        pos = s["pos"]
-        around = F.filter(F.sequence(F.greatest(F.lit(0), pos - s["win"]), F.least(n - 1, pos + s["win"])), lambda o: o != pos)
-        return F.transform(around, lambda o: F.struct(pos.alias("pos"), o.alias("ctx_pos"), F.get(w, pos).alias("word"), F.get(w, o).alias("context")))
+    def of(pos: Column) -> Column:
+        win = window(size, F.lit(seed), *[F.col(k) for k in keys], pos)
+        return F.struct(pos.alias("pos"), F.greatest(F.lit(0), pos - win).alias("lo"), F.least(n - 1, pos + win).alias("hi"))
+
+    each = F.transform(F.sequence(F.lit(0), n - 1), of)
+    fields = ["pos", "lo", "hi"]
+    if around:
+        each = F.transform(each, lambda s: F.struct(s["pos"].alias("pos"), s["lo"].alias("lo"), s["hi"].alias("hi"), F.get(w, s["pos"]).alias("word"), F.slice(w, s["lo"] + 1, s["hi"] - s["lo"] + 1).alias("near")))
+        fields += ["word", "near"]
+    return samples.select(*keys, F.explode_outer(F.when(n > 0, each)).alias("p")).filter(F.col("p").isNotNull()).select(*keys, *[F.col(f"p.{f}").alias(f) for f in fields])
+
+
+def positions(samples: DataFrame, keys: list[str], size: int = 5, seed: int = 42, words: str = "words") -> DataFrame:
+    """(keys, pos, ctx_pos) of all pairs, without their words."""
+    c = centres(samples, keys, size, seed, words, around=False)
+    return c.select(*keys, "pos", F.explode(F.sequence("lo", "hi")).alias("ctx_pos")).filter("ctx_pos <> pos")
 
-    drawn = F.transform(F.sequence(F.lit(0), n - 1), lambda pos: F.struct(pos.alias("pos"), window(size, F.lit(seed), *[F.col(k) for k in keys], pos).alias("win")))
-    every = F.flatten(F.transform(drawn, of))
-    return samples.select(*keys, F.explode_outer(F.when(n > 0, every)).alias("p")).filter(F.col("p").isNotNull()).select(*keys, "p.*")
+
+def pairs(samples: DataFrame, keys: list[str], size: int = 5, seed: int = 42, words: str = "words") -> DataFrame:
+    """(keys, pos, ctx_pos, word, context) for each centre and each other word at most its drawn window away.
+
+    A centre's window travels with it, so there is no self-join and no row carries a whole text.
+    """
+    c = centres(samples, keys, size, seed, words)
+    p = c.select(*keys, "pos", "lo", "word", F.posexplode("near").alias("_k", "context")).withColumn("ctx_pos", F.col("lo") + F.col("_k"))
+    return p.filter("ctx_pos <> pos").select(*keys, "pos", "ctx_pos", "word", "context")
 
 
 def kept(pairs_: DataFrame, vocab: DataFrame, keys: list[str], seed: int = 42, epoch: int = 0) -> DataFrame:

@@ -2,30 +2,35 @@
 
 A word is predicted from z = [word + its n-grams ; mean of patient tokens ; mean of encounter tokens] through a projection h = W z and hierarchical softmax over a Huffman tree.
 
-Each round broadcasts the parameters, every task runs sequential gradient descent over its own samples on a local copy, and what changed comes back as sparse
-rows (matrix, row, difference), combined within the task first. Differences of the sparse matrices (output, input, n-grams) are summed over tasks, those of the dense ones
-(projection, patient, encounter) averaged over the tasks that had samples. Memory of driver and tasks is that of the model, whatever the corpus.
+A round gives each task `chunk_size` lines. It broadcasts the parameters, every task descends over its own lines on a local copy, and the rows that changed come back in blocks of
+float32 bytes, which are combined in the cluster: a row's difference is the mean over the tasks that touched it, and dense matrices are averaged over all tasks that had samples. So the
+number of rounds is that of the lines divided by those of all tasks together, and what the driver gathers is at most the model. Lines are written once by round, so a round reads its own files only.
 
-All draws (windows, subsampling) come from a counter-based generator keyed by (seed, epoch, sample), so a task that is run again after a
-lost executor gives the same differences.
+Within a task, lines are worked off `batch` at a time with matrix products: all centres of a batch meet all tree nodes of their contexts at once. The nodes' rows are then as old as the
+batch; a node that many pairs of a batch visit takes a shortened step, as one solved for at its end would be. A batch of one line is nearest to a sequential trainer.
+
+All draws (windows, subsampling) are integer hashes of (seed, epoch, sample, position, context), so they depend neither on partitions nor on batches, a task that is run again after a
+lost executor gives the same differences, and other engines can state them.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covarium.functions.hashing import ngram_buckets_py
+from covarium.functions.hashing import ngram_buckets_many
 from covarium.operators import huffman
 from covarium.operators.ranking import dense_index
 from covarium.operators.vocabulary import token_counts, vocabularies
-from covarium.session import materialize, ship
+from covarium.session import checkpoint_dir, delete, materialize, release, ship
 from covarium.sources.corpus import counting_samples, count_lines, training_samples
 from covarium.sources.model_store import Model, matrix_table
 
@@ -49,8 +54,10 @@ class Config:
     weight_decay: float = 0.0
     ngram_buckets: int = 2_000_000
     window_size: int = 5
-    #: Samples of one round: a round is a Spark job, so rounds are larger than a shared-memory trainer's chunks.
+    #: Lines of one task in one round: a round is a Spark job, so it is larger than a shared-memory trainer's chunk.
     chunk_size: int = 50_000
+    #: Lines whose centres are worked off together.
+    batch: int = 16
     seed: int = 42
     #: 'reference': the step size enters twice on the way back to the inputs; 'standard': once.
     lr_mode: str = "reference"
@@ -94,116 +101,251 @@ class Params:
 
 
 class Lexicon:
-    """What a task needs to know of the vocabulary."""
+    """What a task needs to know of the vocabulary, as arrays: paths and n-grams of all words one after the other, with where each word's begin."""
 
-    def __init__(self, words: list[str], codes: list[tuple[list[int], list[int]]], discard: np.ndarray, patient: list[str], encounter: list[str], cfg: Config):
+    def __init__(self, words: list[str], tree: huffman.Codes, discard: np.ndarray, patient: list[str], encounter: list[str], cfg: Config):
         self.word = {w: i for i, w in enumerate(words)}
         self.patient = {w: i for i, w in enumerate(patient)}
         self.encounter = {w: i for i, w in enumerate(encounter)}
         self.discard = discard
-        self.code = [np.array(c, np.float32) for c, _ in codes]
-        self.path = [np.array(p, np.int64) for _, p in codes]
-        grams = [ngram_buckets_py(w, cfg.min_n, cfg.max_n, cfg.ngram_buckets, cfg.ngram_mode) for w in words]
-        self.buckets = np.array(sorted({b for g in grams for b in g}), np.int64)
-        self.grams = [np.searchsorted(self.buckets, g).astype(np.int64) for g in grams]
+        self.path_start, self.path, self.target = tree.start, tree.path, (1 - tree.code).astype(np.float32)
+        self.gram_start, grams = ngram_buckets_many(words, cfg.min_n, cfg.max_n, cfg.ngram_buckets, cfg.ngram_mode)
+        self.buckets, self.grams = np.unique(grams, return_inverse=True)
+
+    def paths(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `path`, row of `words`) of all nodes above the words."""
+        return spans(self.path_start, words)
+
+    def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return spans(self.gram_start, words)
+
+
+def spans(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places start[r]..start[r + 1] - 1 of all rows r, one after the other, and the number of the row that each belongs to."""
+    size = start[rows + 1] - start[rows]
+    owner = np.repeat(np.arange(len(rows)), size)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + start[rows][owner], owner
+
+
+# Odd multipliers of the draws and of the finalizer that mixes them.
+MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+FINAL = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def draws(seed: int, epoch: int, sample: np.ndarray, pos: np.ndarray, use: np.ndarray | int) -> np.ndarray:
+    """Unsigned 64-bit draws. `use` is 0 for whether a centre is skipped, 1 for its window, 2 + o for whether the context at position o is."""
+    with np.errstate(over="ignore"):
+        x = np.uint64((seed << 20) + epoch) * np.uint64(MULT[0]) + sample.astype(np.uint64) * np.uint64(MULT[1]) + pos.astype(np.uint64) * np.uint64(MULT[2]) + np.asarray(use).astype(np.uint64) * np.uint64(MULT[3])
+        for m, r in ((FINAL[0], 30), (FINAL[1], 27)):
+            x = (x ^ (x >> np.uint64(r))) * np.uint64(m)
+        return x ^ (x >> np.uint64(31))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+def pairs_of(lex: Lexicon, cfg: Config, epoch: int, sample: np.ndarray, start: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, word) of the centres that aren't skipped, and (centre, context word) of the pairs. ids: the words of all lines, -1 outside the vocabulary; start: where each line begins."""
+    line = np.repeat(np.arange(len(sample)), np.diff(start))
+    pos = np.arange(len(ids)) - start[line]
+    at = np.flatnonzero(ids >= 0)
+    at = at[unit(draws(cfg.seed, epoch, sample[line[at]], pos[at], 0)) >= lex.discard[ids[at]]]
+    reach = 1 + (draws(cfg.seed, epoch, sample[line[at]], pos[at], 1) % np.uint64(cfg.window_size)).astype(np.int64)
+    step = np.array([o for o in range(-cfg.window_size, cfg.window_size + 1) if o])
+    other = at[:, None] + step
+    ok = (np.abs(step) <= reach[:, None]) & (other >= start[line[at]][:, None]) & (other < start[line[at] + 1][:, None])
+    centre, k = np.nonzero(ok)
+    other = other[centre, k]
+    known = ids[other] >= 0
+    centre, other = centre[known], other[known]
+    stays = unit(draws(cfg.seed, epoch, sample[line[at[centre]]], pos[at[centre]], 2 + pos[other])) >= lex.discard[ids[other]]
+    return line[at], ids[at], centre[stays], ids[other[stays]]
+
+
+def _mean(m: np.ndarray, start: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The mean row of each line's tokens, zero where a line has none."""
+    size = np.diff(start)
+    out = np.zeros((len(size), m.shape[1]), np.float32)
+    if len(tokens):
+        some = np.flatnonzero(size)
+        out[some] = np.add.reduceat(m[tokens], start[some], axis=0) / size[some][:, None]
+    return out
+
+
+def _add_rows(m: np.ndarray, rows: np.ndarray, moves: np.ndarray) -> None:
+    """m[rows[i]] += moves[i], repeats included."""
+    if len(rows):
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        m[rows[first]] += np.add.reduceat(moves[order], first, axis=0)
+
+
+def train_batch(p: Params, lex: Lexicon, cfg: Config, lr: float, group: tuple, line: np.ndarray, word: np.ndarray, centre: np.ndarray, context: np.ndarray) -> tuple[float, int]:
+    """One batch in place; returns (loss, predictions). group: (start, tokens) of the patient and of the encounter tokens of each line."""
+    if not len(centre):
+        return 0.0, 0
+    (ps, pt), (es, et) = group
+    own, of = np.unique(word, return_inverse=True)
+    at, owner = lex.grams_of(own)
+    grams = lex.grams[at]
+    vec = p.input[own]
+    if len(grams):
+        some, first = np.unique(owner, return_index=True)
+        vec[some] += np.add.reduceat(p.ngram[grams], first, axis=0)
+    z = np.concatenate([vec[of], _mean(p.patient, ps, pt)[line], _mean(p.encounter, es, et)[line]], axis=1)
+    h = z @ p.W_proj.T
+    at, pair = lex.paths(context)
+    nodes, node = np.unique(lex.path[at], return_inverse=True)
+    cell = centre[pair] * len(nodes) + node
+    shape = (len(word), len(nodes))
+    visits = np.bincount(cell, minlength=shape[0] * shape[1]).astype(np.float32).reshape(shape)
+    ones = np.bincount(cell, lex.target[at], shape[0] * shape[1]).astype(np.float32).reshape(shape)
+    rows = p.output[nodes]
+    s = 1 / (1 + np.exp(-np.clip(h @ rows.T, -CLAMP, CLAMP)))
+    up, down = lr * (1 - s), -lr * s
+    grad = (ones * up + (visits - ones) * down) @ rows
+    sure = np.clip(s, EPS, 1 - EPS)
+    loss = -float((ones * np.log(sure)).sum(dtype=float) + ((visits - ones) * np.log1p(-sure)).sum(dtype=float))
+    size = np.sqrt((h * h).sum(axis=1, keepdims=True))
+    if cfg.grad_clip > 0:  # each visit's move is clipped by itself
+        up = up * np.minimum(1, cfg.grad_clip / np.maximum(up * size, 1e-30))
+        down = down * np.minimum(1, cfg.grad_clip / np.maximum(-down * size, 1e-30))
+    move = (ones * up + (visits - ones) * down).T @ h
+    if cfg.batch > 1:
+        move /= 1 + lr * ((visits * s * (1 - s)).T @ (size * size))
+    p.output[nodes] = rows + move
+    if cfg.grad_clip > 0:
+        grad *= np.minimum(1, cfg.grad_clip / np.maximum(np.sqrt((grad * grad).sum(axis=1, keepdims=True)), 1e-30))
+    q = grad @ p.W_proj
+    back = np.float32(lr if cfg.lr_mode == "reference" else 1.0)
+    p.W_proj += back * (grad.T @ z)
+    q *= back
+    mid = cfg.d_word + cfg.d_patient
+    moved = np.zeros((len(own), cfg.d_word), np.float32)
+    _add_rows(moved, of, q[:, : cfg.d_word])
+    p.input[own] += moved
+    _add_rows(p.ngram, grams, moved[owner])
+    for m, start, tokens, part in ((p.patient, ps, pt, q[:, cfg.d_word : mid]), (p.encounter, es, et, q[:, mid:])):
+        per_line = np.zeros((len(start) - 1, m.shape[1]), np.float32)
+        _add_rows(per_line, line, part)
+        count = np.diff(start)
+        _add_rows(m, tokens, np.repeat(per_line / np.maximum(count, 1)[:, None], count, axis=0))
+    return loss, int(visits.sum(dtype=float))
+
+
+def _known(lists: list, index: dict[str, int], keep_unknown: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(start, ids) of lists of tokens; unknown ones are -1 or left out."""
+    get = index.get
+    ids = [[get(t, -1) for t in x or ()] for x in lists] if keep_unknown else [[i for t in x or () if (i := get(t, -1)) >= 0] for x in lists]
+    start = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum([len(x) for x in ids], out=start[1:])
+    return start, np.fromiter(chain.from_iterable(ids), np.int64, int(start[-1]))
+
+
+def train_lines(p: Params, lex: Lexicon, cfg: Config, epoch: int, lr: float, sample: np.ndarray, words: list, patient: list, encounter: list) -> tuple[float, int]:
+    """All of these lines, batch by batch; returns (loss, predictions)."""
+    start, ids = _known(words, lex.word, True)
+    groups = [_known(patient, lex.patient, False), _known(encounter, lex.encounter, False)]
+    line, word, centre, context = pairs_of(lex, cfg, epoch, sample, start, ids)
+    loss, preds = 0.0, 0
+    for a in range(0, len(sample), cfg.batch):
+        b = min(a + cfg.batch, len(sample))
+        c0, c1 = np.searchsorted(line, (a, b))
+        p0, p1 = np.searchsorted(centre, (c0, c1))
+        part = [(s[a : b + 1] - s[a], t[s[a] : s[b]]) for s, t in groups]
+        x, y = train_batch(p, lex, cfg, lr, part, line[c0:c1] - a, word[c0:c1], centre[p0:p1] - c0, context[p0:p1])
+        loss, preds = loss + x, preds + y
+    return loss, preds
 
 
-def forward(p: Params, lex: Lexicon, w: int, pat: np.ndarray, enc: np.ndarray) -> np.ndarray:
-    word = p.input[w] + p.ngram[lex.grams[w]].sum(axis=0)
-    mean = lambda m, i: m[i].mean(axis=0) if len(i) else np.zeros(m.shape[1], np.float32)
-    return np.concatenate([word, mean(p.patient, pat), mean(p.encounter, enc)])
+# ---------------------------------------------------------------- rounds
 
+#: Rows of one block of differences.
+BLOCK = 1024
+DELTAS = "matrix string, block long, rows binary, tasks binary, vec binary"
+_DELTA_ARROW = pa.schema([("matrix", pa.string()), ("block", pa.int64()), ("rows", pa.binary()), ("tasks", pa.binary()), ("vec", pa.binary())])
 
-def train_sample(p: Params, lex: Lexicon, cfg: Config, words: list[str], patient: list[str], encounter: list[str], lr: float, rng: np.random.Generator) -> tuple[float, int]:
-    """One sample in place; returns (loss, predictions). Words that are skipped or unknown still take up their places in windows."""
-    ids = [lex.word.get(w, -1) for w in words]
-    pat = np.array([i for t in patient if (i := lex.patient.get(t, -1)) >= 0], np.int64)
-    enc = np.array([i for t in encounter if (i := lex.encounter.get(t, -1)) >= 0], np.int64)
-    loss, preds = 0.0, 0
-    back = lr if cfg.lr_mode == "reference" else 1.0
-    for c, w in enumerate(ids):
-        if w < 0 or rng.random() < lex.discard[w]:
-            continue
-        z = forward(p, lex, w, pat, enc)
-        h = p.W_proj @ z
-        grad = np.zeros(cfg.d_out, np.float32)
-        win = 1 + int(rng.integers(cfg.window_size))
-        for o in range(max(0, c - win), min(len(ids), c + win + 1)):
-            if o == c or ids[o] < 0 or rng.random() < lex.discard[ids[o]]:
-                continue
-            # the nodes of a path differ, and h stays as it is, so a path is one step
-            path = lex.path[ids[o]]
-            rows = p.output[path]
-            s = 1 / (1 + np.exp(-np.clip(rows @ h, -CLAMP, CLAMP)))
-            t = 1 - lex.code[ids[o]]
-            g = (lr * (t - s)).astype(np.float32)
-            grad += g @ rows
-            move = g[:, None] * h
-            if cfg.grad_clip > 0:
-                move *= np.minimum(1, cfg.grad_clip / np.maximum(np.abs(g) * np.sqrt(h @ h), 1e-30))[:, None].astype(np.float32)
-            p.output[path] = rows + move
-            s = np.clip(s, EPS, 1 - EPS)
-            loss -= float((t * np.log(s) + (1 - t) * np.log(1 - s)).sum())
-            preds += len(path)
-        grad = clip(grad, cfg.grad_clip)
-        q = p.W_proj.T @ grad
-        p.W_proj += np.float32(back) * np.outer(grad, z)
-        own, mid = q[: cfg.d_word] * back, cfg.d_word + cfg.d_patient
-        p.input[w] += own
-        np.add.at(p.ngram, lex.grams[w], own)
-        if len(pat):
-            np.add.at(p.patient, pat, q[cfg.d_word : mid] * (back / len(pat)))
-        if len(enc):
-            np.add.at(p.encounter, enc, q[mid:] * (back / len(enc)))
-    return loss, preds
 
+def _blocks(name: str, rows: np.ndarray, vec: np.ndarray, tasks: np.ndarray) -> Iterator[tuple]:
+    for b in np.unique(rows // BLOCK):
+        m = rows // BLOCK == b
+        yield name, int(b), rows[m].astype(np.int64).tobytes(), tasks[m].astype(np.float32).tobytes(), np.ascontiguousarray(vec[m], np.float32).tobytes()
 
-def _deltas(old: Params, new: Params) -> Iterator[tuple[str, int, np.ndarray]]:
+
+def _deltas(old: Params, new: Params) -> Iterator[tuple]:
+    """Rows that changed; of dense matrices all, so that their mean is over all tasks."""
     for k in SPARSE + DENSE:
-        d = getattr(new, k) - getattr(old, k)
-        for i in np.flatnonzero(d.any(axis=1)):
-            yield k, int(i), d[i]
+        for at in range(0, len(getattr(new, k)), BLOCK):
+            d = getattr(new, k)[at : at + BLOCK] - getattr(old, k)[at : at + BLOCK]
+            i = np.arange(len(d)) if k in DENSE else np.flatnonzero(d.any(axis=1))
+            if len(i):
+                yield from _blocks(k, i + at, d[i], np.ones(len(i)))
+
+
+def _arrow(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _DELTA_ARROW, strict=True)], schema=_DELTA_ARROW)
+
+
+def _summed(rows: list[tuple]) -> list[tuple]:
+    """One block for each (matrix, block): sums over its rows and how many tasks had each."""
+    total: dict[tuple, list] = {}
+    for name, block, r, t, v in rows:
+        r, t = np.frombuffer(r, np.int64), np.frombuffer(t, np.float32)
+        v = np.frombuffer(v, np.float32).reshape(len(r), -1)
+        if (name, block) not in total:
+            total[name, block] = [np.zeros((BLOCK, v.shape[1]), np.float32), np.zeros(BLOCK, np.float32)]
+        sums, count = total[name, block]
+        sums[r % BLOCK] += v
+        count[r % BLOCK] += t
+    return [x for (name, block), (sums, count) in total.items() for i in [np.flatnonzero(count)] for x in _blocks(name, i + block * BLOCK, sums[i], count[i])]
 
 
-def run_round(samples: DataFrame, params: Params, lexicon, cfg: Config, epoch: int, lr: float) -> tuple[dict[tuple[str, int], tuple[np.ndarray, int]], float, int, int]:
-    """Summed differences by (matrix, row) with the number of tasks that had samples, the loss and the predictions."""
+def run_round(samples: DataFrame, params: Params, lexicon, cfg: Config, epoch: int, lr: float) -> tuple[list[tuple], float, int, int]:
+    """Blocks of summed differences, the loss, the predictions and the samples."""
     spark = samples.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(params)
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old, lex = sent.value, lexicon.value
         mine, loss, preds, n = old.copy(), 0.0, 0, 0
-        for f in frames:
-            for i, words, pat, enc in zip(f["sample"], f["words"], f["patient"], f["encounter"], strict=True):
-                rng = np.random.Generator(np.random.Philox(key=[cfg.seed << 20 | epoch, int(i)]))
-                a, b = train_sample(mine, lex, cfg, list(words), list(pat), list(enc), lr, rng)
-                loss, preds, n = loss + a, preds + b, n + 1
+        for b in batches:
+            sample = b.column(0).to_numpy(zero_copy_only=False)
+            a, c = train_lines(mine, lex, cfg, epoch, lr, sample, *[b.column(i).to_pylist() for i in (1, 2, 3)])
+            loss, preds, n = loss + a, preds + c, n + len(sample)
         if n:
-            rows = [*_deltas(old, mine), ("tasks", 0, np.array([loss, preds, n, 1.0]))]
-            for at in range(0, len(rows), 4096):
-                part = rows[at : at + 4096]
-                yield pd.DataFrame({"matrix": [r[0] for r in part], "row": [r[1] for r in part], "vec": [r[2].astype(np.float64) for r in part]})
-
-    def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple[str, int], np.ndarray] = {}
-        for f in frames:
-            for m, r, v in zip(f["matrix"], f["row"], f["vec"], strict=True):
-                total[m, r] = total[m, r] + v if (m, r) in total else np.array(v)
-        if total:
-            yield pd.DataFrame({"matrix": [k[0] for k in total], "row": [k[1] for k in total], "vec": list(total.values())})
-
-    schema = "matrix string, row long, vec array<double>"
-    got = samples.select("sample", "words", "patient", "encounter").mapInPandas(task, schema).repartition("matrix", "row").mapInPandas(combine, schema)
-    rows = {(r.matrix, r.row): np.array(r.vec) for r in got.collect()}  # at most the model's own rows
-    sent.unpersist()
-    loss, preds, n, tasks = rows.pop(("tasks", 0), np.zeros(4))
-    return {k: (v, int(tasks)) for k, v in rows.items()}, float(loss), int(preds), int(n)
-
-
-def apply(params: Params, deltas: dict[tuple[str, int], tuple[np.ndarray, int]], cfg: Config) -> None:
-    for (name, row), (v, tasks) in deltas.items():
-        getattr(params, name)[row] += (v / tasks if name in DENSE else v).astype(np.float32)
+            yield _arrow([("tasks", 0, np.array([0]).tobytes(), np.ones(1, np.float32).tobytes(), np.array([loss, preds, n], np.float64).tobytes())])
+            rows = list(_deltas(old, mine))
+            for at in range(0, len(rows), 64):
+                yield _arrow(rows[at : at + 64])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:  # blocks of one kind come together, so a task holds at most its share of the model
+            rows = list(zip(*[b.column(i).to_pylist() for i in range(5)], strict=True))
+            for r in rows:
+                if r[0] == "tasks":
+                    yield _arrow([r])
+            held = _summed([*held, *[r for r in rows if r[0] != "tasks"]])
+        for at in range(0, len(held), 64):
+            yield _arrow(held[at : at + 64])
+
+    got = samples.select("sample", "words", "patient", "encounter").mapInArrow(task, DELTAS)
+    got = materialize(got.repartition("matrix", "block").mapInArrow(combine, DELTAS), "deltas")
+    facts = [np.frombuffer(r.vec) for r in got.filter("matrix = 'tasks'").select("vec").collect()]  # one for each task
+    rows = [tuple(r) for r in got.filter("matrix <> 'tasks'").toLocalIterator()]  # at most the model's own rows, as bytes
+    sent.destroy()
+    release(got)
+    loss, preds, n = np.sum(facts, axis=0) if facts else (0.0, 0.0, 0.0)
+    return rows, float(loss), int(preds), int(n)
+
+
+def apply(params: Params, blocks: list[tuple], cfg: Config) -> None:
+    for name, _, r, t, v in blocks:
+        r, t = np.frombuffer(r, np.int64), np.frombuffer(t, np.float32)
+        getattr(params, name)[r] += np.frombuffer(v, np.float32).reshape(len(r), -1) / t[:, None]
     if cfg.weight_decay > 0:
         params.W_proj *= np.float32(1 - cfg.weight_decay)
 
@@ -212,39 +354,47 @@ def fit(lines: DataFrame, cfg: Config | None = None, value: str = "value", key:
     """Trains on corpus lines. Returns the model and one row of metrics for each epoch (epoch, avg_loss, predictions, seconds, lr).
 
     Raises ValueError on an empty vocabulary and FloatingPointError, naming all bad matrices, when parameters stop being finite.
-    `key` names a column that tells lines apart; without it lines are numbered by their text and repeats by chance of place.
+    `key` names a whole-number column that tells lines apart and numbers them for the draws; without it lines are numbered by their text and repeats by chance of place.
     """
     cfg = cfg or Config()
     spark = lines.sparkSession
     vocabs = vocabularies(materialize(token_counts(counting_samples(lines, value)), "counts"), cfg.threshold)
-    vocabs["word"] = materialize(huffman.with_codes(vocabs["word"]), "coded")
-    word = vocabs["word"].orderBy("idx").toPandas()  # bounded by the vocabulary, as the tree is
-    if not len(word):
+    word = vocabs["word"].orderBy("idx").toArrow()  # bounded by the vocabulary, as the tree is
+    if not word.num_rows:
         raise ValueError("the vocabulary is empty: no word reaches the threshold")
     patient, encounter = ([r.token for r in vocabs[g].orderBy("idx").collect()] for g in ("patient", "encounter"))
-    freq = word["freq"].to_numpy(float)
+    freq = word["freq"].to_numpy().astype(float)
+    tree = huffman.codes(freq)
+    vocabs["word"] = vocabs["word"].join(huffman.table(spark, tree), "idx")
     discard = np.maximum(0, 1 - np.sqrt(cfg.subsample * freq.sum() / freq))
-    lex = Lexicon(word["token"].tolist(), list(zip(word["code"], word["path"], strict=True)), discard, patient, encounter, cfg)
-    params = Params(cfg, len(word), len(patient), len(encounter), lex.buckets)
-    order = [F.xxhash64(value), F.col(value)] + ([F.col(key)] if key else [])
-    ranked = dense_index(training_samples(lines, value), order, "sample")
-    ranked = materialize(ranked.withColumn("round", F.floor(F.col("sample") / cfg.chunk_size)).select("sample", "round", "words", "patient", "encounter"), "samples")
-    n = ranked.count()
+    lex = Lexicon(word["token"].to_pylist(), tree, discard, patient, encounter, cfg)
+    params = Params(cfg, len(freq), len(patient), len(encounter), lex.buckets)
+    read = training_samples(lines, value)
+    numbered = read.withColumn("sample", F.col(key).cast("long")) if key else dense_index(read, [F.xxhash64(value), F.col(value)], "sample")
+    n, tasks = numbered.count(), spark.sparkContext.defaultParallelism
+    rounds = max(1, -(-n // (cfg.chunk_size * tasks)))
+    slot = F.pmod(F.xxhash64("sample"), F.lit(rounds * tasks))
+    dealt = numbered.select("sample", "words", "patient", "encounter", F.floor(slot / tasks).alias("round"), F.pmod(slot, F.lit(tasks)).alias("task")).repartition(tasks, "task").drop("task")
+    folder = f"{checkpoint_dir(spark)}/covarium-{uuid.uuid4().hex}-samples"
+    dealt.write.partitionBy("round").parquet(folder)
     per_epoch = count_lines(lines.withColumnRenamed(value, "value")) if cfg.count_bad_lines else n
     total, step = cfg.epoch * per_epoch, 0
     sent = spark.sparkContext.broadcast(lex)
     metrics = []
     for epoch in range(cfg.epoch):
         began, loss, preds, lr = time.time(), 0.0, 0, cfg.lr
-        for r in range(-(-n // cfg.chunk_size)):
+        for r in range(rounds if n else 0):
             lr = learning_rate(cfg.lr, step, total)
-            deltas, a, b, seen = run_round(ranked.filter(F.col("round") == r), params, sent, cfg, epoch, lr)
-            apply(params, deltas, cfg)
+            part = spark.read.schema("sample long, words array<string>, patient array<string>, encounter array<string>").parquet(f"{folder}/round={r}")
+            blocks, a, b, seen = run_round(part, params, sent, cfg, epoch, lr)
+            apply(params, blocks, cfg)
             loss, preds, step = loss + a, preds + b, step + seen
         bad = [f"{m}: {x} NaN, {y} infinite" for m, x, y in params.health() if x or y]
         if bad:
             raise FloatingPointError("parameters are not finite after epoch %d: %s" % (epoch + 1, "; ".join(bad)))
         metrics.append((epoch + 1, loss / preds if preds else 0.0, preds, time.time() - began, lr))
+    sent.destroy()
+    delete(spark, folder)
     tables = matrix_table(spark, "output", params.output)
     for name in ("input", "W_proj", "patient", "encounter"):
         tables = tables.unionByName(matrix_table(spark, name, getattr(params, name)))

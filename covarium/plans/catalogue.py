@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covarium.functions import categories, text, vectors
-from covarium.functions.hashing import ngram_buckets, ngram_texts, portable_int
+from covarium.functions import categories, hashing, text, vectors
+from covarium.functions.hashing import ngram_texts, portable_int
 from covarium.operators import compose, covariates, huffman, resample, search, sentences, skipgram, training, uncertainty, vocabulary
 from covarium.session import spread
 from covarium.sources import corpus, model_store
@@ -94,14 +94,37 @@ def discard_probs(spark: SparkSession, d: str) -> DataFrame:
     return v.select("token", "freq", F.round("discard_prob", 6).alias("discard_prob"))
 
 
-@query()
+#: CTEs over c (token, freq): the vocabulary with at least 5 occurrences, the tree's merges one after the other (m keeps one row), its edges, and codes and paths from the root down.
+H_SQL = """
+v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY freq DESC, token) - 1 AS idx, token, freq FROM c WHERE freq >= 5),
+f AS MATERIALIZED (SELECT list(freq ORDER BY idx) AS fr, count(*) AS n FROM v),
+m(k, leaf, inr, w, a, b) USING KEY (k) AS (
+  SELECT 0, n, 1::BIGINT, []::BIGINT[], []::BIGINT[], []::BIGINT[] FROM f
+  UNION
+  SELECT 0, leaf2, inr2, list_append(w, (CASE WHEN one THEN fr[leaf] ELSE w[inr] END + CASE WHEN two THEN fr[leaf1] ELSE w[inr1] END)::BIGINT),
+    list_append(a, CASE WHEN one THEN leaf - 1 ELSE n + inr - 1 END), list_append(b, CASE WHEN two THEN leaf1 - 1 ELSE n + inr1 - 1 END)
+  FROM (SELECT *, leaf1 - two::BIGINT AS leaf2, inr1 + (NOT two)::BIGINT AS inr2 FROM (
+    SELECT *, leaf1 >= 1 AND (inr1 > len(w) OR fr[leaf1] <= w[inr1]) AS two FROM (
+      SELECT *, leaf - one::BIGINT AS leaf1, inr + (NOT one)::BIGINT AS inr1 FROM (
+        SELECT *, leaf >= 1 AND (inr > len(w) OR fr[leaf] <= w[inr]) AS one FROM m, f WHERE len(w) < n - 1))))
+),
+e AS MATERIALIZED (SELECT n + j - 1 AS up, a[j] AS node, 0 AS bit FROM m, f, (SELECT unnest(range(1, n)) AS j FROM f) UNION ALL SELECT n + j - 1, b[j], 1 FROM m, f, (SELECT unnest(range(1, n)) AS j FROM f)),
+d(node, code, path) AS (
+  SELECT greatest(2 * n - 2, 0), []::INTEGER[], []::INTEGER[] FROM f WHERE n > 0
+  UNION ALL SELECT e.node, list_append(code, bit::INTEGER), list_append(path, (up - n)::INTEGER) FROM d JOIN e ON e.up = d.node, f
+)"""
+
+
+@query(f"WITH RECURSIVE {W_SQL}, {H_SQL} SELECT idx, token, freq, code, path FROM v JOIN d ON node = idx")
 def huffman_codes(spark: SparkSession, d: str) -> DataFrame:
     return huffman.with_codes(vocabulary.indexed(_word_counts(spark, d), 5))
 
 
-@query()
+@query(f"""WITH RECURSIVE {W_SQL}, {H_SQL} SELECT count(*) AS words, min(len(path)) AS min_depth, max(len(path)) AS max_depth, (sum(len(path)) // count(*))::BIGINT AS avg_depth,
+    count(*) FILTER (len(path) = 0) AS zero_depth, sum(len(path) * freq)::BIGINT AS weighted_length FROM v JOIN d ON node = idx""")
 def huffman_stats(spark: SparkSession, d: str) -> DataFrame:
-    return huffman.depth_stats(huffman_codes(spark, d))
+    s = huffman.depth_stats(huffman_codes(spark, d))
+    return s.select(*[F.col(c).cast("bigint").alias(c) for c in s.columns])
 
 
 @query(f"WITH {W_SQL}, v AS (SELECT row_number() OVER (ORDER BY freq DESC, token) - 1 AS idx, token FROM c WHERE freq >= 5) SELECT p_partkey, k.token, coalesce(v.idx, -1) AS idx FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part) k LEFT JOIN v ON v.token = k.token")
@@ -229,9 +252,31 @@ s AS (
 )"""
 
 
+#: CTE: cleaned sentences by Unicode classes: white space is collapsed, characters that don't print go, and a mark ends no sentence after an abbreviation or an initial.
+_WHITE = r"[\t\n\x0B\f\r \x85\p{Z}]"
+_AFTER_ABBREVIATION = r"(^|[^\p{L}\p{N}])((?:(?i:" + "|".join(text.ABBREVIATIONS) + r"))[.]) "
+_AFTER_INITIAL = r"(^|[^\p{L}\p{N}.])([\p{L}][.]) "
+
+
+def _twice(t: str, protect: str) -> str:
+    """Blanks that end no sentence become U+0001; a second pass finds those whose left neighbour the first one took."""
+    once = f"regexp_replace({t}, '{protect}', '\\1\\2' || chr(1), 'g')"
+    return f"regexp_replace({once}, '{protect}', '\\1\\2' || chr(1), 'g')"
+
+
+U_SQL = rf"""
+u0 AS (SELECT doc_id, regexp_replace(trim(regexp_replace(coalesce(text, ''), '{_WHITE}+', ' ', 'g')), '[\p{{C}}\x{{2028}}\x{{2029}}]', '', 'g') AS t FROM documents),
+u1 AS (SELECT doc_id, {_twice(_twice("t", _AFTER_ABBREVIATION), _AFTER_INITIAL)} AS t FROM u0),
+u AS (
+  SELECT doc_id AS row_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)),
+    lambda x: array_to_string(list_filter(list_transform(list_filter(string_split(lower(regexp_replace(replace(x, chr(1), ' '), '\[\*\*.*?\*\*\]', '', 'g')), ' '), lambda y: y <> '' AND NOT regexp_matches(y, '\p{{Nd}}')),
+      lambda y: regexp_replace(y, '[^a-z/\\-]', '', 'g')), lambda y: y <> ''), ' ')), lambda x: length(x) >= 20) AS ss FROM u1
+)"""
+
+
 def _sentence_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(t(spark, d, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
-    return docs.select("doc_id", "lang", "source", text.sentences(F.col("text"), ascii_only=True).alias("Sentences"))
+    return docs.select("doc_id", "lang", "source", text.sentences(F.col("text"), ascii_only=True, splitter=text.split_marks).alias("Sentences"))
 
 
 @query(f"WITH {S_SQL} SELECT doc_id, unnest(generate_series(0, len(ss) - 1)) AS pos, unnest(ss) AS sentence FROM s WHERE len(ss) > 0")
@@ -250,9 +295,10 @@ def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
     return sentences.totals(_sentence_rows(spark, d).filter(F.size("Sentences") > 0).withColumnRenamed("source", "SUBJECT_ID"))
 
 
-@query()
+@query(f"""WITH {MERGE_SQL}, {U_SQL} SELECT subject_id AS "SUBJECT_ID", row_id AS "ROW_ID", {_SQL_GROUP(covariates.PATIENT_COLS)} AS patient_group, {_SQL_GROUP(covariates.ENCOUNTER_COLS)} AS encounter_group, ss AS "Sentences"
+    FROM merged JOIN u USING (row_id) WHERE len(ss) > 0""")
 def sentence_table(spark: SparkSession, d: str) -> DataFrame:
-    """Whole chain from clinical tables to sentences, with Unicode classes."""
+    """Whole chain from clinical tables to sentences, with Unicode classes and the rule that knows abbreviations."""
     return sentences.sentence_table(_merged(spark, d))
 
 
@@ -328,32 +374,57 @@ def shuffle_rank(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part),
 g AS (SELECT token, n, unnest(range(length(token) + 3 - n)) AS i FROM w, (SELECT unnest([3, 4, 5]) AS n) WHERE length(token) + 2 >= n)
-SELECT token, gram, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(gram, ''), lambda x: ord(x)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UHUGEINT % 2000000 AS bucket_h
+SELECT token, gram, (list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(gram, ''), lambda x: ord(x)::UHUGEINT)),
+    lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) % 2000000)::BIGINT AS bucket
 FROM (SELECT token, substr('<' || token || '>', i + 1, n) AS gram FROM g)
-""".replace("::UHUGEINT % 2000000 AS bucket_h", "::UHUGEINT % 2000000 AS bucket").replace("SELECT token, gram, list_reduce", "SELECT token, gram, (list_reduce").replace("% 2000000 AS bucket", "% 2000000)::BIGINT AS bucket"))
-def ngram_rows(spark: SparkSession, d: str) -> DataFrame:
+""")
+def ngram_buckets(spark: SparkSession, d: str) -> DataFrame:
     w = t(spark, d, "part").select(F.explode(text.tokens(F.col("p_name"))).alias("token")).distinct()
-    z = F.arrays_zip(ngram_texts(F.col("token"), 3, 5).alias("gram"), ngram_buckets(F.col("token"), 3, 5, 2_000_000).alias("bucket"))
+    z = F.arrays_zip(ngram_texts(F.col("token"), 3, 5).alias("gram"), hashing.ngram_buckets(F.col("token"), 3, 5, 2_000_000).alias("bucket"))
     return w.select("token", F.explode(z).alias("z")).select("token", F.col("z.gram").alias("gram"), F.col("z.bucket").alias("bucket"))
 
 
-QUERIES["ngram_buckets"] = QUERIES.pop("ngram_rows")
-ORACLES["ngram_buckets"] = ORACLES.pop("ngram_rows")
-
-
 @query(f"""WITH {W_SQL},
 p AS (SELECT doc_id, len(words) AS n, unnest(range(len(words))) AS pos FROM w),
 q AS (SELECT doc_id, n, pos, ('0x' || substr(md5('42-' || doc_id || '-' || pos), 1, 8))::BIGINT % 5 + 1 AS win FROM p),
 r AS (SELECT doc_id, pos, greatest(0, pos - win) AS lo, least(n - 1, pos + win) AS hi FROM q)
 SELECT doc_id, sum(hi - lo)::BIGINT AS n_pairs, sum((lo + hi) * (hi - lo + 1) // 2 - pos)::BIGINT AS ctx_pos_sum, sum(pos * (hi - lo))::BIGINT AS pos_sum FROM r WHERE hi > lo GROUP BY doc_id""")
 def skipgram_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = skipgram.pairs(_words(spark, d), ["doc_id"])
+    p = skipgram.positions(_words(spark, d), ["doc_id"])
     return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("ctx_pos").alias("ctx_pos_sum"), F.sum("pos").alias("pos_sum"))
 
 
-@query()
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _sql_draw(what: str, n: int) -> str:
+    return f"(('0x' || substr(md5('42-{what}-' || id), 1, 8))::BIGINT % {n})"
+
+
+def _sql_choice(what: str, values) -> str:
+    return f"list_extract({_sql_list(values)}, {_sql_draw(what, len(values))} + 1)"
+
+
+def _sql_sample(what: str, fields: dict, most: int) -> str:
+    keyed = ", ".join(f"{{'k': ('0x' || substr(md5('42-{what}-order-{k}-' || id), 1, 8))::BIGINT, 'name': '{k}', 'v': {_sql_choice(f'{what}-{k}', v)}}}" for k, v in fields.items())
+    return f"array_to_string(list_transform(list_sort([{keyed}])[1:{_sql_draw(f'{what}-count', most + 1)}], lambda s: s.v), ' ')"
+
+
+def _sql_filled() -> str:
+    out = _sql_choice("template", corpus.TEMPLATES)
+    for slot, values in corpus.SLOTS.items():
+        out = f"replace({out}, '{{{slot}}}', {_sql_choice(slot, values)})"
+    return out
+
+
+#: Lines of the registered query; the generator's own default is a million.
+DEMO_ROWS = 100_000
+
+
+@query(f"SELECT id, {_sql_sample('patient', corpus.FIELDS, 5)} || ' ||| ' || {_sql_sample('encounter', corpus.ENCOUNTER_FIELDS, 2)} || ' ||| ' || {_sql_filled()} AS value FROM range({DEMO_ROWS}) t(id)")
 def synthetic_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.synthetic_corpus(spark, 20_000)
+    return corpus.synthetic_corpus(spark, DEMO_ROWS)
 
 
 # ---------------------------------------------------------------- vectors
@@ -458,15 +529,14 @@ def compare_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH v AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS x FROM embeddings),
-r AS (SELECT vec_id // 10 AS replicate_id, vec_id % 10 AS slot, x FROM v WHERE vec_id < (SELECT count(*) // 10 * 10 FROM v)),
+r AS (SELECT vec_id // 10 AS replicate_id, vec_id % 10 AS slot, x FROM v),
 s AS (SELECT b.replicate_id, b.slot AS base, t.slot AS target, list_inner_product(b.x, t.x) AS similarity FROM r b JOIN r t USING (replicate_id) WHERE b.slot < 5 AND t.slot >= 5),
 o AS (SELECT base, target, similarity FROM s WHERE replicate_id = 0),
 q AS (SELECT base, target, quantile_cont(similarity::DOUBLE, 0.025) AS lo, quantile_cont(similarity::DOUBLE, 0.975) AS hi, count(*) AS n FROM s WHERE replicate_id > 0 GROUP BY ALL)
 SELECT base, target, round(similarity, 5) AS similarity, round(lo, 5) AS lo, round(hi, 5) AS hi, coalesce(n, 0) AS n FROM o LEFT JOIN q USING (base, target)""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "embeddings")
-    whole = e.agg(F.floor(F.count(F.lit(1)) / 10) * 10).first()[0]
-    v = e.filter(F.col("vec_id") < whole).select(F.floor(F.col("vec_id") / 10).alias("replicate_id"), (F.col("vec_id") % 10).alias("qid"), vectors.normalized(F.col("embedding")).alias("vec"))
+    v = e.select(F.floor(F.col("vec_id") / 10).alias("replicate_id"), (F.col("vec_id") % 10).alias("qid"), vectors.normalized(F.col("embedding")).alias("vec"))
     ci = uncertainty.intervals(uncertainty.similarities(v.filter("qid < 5"), v.filter("qid >= 5")))
     return ci.select("base", "target", *[F.round(x, 5).alias(x) for x in ("similarity", "lo", "hi")], "n")
 
@@ -499,11 +569,45 @@ def part_lines(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", corpus.line(F.lower("p_brand"), F.concat(F.lit("size:"), F.col("p_size")), words).alias("value"))
 
 
+TRAIN = dict(d_word=16, d_patient=4, d_encounter=4, d_out=16, epoch=2, ngram_buckets=50_000, subsample=0.01, weight_decay=1e-5, chunk_size=2_000)
+
+
 @query()
 def train_round_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Two epochs over the part names as a corpus."""
-    cfg = training.Config(d_word=16, d_patient=4, d_encounter=4, d_out=16, epoch=2, ngram_buckets=50_000, subsample=1.0, chunk_size=10_000)
-    return training.fit(part_lines(spark, d), cfg, key="p_partkey")[1]
+    """Two epochs over the part names as a corpus, with subsampling and weight decay."""
+    m = training.fit(part_lines(spark, d), training.Config(**TRAIN), key="p_partkey")[1]
+    return m.select("epoch", F.round("avg_loss", 4).alias("avg_loss"), "predictions", "lr")
+
+
+def _sql_mix(parts: str) -> str:
+    """The trainer's draw in 64-bit arithmetic modulo 2**64."""
+    m, x = "18446744073709551616::UHUGEINT", f"(({parts}) % 18446744073709551616::UHUGEINT)"
+    for k, r in ((training.FINAL[0], 30), (training.FINAL[1], 27)):
+        x = f"(xor({x}, {x} // {1 << r}::UHUGEINT) * {k}::UHUGEINT % {m})"
+    return f"xor({x}, {x} // {1 << 31}::UHUGEINT)"
+
+
+def _sql_draws(use: str) -> str:
+    k = [f"{x}::UHUGEINT" for x in training.MULT]
+    return _sql_mix(f"(({42 << 20} + epoch)::UHUGEINT * {k[0]}) % 18446744073709551616::UHUGEINT + (sample::UHUGEINT * {k[1]}) % 18446744073709551616::UHUGEINT + (pos::UHUGEINT * {k[2]}) % 18446744073709551616::UHUGEINT + (({use})::UHUGEINT * {k[3]}) % 18446744073709551616::UHUGEINT")
+
+
+_SQL_UNIT = "(({}) // 2048::UHUGEINT)::DOUBLE / 9007199254740992.0::DOUBLE"
+
+
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT p_partkey AS sample, list_filter(string_split(p_name || ' ' || lower(p_type) || ' ' || lower(p_brand), ' '), lambda x: x <> '') AS words FROM part),
+c AS (SELECT token, count(*) AS freq FROM (SELECT unnest(words) AS token FROM s) GROUP BY token), {H_SQL},
+k AS MATERIALIZED (SELECT token, len(path) AS depth, greatest(0.0::DOUBLE, 1 - sqrt({TRAIN['subsample']}::DOUBLE * (SELECT sum(freq)::DOUBLE FROM v) / freq)) AS skip FROM v JOIN d ON node = idx),
+p AS MATERIALIZED (SELECT epoch, sample, pos, depth, skip FROM (SELECT sample, unnest(words) AS token, unnest(range(len(words))) AS pos FROM s) JOIN k USING (token), (SELECT unnest(range({TRAIN['epoch']})) AS epoch)),
+ce AS MATERIALIZED (SELECT epoch, sample, pos, 1 + ({_sql_draws('1')} % 5)::BIGINT AS win FROM p WHERE {_SQL_UNIT.format(_sql_draws('0'))} >= skip),
+cx AS (SELECT epoch, sample, pos, depth FROM (SELECT ce.epoch, ce.sample, ce.pos, o.pos AS other, o.depth, o.skip FROM ce JOIN p o ON o.epoch = ce.epoch AND o.sample = ce.sample AND o.pos <> ce.pos AND abs(o.pos - ce.pos) <= win) WHERE {_SQL_UNIT.format(_sql_draws('2 + other'))} >= skip),
+n AS (SELECT count(*) AS lines FROM s)
+SELECT epoch + 1 AS epoch, sum(depth)::BIGINT AS predictions, any_value(lines) AS samples FROM cx, n GROUP BY epoch""")
+def train_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of each epoch: every draw of windows and subsampling, and every path, counts."""
+    lines = part_lines(spark, d)
+    m = training.fit(lines, training.Config(**TRAIN), key="p_partkey")[1]
+    return m.select(F.col("epoch").cast("bigint").alias("epoch"), "predictions", F.lit(lines.count()).cast("bigint").alias("samples"))
 
 
 @query("SELECT doc_id, ('0x' || substr(md5('7-' || doc_id), 1, 8))::BIGINT AS draw FROM documents")

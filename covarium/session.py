@@ -65,7 +65,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -79,7 +79,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/covarium-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._covarium_path = path
     return out
@@ -94,7 +94,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete the files of tables from `materialize` that nothing reads any more, not even lazily."""
     for df in tables:
-        _delete(df.sparkSession, df._covarium_path)
+        delete(df.sparkSession, df._covarium_path)
 
 
 def tidy(spark: SparkSession) -> None:

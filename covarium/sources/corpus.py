@@ -108,49 +108,51 @@ def query_triples(lines: DataFrame, value: str = "value") -> DataFrame:
 
 # The vocabulary of the demonstration corpus.
 FIELDS = {
-    "age": "infant|child|adolescent|young_adult|adult|middle_aged|aged|elderly",
-    "gender": "male|female",
-    "ethnicity": "white|black|hispanic|asian|other",
-    "language": "english|spanish|portuguese|mandarin|other",
-    "marital": "single|married|divorced|widowed",
-    "insurance": "medicare|medicaid|private|self_pay|government",
+    "age": ["infant", "child", "adolescent", "young_adult", "adult", "middle_aged", "aged", "elderly"],
+    "gender": ["male", "female"],
+    "ethnicity": ["white", "black", "hispanic", "asian", "other"],
+    "language": ["english", "spanish", "portuguese", "mandarin", "other"],
+    "marital": ["single", "married", "divorced", "widowed"],
+    "insurance": ["medicare", "medicaid", "private", "self_pay", "government"],
 }
 ENCOUNTER_FIELDS = {
-    "title": "attending|resident_physician|fellow|nurse|nurse_practitioner|physician_assistant|social_worker|physical_therapist",
-    "admission": "emergency|elective|urgent|newborn",
+    "title": ["attending", "resident_physician", "fellow", "nurse", "nurse_practitioner", "physician_assistant", "social_worker", "physical_therapist"],
+    "admission": ["emergency", "elective", "urgent", "newborn"],
 }
-TEMPLATES = """The patient was admitted with {complaint} and required immediate evaluation.
-Physical examination revealed {finding} consistent with {diagnosis}.
-The patient reported {symptom} for the past {duration}.
-Laboratory results showed {lab_finding} suggesting {diagnosis}.
-The patient was started on {treatment} with good response.
-Follow-up imaging demonstrated {finding} compared to prior studies.
-The patient was discharged in stable condition after {treatment}.
-Vital signs were stable with {vital} within normal limits.
-The patient denied {symptom} at the time of evaluation.
-Family history was significant for {condition}.
-The patient has a history of {condition} managed with {treatment}.
-Neurological examination was intact without focal {finding}.
-Cardiovascular examination revealed {finding} on auscultation.
-The patient was counseled on {topic} prior to discharge.
-Surgical pathology confirmed {diagnosis} with clear margins.
-Chronic {condition} was noted on review of prior records.
-The patient responded well to {treatment} over the course of admission.
-An echocardiogram was obtained showing {finding}.
-The patient was evaluated by {specialist} for further management.
-Social work was consulted to address {topic} prior to discharge."""
+TEMPLATES = [
+    "The patient was admitted with {complaint} and required immediate evaluation.",
+    "Physical examination revealed {finding} consistent with {diagnosis}.",
+    "The patient reported {symptom} for the past {duration}.",
+    "Laboratory results showed {lab_finding} suggesting {diagnosis}.",
+    "The patient was started on {treatment} with good response.",
+    "Follow-up imaging demonstrated {finding} compared to prior studies.",
+    "The patient was discharged in stable condition after {treatment}.",
+    "Vital signs were stable with {vital} within normal limits.",
+    "The patient denied {symptom} at the time of evaluation.",
+    "Family history was significant for {condition}.",
+    "The patient has a history of {condition} managed with {treatment}.",
+    "Neurological examination was intact without focal {finding}.",
+    "Cardiovascular examination revealed {finding} on auscultation.",
+    "The patient was counseled on {topic} prior to discharge.",
+    "Surgical pathology confirmed {diagnosis} with clear margins.",
+    "Chronic {condition} was noted on review of prior records.",
+    "The patient responded well to {treatment} over the course of admission.",
+    "An echocardiogram was obtained showing {finding}.",
+    "The patient was evaluated by {specialist} for further management.",
+    "Social work was consulted to address {topic} prior to discharge.",
+]
 SLOTS = {
-    "complaint": "chest pain|shortness of breath|abdominal pain|altered mental status|fever|syncope|weakness|headache|back pain|falls",
-    "finding": "cardiomegaly|consolidation|effusion|atelectasis|normal sinus rhythm|ST changes|focal deficits|murmur|tenderness|organomegaly",
-    "diagnosis": "pneumonia|heart failure|sepsis|COPD exacerbation|acute MI|pulmonary embolism|urinary tract infection|cellulitis|anemia|dehydration",
-    "symptom": "dyspnea|nausea|vomiting|diarrhea|fatigue|chest tightness|palpitations|dizziness|diaphoresis|lower extremity edema",
-    "duration": "two days|one week|three days|several hours|one month",
-    "treatment": "antibiotics|diuretics|anticoagulation|supplemental oxygen|IV fluids|vasopressors|bronchodilators|insulin|analgesics|steroids",
-    "vital": "blood pressure|heart rate|oxygen saturation|temperature|respiratory rate",
-    "condition": "hypertension|diabetes mellitus|coronary artery disease|COPD|chronic kidney disease|atrial fibrillation|heart failure|hypothyroidism|obesity|depression",
-    "topic": "fall precautions|medication compliance|diet modifications|follow-up appointments|wound care|smoking cessation|activity restrictions",
-    "specialist": "cardiology|pulmonology|nephrology|neurology|gastroenterology|infectious disease|hematology|endocrinology",
-    "lab_finding": "elevated troponin|leukocytosis|anemia|hyponatremia|elevated creatinine|elevated lactate|thrombocytopenia|hypokalemia|coagulopathy",
+    "complaint": ["chest pain", "shortness of breath", "abdominal pain", "altered mental status", "fever", "syncope", "weakness", "headache", "back pain", "falls"],
+    "finding": ["cardiomegaly", "consolidation", "effusion", "atelectasis", "normal sinus rhythm", "ST changes", "focal deficits", "murmur", "tenderness", "organomegaly"],
+    "diagnosis": ["pneumonia", "heart failure", "sepsis", "COPD exacerbation", "acute MI", "pulmonary embolism", "urinary tract infection", "cellulitis", "anemia", "dehydration"],
+    "symptom": ["dyspnea", "nausea", "vomiting", "diarrhea", "fatigue", "chest tightness", "palpitations", "dizziness", "diaphoresis", "lower extremity edema"],
+    "duration": ["two days", "one week", "three days", "several hours", "one month"],
+    "treatment": ["antibiotics", "diuretics", "anticoagulation", "supplemental oxygen", "IV fluids", "vasopressors", "bronchodilators", "insulin", "analgesics", "steroids"],
+    "vital": ["blood pressure", "heart rate", "oxygen saturation", "temperature", "respiratory rate"],
+    "condition": ["hypertension", "diabetes mellitus", "coronary artery disease", "COPD", "chronic kidney disease", "atrial fibrillation", "heart failure", "hypothyroidism", "obesity", "depression"],
+    "topic": ["fall precautions", "medication compliance", "diet modifications", "follow-up appointments", "wound care", "smoking cessation", "activity restrictions"],
+    "specialist": ["cardiology", "pulmonology", "nephrology", "neurology", "gastroenterology", "infectious disease", "hematology", "endocrinology"],
+    "lab_finding": ["elevated troponin", "leukocytosis", "anemia", "hyponatremia", "elevated creatinine", "elevated lactate", "thrombocytopenia", "hypokalemia", "coagulopathy"],
 }
 
 
@@ -159,12 +161,11 @@ def _draw(seed: int, what: str, n: int) -> Column:
     return portable_int(F.concat_ws("-", F.lit(str(seed)), F.lit(what), F.col("id").cast("string"))) % n
 
 
-def _choice(seed: int, what: str, values: str) -> Column:
-    xs = values.split("|")
-    return F.element_at(F.array(*map(F.lit, xs)), (_draw(seed, what, len(xs)) + 1).cast("int"))
+def _choice(seed: int, what: str, values: list[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (_draw(seed, what, len(values)) + 1).cast("int"))
 
 
-def _sample(seed: int, what: str, fields: dict[str, str], most: int) -> Column:
+def _sample(seed: int, what: str, fields: dict[str, list[str]], most: int) -> Column:
     """Between 0 and `most` of the fields' values, in an order of their own."""
     keyed = [F.struct(portable_int(F.concat_ws("-", F.lit(str(seed)), F.lit(f"{what}-order-{k}"), F.col("id").cast("string"))).alias("k"), F.lit(k).alias("name"), _choice(seed, f"{what}-{k}", v).alias("v")) for k, v in fields.items()]
     return F.array_join(F.transform(F.slice(F.array_sort(F.array(*keyed)), 1, _draw(seed, f"{what}-count", most + 1).cast("int")), lambda s: s["v"]), " ")
@@ -172,7 +173,7 @@ def _sample(seed: int, what: str, fields: dict[str, str], most: int) -> Column:
 
 def synthetic_corpus(spark: SparkSession, rows: int = 1_000_000, seed: int = 42) -> DataFrame:
     """(id, value): demonstration lines with 0 to 5 of six patient fields, 0 to 2 encounter fields and a filled template. Every draw hashes seed, purpose and row, so partitions don't matter."""
-    text = _choice(seed, "template", TEMPLATES.replace("\n", "|"))
+    text = _choice(seed, "template", TEMPLATES)
     for slot, values in SLOTS.items():
         text = F.replace(text, F.lit("{" + slot + "}"), _choice(seed, slot, values))
     return spark.range(rows).select("id", line(_sample(seed, "patient", FIELDS, 5), _sample(seed, "encounter", ENCOUNTER_FIELDS, 2), text).alias("value"))

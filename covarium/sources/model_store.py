@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import io
+import atexit
 import json
 import re
 import struct
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covarium.session import checkpoint_dir, delete
+
 VOCAB = "group_name string, idx long, token string, freq long, code array<int>, path array<int>"
 MATRIX = "matrix string, row_idx long, vec array<float>"
 #: Order of the header fields and matrices in the binary file.
@@ -52,71 +56,149 @@ def load(spark: SparkSession, path: str) -> Model:
 
 # ---------------------------------------------------------------- binary file
 
+#: Bytes that are read, turned into a table or written at a time: neither the driver nor a row ever holds a file.
+CHUNK = 32 << 20
+
+
+class _Bytes:
+    """Little-endian numbers from a file of any store that Spark reaches, read chunk by chunk."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            raise FileNotFoundError(path)
+        self.stream, self.jvm = fs.open(p), jvm
+        self.held, self.at = b"", 0
+
+    def take(self, n: int) -> bytes:
+        if n > len(self.held) - self.at:
+            parts, missing = [self.held[self.at :]], n - (len(self.held) - self.at)
+            while missing > 0:
+                got = bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(self.jvm.org.apache.commons.io.input.BoundedInputStream(self.stream, CHUNK)))
+                if not got:
+                    raise EOFError("the model file ends too early")
+                parts.append(got)
+                missing -= len(got)
+            self.held, self.at = b"".join(parts), 0
+        self.at += n
+        return self.held[self.at - n : self.at]
+
+    def ints(self, n: int) -> tuple[int, ...]:
+        return struct.unpack(f"<{n}i", self.take(4 * n))
+
+    def close(self) -> None:
+        self.stream.close()
+
+
+def _put(spark: SparkSession, folder: str, table: pa.Table, schema: str) -> None:
+    spark.createDataFrame(table, schema).coalesce(1).write.mode("append").parquet(folder)
+
 
 def from_binary(spark: SparkSession, path: str) -> Model:
-    """Reads a native model file of any store Spark reads. The file is one unit, so it is parsed in one place; its tables are distributed afterwards."""
-    blob = spark.read.format("binaryFile").load(path).select("content").first()
-    if blob is None:
-        raise FileNotFoundError(path)
-    f = io.BytesIO(blob[0])
-    ints = lambda n: struct.unpack(f"<{n}i", f.read(4 * n))
-    meta = dict(zip(HEADER, ints(8), strict=True))
-    sizes = dict(zip((*GROUPS, "ngram", "output"), ints(5), strict=True))
-    vocab = []
+    """Reads a native model file of any store that Spark reads, of any size: the driver reads it in order, CHUNK bytes at a time, and writes each part to a table in the shared scratch folder."""
+    f = _Bytes(spark, path)
+    meta = dict(zip(HEADER, f.ints(8), strict=True))
+    sizes = dict(zip((*GROUPS, "ngram", "output"), f.ints(5), strict=True))
+    scratch = f"{checkpoint_dir(spark)}/covarium-{uuid.uuid4().hex}-model"
+    atexit.register(delete, spark, scratch)
+    tokens, lists, matrices = "group_name string, idx long, place long, token string", "place long, part string, list array<int>", MATRIX
     for g in GROUPS:
-        for _ in range(sizes[g]):
-            (n,) = struct.unpack("<I", f.read(4))
-            token = f.read(n).decode()
-            vocab.append([g, ints(1)[0], token, None, None, None])
+        rows, held = [], 0
+        for i in range(sizes[g]):
+            (n,) = struct.unpack("<I", f.take(4))
+            token = f.take(n).decode()
+            rows.append((g, f.ints(1)[0], i, token))
+            held += n + 64
+            if held > CHUNK or i == sizes[g] - 1:
+                _put(spark, f"{scratch}/tokens", pa.table(dict(zip(("group_name", "idx", "place", "token"), map(list, zip(*rows, strict=True)), strict=True))), tokens)
+                rows, held = [], 0
     d = meta["d_word"] + meta["d_patient"] + meta["d_encounter"]
     shapes = {"output": (sizes["output"], meta["d_out"]), "ngram": (sizes["ngram"], meta["d_word"]), "input": (sizes["word"], meta["d_word"]), "W_proj": (meta["d_out"], d), "patient": (sizes["patient"], meta["d_patient"]), "encounter": (sizes["encounter"], meta["d_encounter"])}
-    frames = []
     for name in MATRICES:
         r, c = shapes[name]
-        a = np.frombuffer(f.read(4 * r * c), "<f4").reshape(r, c)
-        frames.append(matrix_table(spark, name, a))
-    for at in (4, 5):
+        step = max(1, CHUNK // max(1, 4 * c))
+        for at in range(0, r, step):
+            n = min(step, r - at)
+            a = np.frombuffer(f.take(4 * n * c), "<f4").reshape(n, c)
+            _put(spark, f"{scratch}/matrices", _matrix_rows(name, a, np.arange(at, at + n)), matrices)
+    for part in ("code", "path"):
+        rows, held = [], 0
         for i in range(sizes["word"]):
-            (n,) = struct.unpack("<I", f.read(4))
-            vocab[i][at] = list(ints(n))
+            (n,) = struct.unpack("<I", f.take(4))
+            rows.append((i, part, f.ints(n)))
+            held += 4 * n + 64
+            if held > CHUNK or i == sizes["word"] - 1:
+                _put(spark, f"{scratch}/lists", pa.table({"place": [r[0] for r in rows], "part": [r[1] for r in rows], "list": pa.array([r[2] for r in rows], pa.list_(pa.int32()))}), lists)
+                rows, held = [], 0
+    f.close()
     meta["ngram_buckets"] = sizes["ngram"]
-    tables = frames[0]
-    for x in frames[1:]:
-        tables = tables.unionByName(x)
-    return Model(meta, spark.createDataFrame([tuple(v) for v in vocab], VOCAB), tables)
+    read = lambda part, schema: spark.read.schema(schema).parquet(f"{scratch}/{part}")
+    vocab = read("tokens", tokens) if any(sizes[g] for g in GROUPS) else spark.createDataFrame([], tokens)
+    coded = read("lists", lists) if sizes["word"] else spark.createDataFrame([], lists)
+    pick = lambda p: coded.filter(F.col("part") == p).select(F.lit("word").alias("group_name"), "place", F.col("list").alias(p))
+    vocab = vocab.join(pick("code"), ["group_name", "place"], "left").join(pick("path"), ["group_name", "place"], "left")
+    return Model(meta, vocab.select("group_name", "idx", "token", F.lit(None).cast("long").alias("freq"), "code", "path"), read("matrices", matrices))
+
+
+def _matrix_rows(name: str, a: np.ndarray, rows: np.ndarray) -> pa.Table:
+    n, d = a.shape
+    vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.ascontiguousarray(a, np.float32).reshape(-1)))
+    return pa.table({"matrix": pa.array([name] * n), "row_idx": pa.array(rows, pa.int64()), "vec": vec})
 
 
 def matrix_table(spark: SparkSession, name: str, a: np.ndarray, rows: np.ndarray | None = None) -> DataFrame:
     if not len(a):
         return spark.createDataFrame([], MATRIX)
-    n, d = a.shape
-    vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.ascontiguousarray(a, np.float32).reshape(-1)))
-    ids = np.arange(n) if rows is None else rows
-    return spark.createDataFrame(pa.table({"matrix": pa.array([name] * n), "row_idx": pa.array(ids, pa.int64()), "vec": vec}), MATRIX)
+    return spark.createDataFrame(_matrix_rows(name, a, np.arange(len(a)) if rows is None else rows), MATRIX)
+
+
+def write_binary(model: Model, path: str) -> None:
+    """Writes the native file, of any size, to any store that Spark reaches: rows come to the driver in order, a partition at a time, and go out CHUNK bytes at a time. Absent n-gram rows are written as zeros."""
+    spark = model.vocab.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    held, size = [], 0
+    for part in binary_parts(model):
+        held.append(part)
+        size += len(part)
+        if size > CHUNK:
+            stream.write(bytearray(b"".join(held)))
+            held, size = [], 0
+    stream.write(bytearray(b"".join(held)))
+    stream.close()
 
 
 def to_binary(model: Model) -> bytes:
-    """The native file's bytes, for models that fit one machine; absent n-gram rows are written as zeros."""
+    """The native file's bytes, for models that fit one machine."""
+    return b"".join(binary_parts(model))
+
+
+def binary_parts(model: Model) -> Iterator[bytes]:
     m = model.meta
-    rows = {g: model.words(g).orderBy("idx").collect() for g in GROUPS}
+    counts = {r.group_name: r["count"] for r in model.vocab.groupBy("group_name").count().collect()}
+    sizes = {g: counts.get(g, 0) for g in GROUPS}
     d = m["d_word"] + m["d_patient"] + m["d_encounter"]
-    n_out = max(1, len(rows["word"]) - 1)
-    shapes = {"output": (n_out, m["d_out"]), "ngram": (m["ngram_buckets"], m["d_word"]), "input": (len(rows["word"]), m["d_word"]), "W_proj": (m["d_out"], d), "patient": (len(rows["patient"]), m["d_patient"]), "encounter": (len(rows["encounter"]), m["d_encounter"])}
-    out = [struct.pack("<8i", *[int(m[h]) for h in HEADER]), struct.pack("<5i", *[len(rows[g]) for g in GROUPS], m["ngram_buckets"], n_out)]
+    n_out = max(1, sizes["word"] - 1)
+    shapes = {"output": (n_out, m["d_out"]), "ngram": (m["ngram_buckets"], m["d_word"]), "input": (sizes["word"], m["d_word"]), "W_proj": (m["d_out"], d), "patient": (sizes["patient"], m["d_patient"]), "encounter": (sizes["encounter"], m["d_encounter"])}
+    yield struct.pack("<8i", *[int(m[h]) for h in HEADER]) + struct.pack("<5i", *[sizes[g] for g in GROUPS], m["ngram_buckets"], n_out)
     for g in GROUPS:
-        for r in rows[g]:
+        for r in model.words(g).select("idx", "token").orderBy("idx").toLocalIterator():
             t = r.token.encode()
-            out.append(struct.pack("<I", len(t)) + t + struct.pack("<i", r.idx))
+            yield struct.pack("<I", len(t)) + t + struct.pack("<i", r.idx)
     for name in MATRICES:
-        a = np.zeros(shapes[name], "<f4")
-        for r in model.matrix(name).toLocalIterator():
-            a[r.row_idx] = r.vec
-        out.append(a.tobytes())
+        n, c = shapes[name]
+        at, zero = 0, bytes(4 * c)
+        for r in model.matrix(name).orderBy("row_idx").toLocalIterator():
+            yield zero * (r.row_idx - at) + np.array(r.vec, "<f4").tobytes()
+            at = r.row_idx + 1
+        for _ in range(n - at):
+            yield zero
     for field in ("code", "path"):
-        for r in rows["word"]:
+        for r in model.words("word").select("idx", field).orderBy("idx").toLocalIterator():
             v = r[field] or []
-            out.append(struct.pack(f"<I{len(v)}i", len(v), *v))
-    return b"".join(out)
+            yield struct.pack(f"<I{len(v)}i", len(v), *v)
 
 
 # ---------------------------------------------------------------- ensembles

@@ -114,11 +114,13 @@ def test_ensemble_intervals(spark):
 # ---------------------------------------------------------------- files
 
 
-def test_binary_round_trip(spark, tmp_path):
+def test_binary_round_trip(spark, tmp_path, monkeypatch):
     m, a, names = toy(spark)
     blob = model_store.to_binary(m)
     assert struct.unpack("<8i", blob[:32]) == (6, 3, 2, 5, 3, 5, 1, 5) and struct.unpack("<5i", blob[32:52]) == (5, 2, 2, 40, 4)
-    (tmp_path / "m.bin").write_bytes(blob)
+    monkeypatch.setattr(model_store, "CHUNK", 100)  # many parts
+    model_store.write_binary(m, str(tmp_path / "m.bin"))
+    assert (tmp_path / "m.bin").read_bytes() == blob
     back = model_store.from_binary(spark, str(tmp_path / "m.bin"))
     for k, v in a.items():
         rows = {r.row_idx: r.vec for r in back.matrix(k).collect()}
@@ -153,50 +155,115 @@ def small_lexicon(cfg):
     return training.Lexicon(words, huffman.codes(np.array([8, 4, 2, 1])), np.zeros(4), ["p0", "p1"], ["e0"], cfg)
 
 
+def forward(p, lex, w, pat, enc):
+    grams = lex.grams[lex.gram_start[w] : lex.gram_start[w + 1]]
+    return np.concatenate([p.input[w] + p.ngram[grams].sum(axis=0), p.patient[pat].mean(axis=0), p.encounter[enc].mean(axis=0)])
+
+
 def loss_of(p, lex, w, target, pat, enc):
-    h = p.W_proj.astype(float) @ training.forward(p, lex, w, pat, enc).astype(float)
-    s = 1 / (1 + np.exp(-(p.output[lex.path[target]].astype(float) @ h)))
-    t = 1 - lex.code[target]
+    a, b = lex.path_start[target], lex.path_start[target + 1]
+    h = p.W_proj.astype(float) @ forward(p, lex, w, pat, enc).astype(float)
+    s = 1 / (1 + np.exp(-(p.output[lex.path[a:b]].astype(float) @ h)))
+    t = lex.target[a:b]
     return -float((t * np.log(s) + (1 - t) * np.log(1 - s)).sum())
 
 
-@pytest.mark.parametrize("name", ["output", "input", "ngram", "W_proj", "patient", "encounter"])
+MATRICES = ["output", "input", "ngram", "W_proj", "patient", "encounter"]
+
+
+def run_pairs(p, lex, cfg, lr, pairs, pat, enc, n_lines=1):
+    """One batch of these (centre word, context word) pairs, all of line 0."""
+    word = np.array(sorted({w for w, _ in pairs}))
+    centre = np.array([int(np.searchsorted(word, w)) for w, _ in pairs])
+    order = np.argsort(centre, kind="stable")
+    group = ((np.array([0, len(pat)]), np.array(pat)), (np.array([0, len(enc)]), np.array(enc)))
+    return training.train_batch(p, lex, cfg, lr, group, np.zeros(len(word), np.int64), word, centre[order], np.array([t for _, t in pairs])[order])
+
+
+@pytest.mark.parametrize("name", MATRICES)
 def test_updates_follow_finite_differences(name):
-    """With one pair, no clipping and `standard` step sizes, an update is minus lr times the gradient."""
-    cfg = training.Config(**{**SMALL.__dict__, "grad_clip": 0.0, "lr_mode": "standard", "window_size": 1})
+    """Without clipping and with `standard` step sizes, an update is minus lr times the gradient of the summed loss."""
+    cfg = training.Config(**{**SMALL.__dict__, "grad_clip": 0.0, "lr_mode": "standard", "batch": 1})
     lex = small_lexicon(cfg)
     base = training.Params(cfg, 4, 2, 1, lex.buckets)
-    for k in ("output", "input", "ngram", "W_proj", "patient", "encounter"):
+    for k in MATRICES:
         setattr(base, k, getattr(base, k).astype(np.float64))
-    new, lr = base.copy(), 1e-3
-    lex.discard = np.array([0, 0, 0, 0.0])
-
-    class Draws:
-        def random(self):
-            return 0.5
-
-        def integers(self, n):
-            return 0
-
-    only = {"n": 0}
-    # the second word is outside the vocabulary as a centre only: run the first centre alone
-    training.train_sample(new, lex, cfg, ["a", "bb"], ["p1"], ["e0"], lr, Draws())
-    pat, enc = np.array([1]), np.array([0])
-    mid = base.copy()
-    grads = {}
-    for step, (w, target) in enumerate([(0, 1), (1, 0)]):
-        m = getattr(mid, name)
-        g = np.zeros_like(m)
-        for i in np.ndindex(m.shape):
-            keep = m[i]
-            m[i] = keep + 1e-5
-            up = loss_of(mid, lex, w, target, pat, enc)
-            m[i] = keep - 1e-5
-            g[i] = (up - loss_of(mid, lex, w, target, pat, enc)) / 2e-5
-            m[i] = keep
-        grads[step] = g
-    moved = (getattr(new, name) - getattr(base, name)) / lr
-    assert only["n"] == 0 and moved == pytest.approx(-(grads[0] + grads[1]), abs=0.02, rel=0.02)
+    new, lr, pairs = base.copy(), 1e-3, [(0, 1), (1, 0), (1, 2), (3, 0), (0, 1)]
+    loss, n = run_pairs(new, lex, cfg, lr, pairs, [1, 0, 1], [0])
+    pat, enc = np.array([1, 0, 1]), np.array([0])
+    whole = lambda: sum(loss_of(base, lex, w, t, pat, enc) for w, t in pairs)
+    assert loss == pytest.approx(whole(), rel=1e-4) and n == sum(lex.path_start[t + 1] - lex.path_start[t] for _, t in pairs)
+    m = getattr(base, name)
+    g = np.zeros_like(m)
+    for i in np.ndindex(m.shape):
+        keep = m[i]
+        m[i] = keep + 1e-5
+        up = whole()
+        m[i] = keep - 1e-5
+        g[i] = (up - whole()) / 2e-5
+        m[i] = keep
+    assert (getattr(new, name) - m) / lr == pytest.approx(-g, abs=0.02, rel=0.02)
+
+
+def test_a_batch_of_one_pair_equals_the_step_stated_once():
+    """A plain transcript of the documented step: clipped moves, the step size twice on the way back."""
+    cfg = training.Config(**{**SMALL.__dict__, "grad_clip": 0.05, "batch": 1})
+    lex = small_lexicon(cfg)
+    p = training.Params(cfg, 4, 2, 1, lex.buckets)
+    want, lr, w, t = p.copy(), 0.3, 1, 2
+    z = forward(p, lex, w, np.array([1]), np.array([0]))
+    h, grad = p.W_proj @ z, np.zeros(cfg.d_out)
+    for k in range(lex.path_start[t], lex.path_start[t + 1]):
+        node, target = lex.path[k], lex.target[k]
+        s = 1 / (1 + np.exp(-np.clip(p.output[node] @ h, -20, 20)))
+        grad += lr * (target - s) * p.output[node]
+        want.output[node] += training.clip(lr * (target - s) * h, cfg.grad_clip)
+    grad = training.clip(grad, cfg.grad_clip)
+    q = p.W_proj.T @ grad
+    want.W_proj += lr * np.outer(grad, z)
+    want.input[w] += lr * q[:8]
+    np.add.at(want.ngram, lex.grams[lex.gram_start[w] : lex.gram_start[w + 1]], lr * q[:8])
+    want.patient[1] += lr * q[8:11]
+    want.encounter[0] += lr * q[11:]
+    run_pairs(p, lex, cfg, lr, [(w, t)], [1], [0])
+    for k in MATRICES:
+        assert getattr(p, k) == pytest.approx(getattr(want, k), abs=1e-6), k
+
+
+def test_pairs_equal_a_plain_loop():
+    cfg = training.Config(window_size=3, seed=7)
+    lex = small_lexicon(SMALL)
+    lex.discard = np.array([0.5, 0.2, 0.0, 0.9])
+    ids, start, sample = np.array([0, 1, -1, 2, 3, 0, 0, 1, 2, 2, 1]), np.array([0, 6, 6, 11]), np.array([5, 9, 77])
+    line, word, centre, context = training.pairs_of(lex, cfg, 1, sample, start, ids)
+    one = lambda s, pos, use: int(training.draws(7, 1, np.array([s]), np.array([pos]), use)[0])
+    want = []
+    for k, s in enumerate(sample):
+        row = ids[start[k] : start[k + 1]]
+        for c, w in enumerate(row):
+            if w < 0 or (one(s, c, 0) >> 11) / 2**53 < lex.discard[w]:
+                continue
+            win = 1 + one(s, c, 1) % 3
+            want += [(k, w, row[o]) for o in range(max(0, c - win), min(len(row), c + win + 1)) if o != c and row[o] >= 0 and (one(s, c, 2 + o) >> 11) / 2**53 >= lex.discard[row[o]]]
+    assert list(zip(line[centre], word[centre], context)) == want and want
+
+
+def test_rounds_average_what_tasks_changed():
+    cfg = SMALL
+    old = training.Params(cfg, 6, 2, 1, np.arange(5))
+    a, b = old.copy(), old.copy()
+    a.output[1] += 2
+    b.output[1] += 4
+    b.input[3] += 1
+    a.W_proj += 1
+    blocks = training._summed([*training._deltas(old, a), *training._deltas(old, b)])
+    new = old.copy()
+    training.apply(new, blocks, cfg)
+    assert new.output[1] == pytest.approx(old.output[1] + 3, abs=1e-5) and new.input[3] == pytest.approx(old.input[3] + 1, abs=1e-5)
+    assert new.W_proj == pytest.approx(old.W_proj + 0.5, abs=1e-5) and (new.ngram == old.ngram).all()
+    decayed = old.copy()
+    training.apply(decayed, [], training.Config(weight_decay=0.1))
+    assert decayed.W_proj == pytest.approx(old.W_proj * 0.9)
 
 
 def test_step_size_and_clipping():
