@@ -7,6 +7,7 @@ The merge is sequential, so it runs on the driver, over arrays of a few numbers
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +51,9 @@ class Codes:
     code: np.ndarray
     path: np.ndarray
 
+    def __iter__(self) -> Iterator[tuple[list[int], list[int]]]:
+        return map(self.of, range(len(self.start) - 1))
+
     def of(self, i: int) -> tuple[list[int], list[int]]:
         a, b = self.start[i], self.start[i + 1]
         return self.code[a:b].tolist(), self.path[a:b].tolist()
