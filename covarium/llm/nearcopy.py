@@ -29,6 +29,8 @@ SHINGLE, SEED = 5, 42
 SAMPLE, COMMON = 20_000, 50_000
 #: Rounds in which every node is compared with the likeliest of its groups' centres.
 STARS = 3
+#: Rows of ids (16 bytes each) that are broadcast to find their texts; more go through a shuffle.
+BROADCAST_IDS = 1_000_000
 #: 64-bit words of a set's parities.
 MAP_WORDS = 16
 
@@ -101,10 +103,16 @@ def _similar(left: list, right: list) -> list[list[bool]]:
     return [[9 * k >= 4 * (len(a) + len(b)) for k, a, b in zip(both, left, right, strict=True)]]
 
 
-def check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the pairs that have a Jaccard similarity of 0.8 or more."""
+def check(pairs: DataFrame, small: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (written ones) that have a Jaccard similarity of 0.8 or more. Sets are made of the texts of these pairs' nodes and no others."""
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = materialize(small.join(used, "node", "left_semi").select("least.kid", "least.th"), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, ["kid", "th"], "left_semi").groupBy("kid", "th").agg(F.first("text").alias("text"))
+    sets = materialize(append(texts, ["text"], _sets, "node long, own array<long>", drop=("kid", "th", "text")), "sets")
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     out = materialize(append(both, ["left", "right"], _similar, "near boolean", drop=("left", "right")).filter("near").select("a", "b"), "links")
+    release(ids, sets, pairs)
     tidy(pairs.sparkSession)
     return out
 
@@ -168,26 +176,21 @@ def cluster(docs: DataFrame) -> DataFrame:
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
     shared = materialize(keys.join(several, "key", "left_semi"), "shared")
     tidy(spark)
-    used = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(shared.select("node")).distinct()
-    ids = small.join(used, "node", "left_semi").select("least.kid", "least.th")
-    sets = append(docs.join(ids, ["kid", "th"], "left_semi"), ["text"], _sets, "node long, own array<long>", drop=("kid", "th", "text"))
-    sets = materialize(sets.dropDuplicates(["node"]), "sets")
-    tidy(spark)
 
     links, rows = None, shared
     for k in range(STARS):
         old, rows = rows, centred(rows.select("node", "n", "key"), links, k)
         release(old)
         pairs = _to_centres(rows)
-        more = check(pairs if links is not None else pairs.union(first), sets)
+        more = check(materialize(pairs if links is not None else pairs.union(first), "pairs"), small, docs)
         if links is not None and more.isEmpty():
             break
         links = more if links is None else links.union(more)
     else:
         old, rows = rows, centred(rows.select("node", "n", "key"), links, STARS)
         release(old)
-    links = links.union(check(_rest(rows, nodes), sets))
-    release(rows, sets, first)
+    links = links.union(check(materialize(_rest(rows, nodes), "pairs"), small, docs))
+    release(rows, first)
     return small.join(simhash.components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
 
 
