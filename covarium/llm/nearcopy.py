@@ -117,14 +117,14 @@ def check(pairs: DataFrame, small: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def centred(rows: DataFrame, links: DataFrame | None, k: int) -> DataFrame:
+def centred(rows: DataFrame, roots: DataFrame | None, k: int) -> DataFrame:
     """Rows (node, n, key) with their components so far, and the centre (the k-th choice) of their shingle's group; shingles whose nodes lie in one component go.
 
     Groups are aggregated before anything is shuffled, never gathered.
     """
     r = rows.withColumn("root", F.col("node"))
-    if links is not None:
-        r = rows.join(simhash.components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if roots is not None:
+        r = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = r.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), "node", "n", "root")).alias("top"))
     out = materialize(r.join(groups.filter("lo < hi").select("key", "top"), "key"), "centred")
     tidy(rows.sparkSession)
@@ -177,21 +177,27 @@ def cluster(docs: DataFrame) -> DataFrame:
     shared = materialize(keys.join(several, "key", "left_semi"), "shared")
     tidy(spark)
 
-    links, rows = None, shared
+    roots, rows = None, shared
     for k in range(STARS):
-        old, rows = rows, centred(rows.select("node", "n", "key"), links, k)
+        old, rows = rows, centred(rows.select("node", "n", "key"), roots, k)
         release(old)
         pairs = _to_centres(rows)
-        more = check(materialize(pairs if links is not None else pairs.union(first), "pairs"), small, docs)
-        if links is not None and more.isEmpty():
+        more = check(materialize(pairs if roots is not None else pairs.union(first), "pairs"), small, docs)
+        if roots is not None and more.isEmpty():
             break
-        links = more if links is None else links.union(more)
+        roots = merged(roots, more)
     else:
-        old, rows = rows, centred(rows.select("node", "n", "key"), links, STARS)
+        old, rows = rows, centred(rows.select("node", "n", "key"), roots, STARS)
         release(old)
-    links = links.union(check(materialize(_rest(rows, nodes), "pairs"), small, docs))
+    roots = merged(roots, check(materialize(_rest(rows, nodes), "pairs"), small, docs))
     release(rows, first)
-    return small.join(simhash.components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    return small.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+
+
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) of the components so far and new links: what was found is contracted to one edge a node before more is added."""
+    edges = links if roots is None else links.union(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return materialize(simhash.components(edges), "roots")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
