@@ -15,9 +15,11 @@ QUERIES = {
     "op8_token_counts": wordpiece.query,
     "op9_simhash": simhash.query,
     "op10_toxicity": toxicity.query,
+    "rule_ablations": rules.ablation_query,
 }
 ORACLES = {
     "op2_mixing": mixing.SQL,
     "op5_substring_dedup": substring.SQL,
     "op7_quality_rules": rules.SQL,
+    "rule_ablations": rules.ABLATION_SQL,
 }

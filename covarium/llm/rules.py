@@ -172,3 +172,14 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed, n_lines, n_letter_words FROM f
 """
+
+
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    """The effect of each rule of the production policy, from the ledger's bits alone."""
+    from covarium.llm.common import documents
+
+    return ablations(ledger(documents(spark, sf_dir)))
+
+
+ABLATION_SQL = f"""WITH l AS ({SQL}), r AS (SELECT unnest({[*RULES]}) AS rule, unnest({[*BITS.values()]}) AS bit)
+SELECT rule, coalesce(sum(CASE WHEN failed & bit <> 0 THEN 1 END), 0)::BIGINT AS n_failed, coalesce(sum(CASE WHEN failed = bit THEN 1 END), 0)::BIGINT AS n_only FROM l, r GROUP BY rule"""
