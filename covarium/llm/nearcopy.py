@@ -4,8 +4,8 @@ Shingles are cut as SimHash cuts them (A-Z lower-cased; the whole sequence of a
 Texts with equal sets are one node from the start.
 
 Candidates come in steps, and every one is checked on whole sets before it becomes a link. SimHash links within op9's radius come first, then in each
-group of nodes that share a shingle those with one centre, so that large groups of near copies become one component without their pairs. These steps only
-save work. The last one is complete: if two sets of sizes a and b are similar enough, then in any fixed order of all shingles they share one of their first
+group of nodes that share a shingle those with one centre, then those of small blocks into which a group is dealt, so that large groups of near copies become one component
+without their pairs, whether or not they have a text that all are similar to. These steps only save work. The last one is complete: if two sets of sizes a and b are similar enough, then in any fixed order of all shingles they share one of their first
 a - ceil(0.8 a) + 1 and b - ceil(0.8 b) + 1. Pairs of nodes of different components that share one are counted; a pair goes unchecked only if sizes, parities or the
 number shared rule 0.8 out (a bitmap of the parities of hashed shingles bounds the difference of two sets from below). The order puts shingles that a sample finds common last, which changes the work, never the links.
 
@@ -27,8 +27,10 @@ from covarium.session import materialize, release, tidy
 SHINGLE, SEED = 5, 42
 #: Documents in the sample that finds common shingles, and how many of these are put last.
 SAMPLE, COMMON = 20_000, 50_000
-#: Rounds in which every node is compared with the likeliest of its groups' centres.
-STARS = 3
+#: Rounds before the complete join: one in which every node is compared with the likeliest of its groups' centres, and others in blocks.
+ROUNDS = 3
+#: Nodes of a block, about: the largest group of each node is dealt into so many blocks, and anew in each round.
+BLOCK = 64
 #: Rows of ids (16 bytes each) that are broadcast to find their texts; more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 #: 64-bit words of a set's parities.
@@ -118,15 +120,15 @@ def check(pairs: DataFrame, small: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def centred(rows: DataFrame, links: DataFrame | None, k: int) -> DataFrame:
-    """Rows (node, n, key) with their components so far, and the centre (the k-th choice) of their shingle's group; shingles whose nodes lie in one component go.
+    """Rows (node, n, key) with their components so far, the centre (the k-th choice) of their shingle's group, and its size; shingles whose nodes lie in one component go.
 
     Groups are aggregated before anything is shuffled, never gathered.
     """
     r = rows.withColumn("root", F.col("node"))
     if links is not None:
         r = rows.join(simhash.components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = r.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), "node", "n", "root")).alias("top"))
-    out = materialize(r.join(groups.filter("lo < hi").select("key", "top"), "key"), "centred")
+    groups = r.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), "node", "n", "root")).alias("top"))
+    out = materialize(r.join(groups.filter("lo < hi").select("key", "top", "many"), "key"), "centred")
     tidy(rows.sparkSession)
     return out
 
@@ -138,20 +140,33 @@ def _to_centres(rows: DataFrame) -> DataFrame:
     return likely.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b")
 
 
-def _rest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of `rows` (node, n, key, root) and that neither sizes, nor parities, nor the number shared rule out.
+def _pairs(one: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
+    """Rows of `one` (node, n, root, keys) with those of other components that have equal keys (as a_node, a_n), but for pairs that sizes or parities rule out.
 
     Sets whose parities differ in d places differ in at least d shingles; where that is too many, the join drops the pair as it finds it, so of a group of many texts that
     have a passage in common only pairs come out that are about as similar as wanted.
     """
     maps = nodes.select("node", *[F.element_at("map", i + 1).alias(f"m{i}") for i in range(MAP_WORDS)])
-    one = rows.select("node", "n", "key", "root").join(maps, "node")
+    one = one.select("node", "n", "root", *keys).join(maps, "node")
     two = one.toDF(*[f"a_{c}" for c in one.columns])
-    size = F.col("n") + F.col("a_n")
     apart = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"a_m{i}"))) for i in range(1, MAP_WORDS)), F.bit_count(F.col("m0").bitwiseXOR(F.col("a_m0"))))
-    fit = (5 * F.least("n", "a_n") >= 4 * F.greatest("n", "a_n")) & (9 * apart <= size)
-    pairs = one.join(two, (F.col("key") == F.col("a_key")) & (F.col("node") < F.col("a_node")) & (F.col("root") != F.col("a_root")) & fit)
-    counted = pairs.groupBy(F.col("node").alias("a"), F.col("a_node").alias("b"), F.col("n").alias("n1"), F.col("a_n").alias("n2")).agg(F.count(F.lit(1)).alias("c"))
+    fit = (5 * F.least("n", "a_n") >= 4 * F.greatest("n", "a_n")) & (9 * apart <= F.col("n") + F.col("a_n"))
+    for c in keys:
+        fit &= F.col(c) == F.col(f"a_{c}")
+    return one.join(two, fit & (F.col("node") < F.col("a_node")) & (F.col("root") != F.col("a_root")))
+
+
+def _in_blocks(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of different components within blocks of each node's largest group: work in proportion to the nodes, and in a group in which a share of the pairs is similar
+    every node meets some of its likes."""
+    own = rows.groupBy("node", "n", "root").agg(F.max(F.struct("many", "key")).alias("m"))
+    block = F.pmod(F.xxhash64("node", F.lit(k)), F.ceil(F.col("m.many") / BLOCK))
+    return _pairs(own.select("node", "n", "root", "m.key", block.alias("block")), nodes, "key", "block").select(F.col("node").alias("a"), F.col("a_node").alias("b"))
+
+
+def _rest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of `rows` (node, n, key, root) and that neither sizes, nor parities, nor the number shared rule out."""
+    counted = _pairs(rows, nodes, "key").groupBy(F.col("node").alias("a"), F.col("a_node").alias("b"), F.col("n").alias("n1"), F.col("a_n").alias("n2")).agg(F.count(F.lit(1)).alias("c"))
     return counted.filter(_may(F.col("c"))).select("a", "b")
 
 
@@ -178,16 +193,16 @@ def cluster(docs: DataFrame) -> DataFrame:
     tidy(spark)
 
     links, rows = None, shared
-    for k in range(STARS):
+    for k in range(ROUNDS):
         old, rows = rows, centred(rows.select("node", "n", "key"), links, k)
         release(old)
-        pairs = _to_centres(rows)
-        more = check(materialize(pairs if links is not None else pairs.union(first), "pairs"), small, docs)
+        pairs = _to_centres(rows).union(first) if links is None else _in_blocks(rows, nodes, k)
+        more = check(materialize(pairs, "pairs"), small, docs)
         if links is not None and more.isEmpty():
             break
         links = more if links is None else links.union(more)
     else:
-        old, rows = rows, centred(rows.select("node", "n", "key"), links, STARS)
+        old, rows = rows, centred(rows.select("node", "n", "key"), links, ROUNDS)
         release(old)
     links = links.union(check(materialize(_rest(rows, nodes), "pairs"), small, docs))
     release(rows, first)
