@@ -141,32 +141,38 @@ def _to_centres(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(one: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
-    """Rows of `one` (node, n, root, keys) with those of other components that have equal keys (as a_node, a_n), but for pairs that sizes or parities rule out.
+    """Pairs (a, b, n1, n2; a < b) of rows of `one` (node, n, root, keys, most) of different components with equal keys, but for pairs that sizes or parities rule out.
+
+    `most` is one root a group, the same for all its rows. Of two rows of different components one at least lies outside of that root, so only rows outside of it are compared with
+    all others: where one component has most of a group, its rows are never compared among themselves.
 
     Sets whose parities differ in d places differ in at least d shingles; where that is too many, the join drops the pair as it finds it, so of a group of many texts that
     have a passage in common only pairs come out that are about as similar as wanted.
     """
     maps = nodes.select("node", *[F.element_at("map", i + 1).alias(f"m{i}") for i in range(MAP_WORDS)])
-    one = one.select("node", "n", "root", *keys).join(maps, "node")
-    two = one.toDF(*[f"a_{c}" for c in one.columns])
+    two = one.select("node", "n", "root", *keys, "most").join(maps, "node")
+    two = two.toDF(*[f"a_{c}" for c in two.columns])
+    one = one.filter("root <> most").select("node", "n", "root", *keys).join(maps, "node")
     apart = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"a_m{i}"))) for i in range(1, MAP_WORDS)), F.bit_count(F.col("m0").bitwiseXOR(F.col("a_m0"))))
     fit = (5 * F.least("n", "a_n") >= 4 * F.greatest("n", "a_n")) & (9 * apart <= F.col("n") + F.col("a_n"))
     for c in keys:
         fit &= F.col(c) == F.col(f"a_{c}")
-    return one.join(two, fit & (F.col("node") < F.col("a_node")) & (F.col("root") != F.col("a_root")))
+    once = (F.col("a_root") == F.col("a_most")) | (F.col("node") < F.col("a_node"))
+    found = one.join(two, fit & once & (F.col("root") != F.col("a_root")))
+    return found.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b"), F.least("n", "a_n").alias("n1"), F.greatest("n", "a_n").alias("n2"))
 
 
 def _in_blocks(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) of different components within blocks of each node's largest group: work in proportion to the nodes, and in a group in which a share of the pairs is similar
     every node meets some of its likes."""
-    own = rows.groupBy("node", "n", "root").agg(F.max(F.struct("many", "key")).alias("m"))
+    own = rows.groupBy("node", "n", "root").agg(F.max(F.struct("many", "key", F.col("top.root").alias("most"))).alias("m"))
     block = F.pmod(F.xxhash64("node", F.lit(k)), F.ceil(F.col("m.many") / BLOCK))
-    return _pairs(own.select("node", "n", "root", "m.key", block.alias("block")), nodes, "key", "block").select(F.col("node").alias("a"), F.col("a_node").alias("b"))
+    return _pairs(own.select("node", "n", "root", "m.key", block.alias("block"), "m.most"), nodes, "key", "block").select("a", "b")
 
 
 def _rest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of `rows` (node, n, key, root) and that neither sizes, nor parities, nor the number shared rule out."""
-    counted = _pairs(rows, nodes, "key").groupBy(F.col("node").alias("a"), F.col("a_node").alias("b"), F.col("n").alias("n1"), F.col("a_n").alias("n2")).agg(F.count(F.lit(1)).alias("c"))
+    """Pairs (a, b) of different components that share a shingle of `rows` (node, n, key, root, top) and that neither sizes, nor parities, nor the number shared rule out."""
+    counted = _pairs(rows.withColumn("most", F.col("top.root")), nodes, "key").groupBy("a", "b", "n1", "n2").agg(F.count(F.lit(1)).alias("c"))
     return counted.filter(_may(F.col("c"))).select("a", "b")
 
 
