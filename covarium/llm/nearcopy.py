@@ -143,7 +143,7 @@ def _to_centres(rows: DataFrame) -> DataFrame:
 def _pairs(one: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
     """Pairs (a, b, n1, n2; a < b) of rows of `one` (node, n, root, keys, most) of different components with equal keys, but for pairs that sizes or parities rule out.
 
-    `most` is one root a group, the same for all its rows. Of two rows of different components one at least lies outside of that root, so only rows outside of it are compared with
+    `most` is one root a group, the same for all its rows (or null: none is known). Of two rows of different components one at least lies outside of that root, so only rows outside of it are compared with
     all others: where one component has most of a group, its rows are never compared among themselves.
 
     Sets whose parities differ in d places differ in at least d shingles; where that is too many, the join drops the pair as it finds it, so of a group of many texts that
@@ -152,12 +152,12 @@ def _pairs(one: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
     maps = nodes.select("node", *[F.element_at("map", i + 1).alias(f"m{i}") for i in range(MAP_WORDS)])
     two = one.select("node", "n", "root", *keys, "most").join(maps, "node")
     two = two.toDF(*[f"a_{c}" for c in two.columns])
-    one = one.filter("root <> most").select("node", "n", "root", *keys).join(maps, "node")
+    one = one.filter(~F.col("root").eqNullSafe(F.col("most"))).select("node", "n", "root", *keys).join(maps, "node")
     apart = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"a_m{i}"))) for i in range(1, MAP_WORDS)), F.bit_count(F.col("m0").bitwiseXOR(F.col("a_m0"))))
     fit = (5 * F.least("n", "a_n") >= 4 * F.greatest("n", "a_n")) & (9 * apart <= F.col("n") + F.col("a_n"))
     for c in keys:
         fit &= F.col(c) == F.col(f"a_{c}")
-    once = (F.col("a_root") == F.col("a_most")) | (F.col("node") < F.col("a_node"))
+    once = F.col("a_root").eqNullSafe(F.col("a_most")) | (F.col("node") < F.col("a_node"))
     found = one.join(two, fit & once & (F.col("root") != F.col("a_root")))
     return found.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b"), F.least("n", "a_n").alias("n1"), F.greatest("n", "a_n").alias("n2"))
 
@@ -170,9 +170,9 @@ def _in_blocks(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return _pairs(own.select("node", "n", "root", "m.key", block.alias("block"), "m.most"), nodes, "key", "block").select("a", "b")
 
 
-def _rest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of `rows` (node, n, key, root, top) and that neither sizes, nor parities, nor the number shared rule out."""
-    counted = _pairs(rows.withColumn("most", F.col("top.root")), nodes, "key").groupBy("a", "b", "n1", "n2").agg(F.count(F.lit(1)).alias("c"))
+def _rest(rows: DataFrame, nodes: DataFrame, most: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of `rows` (node, n, key, root) and that neither sizes, nor parities, nor the number shared rule out."""
+    counted = _pairs(rows.withColumn("most", F.lit(None).cast("long") if most is None else most), nodes, "key").groupBy("a", "b", "n1", "n2").agg(F.count(F.lit(1)).alias("c"))
     return counted.filter(_may(F.col("c"))).select("a", "b")
 
 
@@ -210,7 +210,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     else:
         old, rows = rows, centred(rows.select("node", "n", "key"), links, ROUNDS)
         release(old)
-    links = links.union(check(materialize(_rest(rows, nodes), "pairs"), small, docs))
+    links = links.union(check(materialize(_rest(rows, nodes, F.col("top.root")), "pairs"), small, docs))
     release(rows, first)
     return small.join(simhash.components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
 
