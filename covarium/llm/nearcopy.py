@@ -119,14 +119,23 @@ def check(pairs: DataFrame, small: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def centred(rows: DataFrame, links: DataFrame | None, k: int) -> DataFrame:
+def merged(roots: DataFrame | None, links: DataFrame, small: DataFrame) -> DataFrame:
+    """(node, root) of all nodes, with new links taken in: components found before are contracted, so that only links between them are followed."""
+    if roots is None:
+        return materialize(small.select("node").join(simhash.components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    between = links.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = simhash.components(between).toDF("root", "up")
+    out = materialize(roots.join(found, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
+    release(roots)
+    return out
+
+
+def centred(rows: DataFrame, roots: DataFrame | None, k: int) -> DataFrame:
     """Rows (node, n, key) with their components so far, the centre (the k-th choice) of their shingle's group, and its size; shingles whose nodes lie in one component go.
 
     Groups are aggregated before anything is shuffled, never gathered.
     """
-    r = rows.withColumn("root", F.col("node"))
-    if links is not None:
-        r = rows.join(simhash.components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    r = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node")
     groups = r.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("x"), "node", "n", "root")).alias("top"))
     out = materialize(r.join(groups.filter("lo < hi").select("key", "top", "many"), "key"), "centred")
     tidy(rows.sparkSession)
@@ -198,21 +207,21 @@ def cluster(docs: DataFrame) -> DataFrame:
     shared = materialize(keys.join(several, "key", "left_semi"), "shared")
     tidy(spark)
 
-    links, rows = None, shared
+    roots, rows = None, shared
     for k in range(ROUNDS):
-        old, rows = rows, centred(rows.select("node", "n", "key"), links, k)
+        old, rows = rows, centred(rows.select("node", "n", "key"), roots, k)
         release(old)
-        pairs = _to_centres(rows).union(first) if links is None else _in_blocks(rows, nodes, k)
+        pairs = _to_centres(rows).union(first) if roots is None else _in_blocks(rows, nodes, k)
         more = check(materialize(pairs, "pairs"), small, docs)
-        if links is not None and more.isEmpty():
+        if roots is not None and more.isEmpty():
             break
-        links = more if links is None else links.union(more)
+        roots = merged(roots, more, small)
     else:
-        old, rows = rows, centred(rows.select("node", "n", "key"), links, ROUNDS)
+        old, rows = rows, centred(rows.select("node", "n", "key"), roots, ROUNDS)
         release(old)
-    links = links.union(check(materialize(_rest(rows, nodes, F.col("top.root")), "pairs"), small, docs))
+    roots = merged(roots, check(materialize(_rest(rows, nodes, F.col("top.root")), "pairs"), small, docs), small)
     release(rows, first)
-    return small.join(simhash.components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    return small.join(roots, "node").select("node", "root", "least")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -276,6 +276,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROW
     return dealt.mapInPandas(run, "a long, b long").filter("a <> b")
 
 
+def _digest(edges: DataFrame) -> tuple:
+    return tuple(edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b); the root is the smallest node of its component (as signed numbers).
 
@@ -283,6 +287,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     round changes nothing, every component is a star. Rounds grow with the logarithm of the longest path; each is a written table.
     """
     pairs = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    before = _digest(pairs)
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -290,10 +295,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         after = materialize(small, "edges")
-        sums = [d.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (pairs, after)]
         release(pairs)
-        pairs = after
-        if tuple(sums[0]) == tuple(sums[1]):
+        pairs, old, before = after, before, _digest(after)
+        if before == old:
             break
     else:
         raise RuntimeError("components did not settle")
