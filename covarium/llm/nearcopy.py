@@ -7,7 +7,8 @@ Candidates come in steps, and every one is checked on whole sets before it becom
 group of nodes that share a shingle those with one centre, then those of small blocks into which a group is dealt, so that large groups of near copies become one component
 without their pairs, whether or not they have a text that all are similar to. These steps only save work. The last one is complete: if two sets of sizes a and b are similar enough, then in any fixed order of all shingles they share one of their first
 a - ceil(0.8 a) + 1 and b - ceil(0.8 b) + 1. Pairs of nodes of different components that share one are counted; a pair goes unchecked only if sizes, parities or the
-number shared rule 0.8 out (a bitmap of the parities of hashed shingles bounds the difference of two sets from below). The order puts shingles that a sample finds common last, which changes the work, never the links.
+number shared rule 0.8 out (a bitmap of the parities of hashed shingles bounds the difference of two sets from below; larger sets have larger ones, as a small bitmap of a large set
+tells nothing). The order puts shingles that a sample finds common last, which changes the work, never the links. Shingles that the same nodes have, known by 128 bits of hashes of these nodes and their number, are joined as one and counted as many.
 
 Defined results: a null text counts as empty, and all texts without words are alike; rows are known by id and text, so rows that share an id are compared like any others, and a
 row with a null id comes after all others; an empty table gives an empty result.
@@ -33,8 +34,8 @@ ROUNDS = 3
 BLOCK = 64
 #: Rows of ids (16 bytes each) that are broadcast to find their texts; more go through a shuffle.
 BROADCAST_IDS = 1_000_000
-#: 64-bit words of a set's parities.
-MAP_WORDS = 16
+#: 64-bit words of a set's parities; of a set with more shingles than these have bits, up to so many more words come after them.
+MAP_WORDS, WIDE_WORDS = 16, 256
 
 
 def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -63,12 +64,19 @@ def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([own[~hot], own[hot][np.argsort(rank[at[hot]])]])[:size]
 
 
-def parities(own: np.ndarray) -> np.ndarray:
+def parities(own: np.ndarray, words: int = MAP_WORDS) -> np.ndarray:
     """Bit i: whether the number of shingles whose hash is i modulo the number of bits is odd."""
-    odd = np.bincount((own & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    odd = np.bincount((own & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def maps(own: np.ndarray) -> np.ndarray:
+    """The parities; of a set with more shingles than bits, those modulo the next power of two that isn't below its size follow."""
+    if len(own) <= 64 * MAP_WORDS:
+        return parities(own)
+    return np.concatenate([parities(own), parities(own, min(WIDE_WORDS, 1 << (-(-len(own) // 64) - 1).bit_length()))])
+
+
 def _sets(texts: list[bytes]) -> list[list]:
     sets = [shingles(t) for t in texts]
     return [[node_of(s) for s in sets], [s.view(np.int64) for s in sets]]
@@ -79,7 +87,7 @@ def _rows(texts: list[bytes], common) -> list[list]:
     for t in texts:
         own = shingles(t)
         fp = simhash.fingerprint(t, SHINGLE)
-        for c, v in zip(out, (node_of(own), len(own), fp - (1 << 64) if fp >> 63 else fp, prefix(own, *common.value).view(np.int64), parities(own)), strict=True):
+        for c, v in zip(out, (node_of(own), len(own), fp - (1 << 64) if fp >> 63 else fp, prefix(own, *common.value).view(np.int64), maps(own)), strict=True):
             c.append(v)
     return out
 
@@ -130,8 +138,15 @@ def merged(roots: DataFrame | None, links: DataFrame, small: DataFrame) -> DataF
     return out
 
 
+def folded(shared: DataFrame) -> DataFrame:
+    """Rows (node, n, key, w): of the keys of `shared` (node, n, key) that the same nodes have one stays, with their number w. What two nodes share is the sum of w, as before."""
+    groups = shared.groupBy("key").agg(F.count(F.lit(1)).alias("k"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in (1, 2)])
+    one = groups.groupBy("k", "h1", "h2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("w")).select("key", "w")
+    return shared.join(one, "key").select("node", "n", "key", "w")
+
+
 def centred(rows: DataFrame, roots: DataFrame | None, k: int) -> DataFrame:
-    """Rows (node, n, key) with their components so far, the centre (the k-th choice) of their shingle's group, and its size; shingles whose nodes lie in one component go.
+    """Rows (node, n, key, w) with their components so far, the centre (the k-th choice) of their shingle's group, and its size; shingles whose nodes lie in one component go.
 
     Groups are aggregated before anything is shuffled, never gathered.
     """
@@ -145,12 +160,20 @@ def centred(rows: DataFrame, roots: DataFrame | None, k: int) -> DataFrame:
 def _to_centres(rows: DataFrame) -> DataFrame:
     """Each node with that centre of its groups with which it shares most shingles, if sizes and their number don't rule the pair out: one pair a node and round."""
     star = rows.filter("root <> top.root").groupBy(F.col("node").alias("a"), F.col("top.node").alias("b"), F.col("n").alias("n1"), F.col("top.n").alias("n2"))
-    likely = star.agg(F.count(F.lit(1)).alias("c")).filter(_may(F.col("c")))
+    likely = star.agg(F.sum("w").alias("c")).filter(_may(F.col("c")))
     return likely.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b")
 
 
+def _apart(x: Column, y: Column) -> Column:
+    """Places in which wide parities differ. One of twice the other's words is folded to these: parities modulo half as many bits are its halves, one XOR the other."""
+    k = F.least(F.size(x), F.size(y))
+    xor = lambda p, q: p.bitwiseXOR(q)
+    x, y = (F.when(F.size(v) > k, F.zip_with(F.slice(v, 1, k), F.slice(v, k + 1, k), xor)).otherwise(v) for v in (x, y))
+    return F.aggregate(F.zip_with(x, y, xor), F.lit(0), lambda s, v: s + F.bit_count(v))
+
+
 def _pairs(one: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
-    """Pairs (a, b, n1, n2; a < b) of rows of `one` (node, n, root, keys, most) of different components with equal keys, but for pairs that sizes or parities rule out.
+    """Pairs (a, b, n1, n2, w; a < b) of rows of `one` (node, n, root, keys, w, most) of different components with equal keys, but for pairs that sizes or parities rule out.
 
     `most` is one root a group, the same for all its rows (or null: none is known). Of two rows of different components one at least lies outside of that root, so only rows outside of it are compared with
     all others: where one component has most of a group, its rows are never compared among themselves.
@@ -158,17 +181,18 @@ def _pairs(one: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
     Sets whose parities differ in d places differ in at least d shingles; where that is too many, the join drops the pair as it finds it, so of a group of many texts that
     have a passage in common only pairs come out that are about as similar as wanted.
     """
-    maps = nodes.select("node", *[F.element_at("map", i + 1).alias(f"m{i}") for i in range(MAP_WORDS)])
-    two = one.select("node", "n", "root", *keys, "most").join(maps, "node")
+    own = nodes.select("node", *[F.element_at("map", i + 1).alias(f"m{i}") for i in range(MAP_WORDS)], F.slice("map", MAP_WORDS + 1, WIDE_WORDS).alias("wide"))
+    two = one.select("node", "n", "root", *keys, "most").join(own, "node")
     two = two.toDF(*[f"a_{c}" for c in two.columns])
-    one = one.filter(~F.col("root").eqNullSafe(F.col("most"))).select("node", "n", "root", *keys).join(maps, "node")
+    one = one.filter(~F.col("root").eqNullSafe(F.col("most"))).select("node", "n", "root", *keys, "w").join(own, "node")
     apart = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"a_m{i}"))) for i in range(1, MAP_WORDS)), F.bit_count(F.col("m0").bitwiseXOR(F.col("a_m0"))))
     fit = (5 * F.least("n", "a_n") >= 4 * F.greatest("n", "a_n")) & (9 * apart <= F.col("n") + F.col("a_n"))
+    fit &= (F.size("wide") == 0) | (F.size("a_wide") == 0) | (9 * _apart(F.col("wide"), F.col("a_wide")) <= F.col("n") + F.col("a_n"))
     for c in keys:
         fit &= F.col(c) == F.col(f"a_{c}")
     once = F.col("a_root").eqNullSafe(F.col("a_most")) | (F.col("node") < F.col("a_node"))
     found = one.join(two, fit & once & (F.col("root") != F.col("a_root")))
-    return found.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b"), F.least("n", "a_n").alias("n1"), F.greatest("n", "a_n").alias("n2"))
+    return found.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b"), F.least("n", "a_n").alias("n1"), F.greatest("n", "a_n").alias("n2"), "w")
 
 
 def _in_blocks(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -176,12 +200,13 @@ def _in_blocks(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     every node meets some of its likes."""
     own = rows.groupBy("node", "n", "root").agg(F.max(F.struct("many", "key", F.col("top.root").alias("most"))).alias("m"))
     block = F.pmod(F.xxhash64("node", F.lit(k)), F.ceil(F.col("m.many") / BLOCK))
-    return _pairs(own.select("node", "n", "root", "m.key", block.alias("block"), "m.most"), nodes, "key", "block").select("a", "b")
+    return _pairs(own.select("node", "n", "root", "m.key", block.alias("block"), F.lit(1).alias("w"), "m.most"), nodes, "key", "block").select("a", "b")
 
 
-def _rest(rows: DataFrame, nodes: DataFrame, most: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of `rows` (node, n, key, root) and that neither sizes, nor parities, nor the number shared rule out."""
-    counted = _pairs(rows.withColumn("most", F.lit(None).cast("long") if most is None else most), nodes, "key").groupBy("a", "b", "n1", "n2").agg(F.count(F.lit(1)).alias("c"))
+def _rest(rows: DataFrame, nodes: DataFrame, most: Column | None = None, w: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of `rows` (node, n, key, root), which stands for w (or one), and that neither sizes, nor parities, nor the number shared rule out."""
+    rows = rows.withColumns({"most": F.lit(None).cast("long") if most is None else most, "w": F.lit(1) if w is None else w})
+    counted = _pairs(rows, nodes, "key").groupBy("a", "b", "n1", "n2").agg(F.sum("w").alias("c"))
     return counted.filter(_may(F.col("c"))).select("a", "b")
 
 
@@ -207,9 +232,10 @@ def cluster(docs: DataFrame) -> DataFrame:
     shared = materialize(keys.join(several, "key", "left_semi"), "shared")
     tidy(spark)
 
-    roots, rows = None, shared
+    roots, rows = None, materialize(folded(shared), "folded")
+    release(shared)
     for k in range(ROUNDS):
-        old, rows = rows, centred(rows.select("node", "n", "key"), roots, k)
+        old, rows = rows, centred(rows.select("node", "n", "key", "w"), roots, k)
         release(old)
         pairs = _to_centres(rows).union(first) if roots is None else _in_blocks(rows, nodes, k)
         more = check(materialize(pairs, "pairs"), small, docs)
@@ -217,9 +243,9 @@ def cluster(docs: DataFrame) -> DataFrame:
             break
         roots = merged(roots, more, small)
     else:
-        old, rows = rows, centred(rows.select("node", "n", "key"), roots, ROUNDS)
+        old, rows = rows, centred(rows.select("node", "n", "key", "w"), roots, ROUNDS)
         release(old)
-    roots = merged(roots, check(materialize(_rest(rows, nodes, F.col("top.root")), "pairs"), small, docs), small)
+    roots = merged(roots, check(materialize(_rest(rows, nodes, F.col("top.root"), F.col("w")), "pairs"), small, docs), small)
     release(rows, first)
     return small.join(roots, "node").select("node", "root", "least")
 
