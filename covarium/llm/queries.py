@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covarium.llm import bpe, importance, langid, merkle, mixing, quality_model, rules, simhash, substring, toxicity, wordpiece
+from covarium.llm import bpe, importance, inner_products, langid, merkle, mixing, quality_model, rules, simhash, substring, toxicity, wordpiece
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": wordpiece.query,
     "op9_simhash": simhash.query,
     "op10_toxicity": toxicity.query,
+    "op11_top_k": inner_products.query,
     "op13_importance_resampling": importance.query,
     "rule_ablations": rules.ablation_query,
 }
@@ -22,6 +23,7 @@ ORACLES = {
     "op2_mixing": mixing.SQL,
     "op5_substring_dedup": substring.SQL,
     "op7_quality_rules": rules.SQL,
+    "op11_top_k": inner_products.SQL,
     "op13_importance_resampling": importance.SQL,
     "rule_ablations": rules.ABLATION_SQL,
 }
