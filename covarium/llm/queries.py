@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covarium.llm import bpe, importance, inner_products, langid, merkle, mixing, quality_model, rules, simhash, substring, toxicity, wordpiece
+from covarium.llm import bpe, importance, inner_products, langid, lexical, merkle, mixing, quality_model, rules, simhash, substring, toxicity, wordpiece
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.query,
     "op10_toxicity": toxicity.query,
     "op11_top_k": inner_products.query,
+    "op12_lexical_search": lexical.query,
     "op13_importance_resampling": importance.query,
     "rule_ablations": rules.ablation_query,
 }
@@ -24,6 +25,7 @@ ORACLES = {
     "op5_substring_dedup": substring.SQL,
     "op7_quality_rules": rules.SQL,
     "op11_top_k": inner_products.SQL,
+    "op12_lexical_search": lexical.SQL,
     "op13_importance_resampling": importance.SQL,
     "rule_ablations": rules.ABLATION_SQL,
 }
