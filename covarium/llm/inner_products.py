@@ -173,9 +173,9 @@ def against(q: Side, blocks: Iterator[Side], k: int, floor: np.ndarray) -> Best:
     return best
 
 
-def in_blocks(ids: np.ndarray, v: np.ndarray, basis: np.ndarray) -> Iterator[Side]:
-    for at in range(0, len(ids), BLOCK):
-        yield Side(ids[at : at + BLOCK], v[at : at + BLOCK], basis)
+def in_blocks(ids: np.ndarray, v: np.ndarray, basis: np.ndarray, size: int = BLOCK) -> Iterator[Side]:
+    for at in range(0, len(ids), size):
+        yield Side(ids[at : at + size], v[at : at + size], basis)
 
 
 def _floors(queries: DataFrame, head: tuple[np.ndarray, np.ndarray], basis: np.ndarray, k: int) -> DataFrame:
