@@ -1,16 +1,17 @@
-"""Training of the grouped skip-gram model in synchronous rounds.
+"""Training of the grouped skip-gram model in synchronous rounds over a sharded table of parameters.
 
 A word is predicted from z = [word + its n-grams ; mean of patient tokens ; mean of encounter tokens] through a projection h = W z and hierarchical softmax over a Huffman tree.
 
-A round gives each task `chunk_size` lines. It broadcasts the parameters, every task descends over its own lines on a local copy, and the rows that changed come back in blocks of
-float32 bytes, which are combined in the cluster: a row's difference is the mean over the tasks that touched it, and dense matrices are averaged over all tasks that had samples. So the
-number of rounds is that of the lines divided by those of all tasks together, and what the driver gathers is at most the model. Lines are written once by round, so a round reads its own files only.
+Parameters are a table (matrix, row, vec). A round gives each of `tasks` tasks `chunk_size` lines; what a task needs, the vocabulary entries of its words, their rows, tree nodes and n-grams, comes to it by joins, so
+a task holds the rows it touches and no more, and neither the driver nor a broadcast holds the model. Every task descends over its own lines; the rows that it changed are dealt out by (matrix, row) to the tasks that own
+them, which add them up and write the next table: a sparse row moves by the mean over the tasks that changed it, a dense one by the mean over all tasks that had lines. So the number of rounds is that of the lines
+divided by those of all tasks together. What a round's tasks need doesn't depend on the epoch and is written once.
 
-Within a task, lines are worked off `batch` at a time with matrix products: all centres of a batch meet all tree nodes of their contexts at once. The nodes' rows are then as old as the
-batch; a node that many pairs of a batch visit takes a shortened step, as one solved for at its end would be. A batch of one line is nearest to a sequential trainer.
+Within a task, lines are worked off `batch` at a time with matrix products: centres meet all tree nodes of their contexts at once, in tiles of at most `CELLS` pairs of a centre and a node, whatever a line's length. The
+nodes' rows are as old as the batch; a node that many pairs of a batch visit takes a shortened step, as one solved for at its end would be. A batch of one line is nearest to a sequential trainer.
 
-All draws (windows, subsampling) are integer hashes of (seed, epoch, sample, position, context), so they depend neither on partitions nor on batches, a task that is run again after a
-lost executor gives the same differences, and other engines can state them.
+All draws (initial values, windows, subsampling, which task gets a line) are integer hashes of stable numbers, so they depend neither on partitions nor on batches, a task that is run again after a lost executor gives
+the same differences, and other engines can state them.
 """
 
 from __future__ import annotations
@@ -18,25 +19,28 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covarium.functions.hashing import ngram_buckets_many
+from covarium.functions.hashing import ngram_buckets_many, portable_int
 from covarium.operators import huffman
 from covarium.operators.ranking import dense_index
-from covarium.operators.vocabulary import token_counts, vocabularies
+from covarium.operators.vocabulary import GROUPS, discard_prob, stacked, token_counts, vocabularies
 from covarium.session import checkpoint_dir, delete, materialize, release, ship
 from covarium.sources.corpus import counting_samples, count_lines, training_samples
-from covarium.sources.model_store import Model, matrix_table
+from covarium.sources.model_store import Model
 
 SPARSE, DENSE = ("output", "input", "ngram"), ("W_proj", "patient", "encounter")
+NAMES = SPARSE + DENSE
 CLAMP, EPS = 20.0, 1e-7
-
+#: Pairs of a centre and a node that are worked off at once.
+CELLS = 1 << 22
+#: Vocabularies of up to so many tokens are sent to the tasks that number the lines' tokens; larger ones are joined.
+SENT_TOKENS = 1 << 20
 
 @dataclass
 class Config:
@@ -64,6 +68,18 @@ class Config:
     #: Whether lines that don't parse count towards the step-size schedule, as they do in `reference` mode.
     count_bad_lines: bool = False
     ngram_mode: str = "byte"
+    #: Tasks of a round; 0: as many as the cluster runs at a time. Results depend on it, not on where tasks run.
+    tasks: int = 0
+    #: 'single' or 'double' numbers in training; a model's tables are single.
+    precision: str = "single"
+
+    @property
+    def dtype(self) -> type:
+        return np.float64 if self.precision == "double" else np.float32
+
+    @property
+    def columns(self) -> dict[str, int]:
+        return {"output": self.d_out, "input": self.d_word, "ngram": self.d_word, "W_proj": self.d_word + self.d_patient + self.d_encounter, "patient": self.d_patient, "encounter": self.d_encounter}
 
 
 def clip(v: np.ndarray, limit: float) -> np.ndarray:
@@ -75,41 +91,56 @@ def learning_rate(lr0: float, step: int, total: int) -> float:
     return max(lr0 * 1e-4, lr0 * (1 - step / max(1, total)))
 
 
+# Odd multipliers of the draws and of the finalizer that mixes them.
+MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+FINAL = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def draws(seed: int, epoch: int, sample: np.ndarray, pos: np.ndarray, use: np.ndarray | int) -> np.ndarray:
+    """Unsigned 64-bit draws. `use` is 0 for whether a centre is skipped, 1 for its window, 2 + o for whether the context at position o is."""
+    with np.errstate(over="ignore"):
+        x = np.uint64((seed << 20) + epoch) * np.uint64(MULT[0]) + sample.astype(np.uint64) * np.uint64(MULT[1]) + pos.astype(np.uint64) * np.uint64(MULT[2]) + np.asarray(use).astype(np.uint64) * np.uint64(MULT[3])
+        for m, r in ((FINAL[0], 30), (FINAL[1], 27)):
+            x = (x ^ (x >> np.uint64(r))) * np.uint64(m)
+        return x ^ (x >> np.uint64(31))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+#: Stands for the epoch in the draws of initial values; the matrix's number is added.
+INIT = 1 << 19
+
+
+def initial(cfg: Config, name: str, rows: np.ndarray) -> np.ndarray:
+    """Gaussian values of these rows, by two draws and the Box-Muller transform, scaled by one over the square root of a row's length (d_out for the projection)."""
+    width = cfg.columns[name]
+    at = np.asarray(rows, np.int64)[:, None], np.arange(width)[None, :]
+    u, v = (unit(draws(cfg.seed, INIT + NAMES.index(name), *at, k)) for k in (0, 1))
+    return (np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * v) / np.sqrt(cfg.d_out if name == "W_proj" else width)).astype(cfg.dtype)
+
+
 class Params:
-    """Matrices as float32 arrays; n-gram rows exist only for buckets that words of the vocabulary touch."""
+    """The rows of a task, or of a small model, as arrays; which rows they are, the lexicon knows."""
 
     def __init__(self, cfg: Config, n_words: int, n_patient: int, n_encounter: int, buckets: np.ndarray):
-        rng = np.random.default_rng(cfg.seed)
-        d = cfg.d_word + cfg.d_patient + cfg.d_encounter
-        init = lambda r, c, s: (rng.standard_normal((r, c)) / np.sqrt(s)).astype(np.float32)
-        self.output = init(max(1, n_words - 1), cfg.d_out, cfg.d_out)
-        self.input = init(n_words, cfg.d_word, cfg.d_word)
-        self.ngram = init(len(buckets), cfg.d_word, cfg.d_word)
-        self.W_proj = init(cfg.d_out, d, cfg.d_out)
-        self.patient = init(n_patient, cfg.d_patient, cfg.d_patient)
-        self.encounter = init(n_encounter, cfg.d_encounter, cfg.d_encounter)
-        self.buckets = buckets
+        sizes = {"output": max(1, n_words - 1), "input": n_words, "W_proj": cfg.d_out, "patient": n_patient, "encounter": n_encounter}
+        for k in NAMES:
+            setattr(self, k, initial(cfg, k, buckets if k == "ngram" else np.arange(sizes[k])))
 
     def copy(self) -> Params:
         new = object.__new__(Params)
         new.__dict__ = {k: v.copy() for k, v in self.__dict__.items()}
         return new
 
-    def health(self) -> list[tuple[str, int, int]]:
-        """(matrix, NaN, infinite) of all matrices."""
-        return [(k, int(np.isnan(a).sum()), int(np.isinf(a).sum())) for k in SPARSE + DENSE for a in (getattr(self, k),)]
-
 
 class Lexicon:
-    """What a task needs to know of the vocabulary, as arrays: paths and n-grams of all words one after the other, with where each word's begin."""
-
-    def __init__(self, words: list[str], tree: huffman.Codes, discard: np.ndarray, patient: list[str], encounter: list[str], cfg: Config):
-        self.word = {w: i for i, w in enumerate(words)}
-        self.patient = {w: i for i, w in enumerate(patient)}
-        self.encounter = {w: i for i, w in enumerate(encounter)}
-        self.discard = discard
-        self.path_start, self.path, self.target = tree.start, tree.path, (1 - tree.code).astype(np.float32)
-        self.gram_start, grams = ngram_buckets_many(words, cfg.min_n, cfg.max_n, cfg.ngram_buckets, cfg.ngram_mode)
+    """What training needs to know of words, as arrays: paths and n-grams of all words one after the other, with where each word's begin. `grams` are places in `buckets`."""
+
+    def __init__(self, start: np.ndarray, path: np.ndarray, code: np.ndarray, gram_start: np.ndarray, grams: np.ndarray, discard: np.ndarray):
+        self.path_start, self.path, self.target = start, path, (1 - code).astype(np.float32)
+        self.gram_start, self.discard = gram_start, discard
         self.buckets, self.grams = np.unique(grams, return_inverse=True)
 
     def paths(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,24 +158,6 @@ def spans(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + start[rows][owner], owner
 
 
-# Odd multipliers of the draws and of the finalizer that mixes them.
-MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-FINAL = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-
-
-def draws(seed: int, epoch: int, sample: np.ndarray, pos: np.ndarray, use: np.ndarray | int) -> np.ndarray:
-    """Unsigned 64-bit draws. `use` is 0 for whether a centre is skipped, 1 for its window, 2 + o for whether the context at position o is."""
-    with np.errstate(over="ignore"):
-        x = np.uint64((seed << 20) + epoch) * np.uint64(MULT[0]) + sample.astype(np.uint64) * np.uint64(MULT[1]) + pos.astype(np.uint64) * np.uint64(MULT[2]) + np.asarray(use).astype(np.uint64) * np.uint64(MULT[3])
-        for m, r in ((FINAL[0], 30), (FINAL[1], 27)):
-            x = (x ^ (x >> np.uint64(r))) * np.uint64(m)
-        return x ^ (x >> np.uint64(31))
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(11)).astype(float) / float(1 << 53)
-
-
 def pairs_of(lex: Lexicon, cfg: Config, epoch: int, sample: np.ndarray, start: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(line, word) of the centres that aren't skipped, and (centre, context word) of the pairs. ids: the words of all lines, -1 outside the vocabulary; start: where each line begins."""
     line = np.repeat(np.arange(len(sample)), np.diff(start))
@@ -166,7 +179,7 @@ def pairs_of(lex: Lexicon, cfg: Config, epoch: int, sample: np.ndarray, start: n
 def _mean(m: np.ndarray, start: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """The mean row of each line's tokens, zero where a line has none."""
     size = np.diff(start)
-    out = np.zeros((len(size), m.shape[1]), np.float32)
+    out = np.zeros((len(size), m.shape[1]), m.dtype)
     if len(tokens):
         some = np.flatnonzero(size)
         out[some] = np.add.reduceat(m[tokens], start[some], axis=0) / size[some][:, None]
@@ -182,10 +195,25 @@ def _add_rows(m: np.ndarray, rows: np.ndarray, moves: np.ndarray) -> None:
         m[rows[first]] += np.add.reduceat(moves[order], first, axis=0)
 
 
+def tiles(visits: np.ndarray, nodes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of centres with at most CELLS pairs of a centre and a node (one centre at least), given how many nodes each centre visits and how many there are."""
+    ends, a = np.concatenate([[0], np.cumsum(visits)]), 0
+    while a < len(visits):
+        b = len(visits)
+        while b - a > 1 and (b - a) * min(int(ends[b] - ends[a]), nodes) > CELLS:
+            b = a + (b - a) // 2
+        yield a, b
+        a = b
+
+
 def train_batch(p: Params, lex: Lexicon, cfg: Config, lr: float, group: tuple, line: np.ndarray, word: np.ndarray, centre: np.ndarray, context: np.ndarray) -> tuple[float, int]:
-    """One batch in place; returns (loss, predictions). group: (start, tokens) of the patient and of the encounter tokens of each line."""
+    """One batch in place; returns (loss, predictions). group: (start, tokens) of the patient and of the encounter tokens of each line; centre: rising places in `word`.
+
+    All moves are made at the end, from the rows as they were, so tiles don't show in the result.
+    """
     if not len(centre):
         return 0.0, 0
+    kind = p.output.dtype
     (ps, pt), (es, et) = group
     own, of = np.unique(word, return_inverse=True)
     at, owner = lex.grams_of(own)
@@ -194,218 +222,394 @@ def train_batch(p: Params, lex: Lexicon, cfg: Config, lr: float, group: tuple, l
     if len(grams):
         some, first = np.unique(owner, return_index=True)
         vec[some] += np.add.reduceat(p.ngram[grams], first, axis=0)
-    z = np.concatenate([vec[of], _mean(p.patient, ps, pt)[line], _mean(p.encounter, es, et)[line]], axis=1)
-    h = z @ p.W_proj.T
-    at, pair = lex.paths(context)
-    nodes, node = np.unique(lex.path[at], return_inverse=True)
-    cell = centre[pair] * len(nodes) + node
-    shape = (len(word), len(nodes))
-    visits = np.bincount(cell, minlength=shape[0] * shape[1]).astype(np.float32).reshape(shape)
-    ones = np.bincount(cell, lex.target[at], shape[0] * shape[1]).astype(np.float32).reshape(shape)
-    rows = p.output[nodes]
-    s = 1 / (1 + np.exp(-np.clip(h @ rows.T, -CLAMP, CLAMP)))
-    up, down = lr * (1 - s), -lr * s
-    grad = (ones * up + (visits - ones) * down) @ rows
-    sure = np.clip(s, EPS, 1 - EPS)
-    loss = -float((ones * np.log(sure)).sum(dtype=float) + ((visits - ones) * np.log1p(-sure)).sum(dtype=float))
-    size = np.sqrt((h * h).sum(axis=1, keepdims=True))
-    if cfg.grad_clip > 0:  # each visit's move is clipped by itself
-        up = up * np.minimum(1, cfg.grad_clip / np.maximum(up * size, 1e-30))
-        down = down * np.minimum(1, cfg.grad_clip / np.maximum(-down * size, 1e-30))
-    move = (ones * up + (visits - ones) * down).T @ h
-    if cfg.batch > 1:
-        move /= 1 + lr * ((visits * s * (1 - s)).T @ (size * size))
-    p.output[nodes] = rows + move
-    if cfg.grad_clip > 0:
-        grad *= np.minimum(1, cfg.grad_clip / np.maximum(np.sqrt((grad * grad).sum(axis=1, keepdims=True)), 1e-30))
-    q = grad @ p.W_proj
-    back = np.float32(lr if cfg.lr_mode == "reference" else 1.0)
-    p.W_proj += back * (grad.T @ z)
-    q *= back
+    means = [_mean(p.patient, ps, pt), _mean(p.encounter, es, et)]
     mid = cfg.d_word + cfg.d_patient
-    moved = np.zeros((len(own), cfg.d_word), np.float32)
-    _add_rows(moved, of, q[:, : cfg.d_word])
+    back = kind.type(lr if cfg.lr_mode == "reference" else 1.0)
+    begin = np.searchsorted(centre, np.arange(len(word) + 1))
+    depth = (lex.path_start[1:] - lex.path_start[:-1])[context]
+    parts = list(tiles(np.add.reduceat(np.append(depth, 0), begin[:-1]) * (begin[1:] > begin[:-1]), len(p.output)))
+    whole = None if len(parts) == 1 else (np.zeros_like(p.output), np.zeros(len(p.output), kind))  # moves of all nodes, and by how much their steps are shortened
+    moved, turn = np.zeros((len(own), cfg.d_word), kind), np.zeros_like(p.W_proj)
+    lines = [np.zeros_like(m) for m in means]
+    loss, preds = 0.0, 0
+    for a, b in parts:
+        here, pairs = slice(a, b), slice(begin[a], begin[b])
+        z = np.concatenate([vec[of[here]], *[m[line[here]] for m in means]], axis=1)
+        h = z @ p.W_proj.T
+        at, pair = lex.paths(context[pairs])
+        nodes, node = np.unique(lex.path[at], return_inverse=True)
+        cell = (centre[pairs][pair] - a) * len(nodes) + node
+        shape = (b - a, len(nodes))
+        visits = np.bincount(cell, minlength=shape[0] * shape[1]).astype(kind).reshape(shape)
+        ones = np.bincount(cell, lex.target[at], shape[0] * shape[1]).astype(kind).reshape(shape)
+        rows = p.output[nodes]
+        s = 1 / (1 + np.exp(-np.clip(h @ rows.T, -CLAMP, CLAMP)))
+        up, down = lr * (1 - s), -lr * s
+        grad = (ones * up + (visits - ones) * down) @ rows
+        sure = np.clip(s, EPS, 1 - EPS)
+        loss -= float((ones * np.log(sure)).sum(dtype=float) + ((visits - ones) * np.log1p(-sure)).sum(dtype=float))
+        preds += int(visits.sum(dtype=float))
+        size = np.sqrt((h * h).sum(axis=1, keepdims=True))
+        if cfg.grad_clip > 0:  # each visit's move is clipped by itself
+            up = up * np.minimum(1, cfg.grad_clip / np.maximum(up * size, 1e-30))
+            down = down * np.minimum(1, cfg.grad_clip / np.maximum(-down * size, 1e-30))
+        move = (ones * up + (visits - ones) * down).T @ h
+        short = lr * ((visits * s * (1 - s)).T @ (size * size))[:, 0] if cfg.batch > 1 else np.zeros(len(nodes), kind)
+        if whole is None:
+            whole = move, short, nodes
+        else:
+            whole[0][nodes] += move
+            whole[1][nodes] += short
+        if cfg.grad_clip > 0:
+            grad *= np.minimum(1, cfg.grad_clip / np.maximum(np.sqrt((grad * grad).sum(axis=1, keepdims=True)), 1e-30))
+        q = back * (grad @ p.W_proj)
+        turn += back * (grad.T @ z)
+        _add_rows(moved, of[here], q[:, : cfg.d_word])
+        for out, part in zip(lines, (q[:, cfg.d_word : mid], q[:, mid:]), strict=True):
+            _add_rows(out, line[here], part)
+    move, short, *nodes = whole
+    move /= (1 + short)[:, None]
+    if nodes:
+        p.output[nodes[0]] += move
+    else:
+        p.output += move
+    p.W_proj += turn
     p.input[own] += moved
     _add_rows(p.ngram, grams, moved[owner])
-    for m, start, tokens, part in ((p.patient, ps, pt, q[:, cfg.d_word : mid]), (p.encounter, es, et, q[:, mid:])):
-        per_line = np.zeros((len(start) - 1, m.shape[1]), np.float32)
-        _add_rows(per_line, line, part)
+    for m, start, tokens, per_line in ((p.patient, ps, pt, lines[0]), (p.encounter, es, et, lines[1])):
         count = np.diff(start)
         _add_rows(m, tokens, np.repeat(per_line / np.maximum(count, 1)[:, None], count, axis=0))
-    return loss, int(visits.sum(dtype=float))
-
-
-def _known(lists: list, index: dict[str, int], keep_unknown: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(start, ids) of lists of tokens; unknown ones are -1 or left out."""
-    get = index.get
-    ids = [[get(t, -1) for t in x or ()] for x in lists] if keep_unknown else [[i for t in x or () if (i := get(t, -1)) >= 0] for x in lists]
-    start = np.zeros(len(ids) + 1, np.int64)
-    np.cumsum([len(x) for x in ids], out=start[1:])
-    return start, np.fromiter(chain.from_iterable(ids), np.int64, int(start[-1]))
+    return loss, preds
 
 
-def train_lines(p: Params, lex: Lexicon, cfg: Config, epoch: int, lr: float, sample: np.ndarray, words: list, patient: list, encounter: list) -> tuple[float, int]:
-    """All of these lines, batch by batch; returns (loss, predictions)."""
-    start, ids = _known(words, lex.word, True)
-    groups = [_known(patient, lex.patient, False), _known(encounter, lex.encounter, False)]
-    line, word, centre, context = pairs_of(lex, cfg, epoch, sample, start, ids)
+def train_lines(p: Params, lex: Lexicon, cfg: Config, epoch: int, lr: float, sample: np.ndarray, words: tuple, patient: tuple, encounter: tuple) -> tuple[float, int]:
+    """All of these lines, batch by batch; returns (loss, predictions). Tokens come as (start, numbers) of all lines."""
+    line, word, centre, context = pairs_of(lex, cfg, epoch, sample, *words)
     loss, preds = 0.0, 0
     for a in range(0, len(sample), cfg.batch):
         b = min(a + cfg.batch, len(sample))
         c0, c1 = np.searchsorted(line, (a, b))
         p0, p1 = np.searchsorted(centre, (c0, c1))
-        part = [(s[a : b + 1] - s[a], t[s[a] : s[b]]) for s, t in groups]
+        part = [(s[a : b + 1] - s[a], t[s[a] : s[b]]) for s, t in (patient, encounter)]
         x, y = train_batch(p, lex, cfg, lr, part, line[c0:c1] - a, word[c0:c1], centre[p0:p1] - c0, context[p0:p1])
         loss, preds = loss + x, preds + y
     return loss, preds
 
 
-# ---------------------------------------------------------------- rounds
-
-#: Rows of one block of differences.
-BLOCK = 1024
-DELTAS = "matrix string, block long, rows binary, tasks binary, vec binary"
-_DELTA_ARROW = pa.schema([("matrix", pa.string()), ("block", pa.int64()), ("rows", pa.binary()), ("tasks", pa.binary()), ("vec", pa.binary())])
+# ---------------------------------------------------------------- what is known before the first round
 
 
-def _blocks(name: str, rows: np.ndarray, vec: np.ndarray, tasks: np.ndarray) -> Iterator[tuple]:
-    for b in np.unique(rows // BLOCK):
-        m = rows // BLOCK == b
-        yield name, int(b), rows[m].astype(np.int64).tobytes(), tasks[m].astype(np.float32).tobytes(), np.ascontiguousarray(vec[m], np.float32).tobytes()
+def _flat(column: pa.Array, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """(start, values) of a list column."""
+    start = column.offsets.to_numpy().astype(np.int64)
+    return start - start[0] if len(start) else np.zeros(1, np.int64), column.flatten().to_numpy(zero_copy_only=False).astype(kind)
 
 
-def _deltas(old: Params, new: Params) -> Iterator[tuple]:
-    """Rows that changed; of dense matrices all, so that their mean is over all tasks."""
-    for k in SPARSE + DENSE:
-        for at in range(0, len(getattr(new, k)), BLOCK):
-            d = getattr(new, k)[at : at + BLOCK] - getattr(old, k)[at : at + BLOCK]
-            i = np.arange(len(d)) if k in DENSE else np.flatnonzero(d.any(axis=1))
-            if len(i):
-                yield from _blocks(k, i + at, d[i], np.ones(len(i)))
+def _list(start: np.ndarray, flat: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(flat, kind))
 
 
-def _arrow(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _DELTA_ARROW, strict=True)], schema=_DELTA_ARROW)
+def entries(words: DataFrame, cfg: Config) -> DataFrame:
+    """(key, a, b, c, x): of each word its number, path, code, buckets of n-grams and the probability that it is skipped. `words` has codes."""
+    total = words.agg(F.sum("freq").cast("double").alias("_total"))
+    rows = words.join(F.broadcast(total)).withColumn("x", discard_prob(F.col("freq"), F.col("_total"), cfg.subsample))  # one row on the right
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            start, grams = ngram_buckets_many(b.column(1).to_pylist(), cfg.min_n, cfg.max_n, cfg.ngram_buckets, cfg.ngram_mode)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), _list(start, grams, pa.int32()), b.column(4)], names=["key", "a", "b", "c", "x"])
 
-def _summed(rows: list[tuple]) -> list[tuple]:
-    """One block for each (matrix, block): sums over its rows and how many tasks had each."""
-    total: dict[tuple, list] = {}
-    for name, block, r, t, v in rows:
-        r, t = np.frombuffer(r, np.int64), np.frombuffer(t, np.float32)
-        v = np.frombuffer(v, np.float32).reshape(len(r), -1)
-        if (name, block) not in total:
-            total[name, block] = [np.zeros((BLOCK, v.shape[1]), np.float32), np.zeros(BLOCK, np.float32)]
-        sums, count = total[name, block]
-        sums[r % BLOCK] += v
-        count[r % BLOCK] += t
-    return [x for (name, block), (sums, count) in total.items() for i in [np.flatnonzero(count)] for x in _blocks(name, i + block * BLOCK, sums[i], count[i])]
+    ship(words.sparkSession)
+    return rows.select("idx", "token", "path", "code", "x").mapInArrow(run, "key long, a array<int>, b array<int>, c array<int>, x double")
 
 
-def run_round(samples: DataFrame, params: Params, lexicon, cfg: Config, epoch: int, lr: float) -> tuple[list[tuple], float, int, int]:
-    """Blocks of summed differences, the loss, the predictions and the samples."""
+def numbered(samples: DataFrame, vocabs: dict[str, DataFrame], tokens: int) -> DataFrame:
+    """(sample, a, b, c): the lines with numbers in place of words (-1 outside the vocabulary), patient and encounter tokens. `tokens`: how many the vocabularies have together."""
     spark = samples.sparkSession
-    ship(spark)
-    sent = spark.sparkContext.broadcast(params)
+    if tokens <= SENT_TOKENS:
+        got = stacked({g: v.select("token", "idx") for g, v in vocabs.items()}).toArrow()
+        known: dict[str, dict[str, int]] = {g: {} for g in GROUPS}
+        for g, token, i in zip(*[got[c].to_pylist() for c in ("group_name", "token", "idx")], strict=True):
+            known[g][token] = i
+        sent = spark.sparkContext.broadcast([known[g] for g in GROUPS])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = [b.column(0)]
+                for i, known in enumerate(sent.value, 1):
+                    start = b.column(i).offsets.to_numpy()
+                    out.append(_list(start - start[:1], np.fromiter((known.get(t, -1) for t in b.column(i).flatten().to_pylist()), np.int32), pa.int32()))
+                yield pa.RecordBatch.from_arrays(out, names=["sample", "a", "b", "c"])
+
+        empty = F.array().cast("array<string>")
+        return samples.select("sample", *[F.coalesce(c, empty).alias(c) for c in ("words", "patient", "encounter")]).mapInArrow(run, "sample long, a array<int>, b array<int>, c array<int>")
+    out = samples.select("sample")
+    for name, column, g in zip("abc", ("words", "patient", "encounter"), GROUPS, strict=True):
+        tokens = samples.select("sample", F.posexplode(column).alias("pos", "token")).join(vocabs[g].select("token", "idx"), "token", "left")
+        lists = tokens.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("idx", F.lit(-1)).cast("int").alias("idx")))).alias("l"))
+        out = out.join(lists.select("sample", F.transform("l", lambda x: x["idx"]).alias(name)), "sample", "left").withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
+    return out
+
+
+def slot(cfg: Config, slots: int) -> Column:
+    """Which task of which round gets a line."""
+    return F.pmod(portable_int(F.concat_ws("-", F.lit(f"slot-{cfg.seed}"), F.col("sample").cast("string"))), F.lit(slots))
+
+
+def needs(lines: DataFrame, lexicon: DataFrame, cfg: Config) -> DataFrame:
+    """(round, task, matrix, row): the rows that each task touches."""
+    at = ["round", "task"]
+    pick = lambda df, name, row: df.select(*at, F.lit(NAMES.index(name)).alias("matrix"), row.alias("row"))
+    known = lambda c: F.explode(F.filter(F.col(c).cast("array<bigint>"), lambda x: x >= 0))
+    out = pick(lexicon, "input", F.col("key")).unionByName(pick(lexicon, "output", known("a"))).unionByName(pick(lexicon, "ngram", known("c")))
+    out = out.unionByName(pick(lines, "patient", known("b"))).unionByName(pick(lines, "encounter", known("c")))
+    return out.unionByName(pick(lines.select(*at).distinct(), "W_proj", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cfg.d_out - 1).cast("bigint"))))).distinct()
+
+
+def first_params(spark: SparkSession, cfg: Config, sizes: dict[str, int], words: DataFrame) -> DataFrame:
+    """The parameters before training; n-gram rows only for buckets that words of the vocabulary touch."""
+    keys = words.select(F.lit(NAMES.index("ngram")).alias("matrix"), F.explode(F.col("c").cast("array<bigint>")).alias("row")).distinct()
+    for k, n in sizes.items():
+        keys = keys.unionByName(spark.range(n).select(F.lit(NAMES.index(k)).alias("matrix"), F.col("id").alias("row")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            matrix, rows = (b.column(i).to_numpy() for i in (0, 1))
+            for m in np.unique(matrix).tolist():
+                yield _rows(m, rows[matrix == m], initial(cfg, NAMES[m], rows[matrix == m]))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, lex = sent.value, lexicon.value
-        mine, loss, preds, n = old.copy(), 0.0, 0, 0
+    ship(spark)
+    return keys.mapInArrow(run, f"matrix int, row long, {_vec(cfg)}")
+
+
+def _vec(cfg: Config) -> str:
+    return "vec array<double>" if cfg.precision == "double" else "vec array<float>"
+
+
+def _rows(matrix: int, rows: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    vec = _list(np.arange(len(rows) + 1) * values.shape[1], np.ascontiguousarray(values).reshape(-1), pa.from_numpy_dtype(values.dtype))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), matrix, np.int32)), pa.array(rows, pa.int64()), vec], names=["matrix", "row", "vec"])
+
+
+# ---------------------------------------------------------------- a round
+
+#: Kinds of rows that come to a task, in this order: vocabulary entries, parameters (the matrix's number is added), lines.
+ENTRY, PARAM, LINE = 0, 1, 9
+#: Rows of one batch that a task sends.
+SEND = 4096
+
+
+class _Task:
+    """What one task of a round holds."""
+
+    def __init__(self, number: int, cfg: Config, epoch: int, lr: float):
+        self.number, self.cfg, self.epoch, self.lr = number, cfg, epoch, lr
+        self.entries, self.params, self.p = [], {}, None
+        self.loss, self.preds, self.lines = 0.0, 0, 0
+
+    def take(self, kind: int, b: pa.RecordBatch) -> None:
+        key = b.column(2).to_numpy()
+        if kind == ENTRY:
+            self.entries.append((key, *[_flat(b.column(i)) for i in (3, 4, 5)], b.column(6).to_numpy()))
+        elif kind < LINE:
+            name = NAMES[kind - PARAM]
+            self.params.setdefault(name, []).append((key, _flat(b.column(7), self.cfg.dtype)[1].reshape(len(key), -1)))
+        else:
+            self._learn(key, *[_flat(b.column(i)) for i in (3, 4, 5)])
+
+    def _build(self) -> None:
+        join = lambda parts: (np.concatenate([[0], *[s[1:] + o for (s, _), o in zip(parts, np.cumsum([0, *[len(v) for _, v in parts[:-1]]]), strict=True)]]).astype(np.int64), np.concatenate([v for _, v in parts]))
+        none = (np.zeros(1, np.int64), np.zeros(0, np.int64))
+        paths, codes, grams = (join([e[i] for e in self.entries]) if self.entries else none for i in (1, 2, 3))
+        self.words = np.concatenate([e[0] for e in self.entries]) if self.entries else np.zeros(0, np.int64)
+        skip = np.concatenate([e[4] for e in self.entries]) if self.entries else np.zeros(0)
+        self.rows, self.p = {}, object.__new__(Params)
+        for k in NAMES:
+            got = self.params.pop(k, [])
+            self.rows[k] = np.concatenate([r for r, _ in got]) if got else np.zeros(0, np.int64)
+            setattr(self.p, k, np.concatenate([v for _, v in got]) if got else np.zeros((0, self.cfg.columns[k]), self.cfg.dtype))
+        self.old = self.p.copy()
+        self.lex = Lexicon(paths[0], np.searchsorted(self.rows["output"], paths[1]), codes[1], grams[0], grams[1], skip)
+
+    def _learn(self, sample: np.ndarray, words: tuple, patient: tuple, encounter: tuple) -> None:
+        if self.p is None:
+            self._build()
+        ids = np.where(words[1] < 0, -1, np.searchsorted(self.words, words[1]))
+
+        def known(tokens: tuple, rows: np.ndarray) -> tuple:
+            start, v = tokens
+            ok = v >= 0
+            return np.concatenate([[0], np.cumsum(ok)])[start], np.searchsorted(rows, v[ok])
+
+        loss, preds = train_lines(self.p, self.lex, self.cfg, self.epoch, self.lr, sample, (words[0], ids), known(patient, self.rows["patient"]), known(encounter, self.rows["encounter"]))
+        self.loss, self.preds, self.lines = self.loss + loss, self.preds + preds, self.lines + len(sample)
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        if self.p is None:
+            return
+        n = len(NAMES)
+        one = pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([0], pa.int64()), _list(np.array([0, 0]), np.zeros(0, self.cfg.dtype), pa.from_numpy_dtype(self.cfg.dtype))], names=["matrix", "row", "vec"])
+        yield self._with(one, self.loss, self.preds, self.lines)
+        for m, k in enumerate(NAMES):
+            d = getattr(self.p, k) - getattr(self.old, k)
+            some = np.flatnonzero(d.any(axis=1))
+            for at in range(0, len(some), SEND):
+                part = some[at : at + SEND]
+                yield self._with(_rows(m, self.rows[k][part], d[part]), 0.0, 0, 0)
+
+    def _with(self, b: pa.RecordBatch, loss: float, preds: int, lines: int) -> pa.RecordBatch:
+        n = b.num_rows
+        more = [pa.array(np.full(n, self.number, np.int32)), pa.array(np.full(n, loss)), pa.array(np.full(n, preds, np.int64)), pa.array(np.full(n, lines, np.int64))]
+        return pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "task", "loss", "preds", "lines"])
+
+
+def run_round(lines: DataFrame, lexicon: DataFrame, needed: DataFrame, params: DataFrame, cfg: Config, epoch: int, lr: float, tasks: int) -> DataFrame:
+    """(matrix, row, vec, task, loss, preds, lines): what each task changed, and one row of its facts, under a matrix number after the last."""
+    ints, vec = F.lit(None).cast("array<int>"), F.lit(None).cast(_vec(cfg).split()[1])
+    x = F.lit(None).cast("double")
+    kind = lambda k: F.lit(k).alias("kind")
+    rows = lexicon.select("task", kind(ENTRY), "key", "a", "b", "c", "x", vec.alias("vec"))
+    rows = rows.unionByName(needed.join(params, ["matrix", "row"]).select("task", (F.col("matrix") + PARAM).alias("kind"), F.col("row").alias("key"), ints.alias("a"), ints.alias("b"), ints.alias("c"), x.alias("x"), "vec"))
+    rows = rows.unionByName(lines.select("task", kind(LINE), F.col("sample").alias("key"), "a", "b", "c", x.alias("x"), vec.alias("vec")))
+    ship(lines.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            task, sort = (b.column(i).to_numpy() for i in (0, 1))
+            cuts = np.flatnonzero(np.concatenate([[True], (task[1:] != task[:-1]) | (sort[1:] != sort[:-1]), [True]])) if len(task) else [0]
+            for a, e in zip(cuts, cuts[1:]):
+                if now is None or task[a] != now.number:
+                    if now is not None:
+                        yield from now.sent()
+                    now = _Task(int(task[a]), cfg, epoch, lr)
+                now.take(int(sort[a]), b.slice(a, e - a))
+        if now is not None:
+            yield from now.sent()
+
+    return rows.repartition(tasks, "task").sortWithinPartitions("task", "kind", "key").mapInArrow(run, f"matrix int, row long, {_vec(cfg)}, task int, loss double, preds long, lines long")
+
+
+def moved(params: DataFrame, deltas: DataFrame, active: int, cfg: Config) -> DataFrame:
+    """The parameters after a round: rows of sparse matrices move by the mean over the tasks that changed them, those of dense ones by the mean over the `active` tasks; then the projection decays."""
+    rows = params.select("matrix", "row", F.lit(-1).alias("task"), "vec").unionByName(deltas.filter(F.col("matrix") < len(NAMES)).select("matrix", "row", "task", "vec"))
+    dense, shrink = [NAMES.index(k) for k in DENSE], 1 - cfg.weight_decay
+
+    def done(m: int, row: np.ndarray, base: np.ndarray, sums: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        new = base + sums / np.maximum(1, active if m in dense else n)[..., None]
+        return _rows(m, row, (new * shrink if NAMES[m] == "W_proj" else new).astype(cfg.dtype))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row of a batch, which the next one may go on with
         for b in batches:
-            sample = b.column(0).to_numpy(zero_copy_only=False)
-            a, c = train_lines(mine, lex, cfg, epoch, lr, sample, *[b.column(i).to_pylist() for i in (1, 2, 3)])
-            loss, preds, n = loss + a, preds + c, n + len(sample)
-        if n:
-            yield _arrow([("tasks", 0, np.array([0]).tobytes(), np.ones(1, np.float32).tobytes(), np.array([loss, preds, n], np.float64).tobytes())])
-            rows = list(_deltas(old, mine))
-            for at in range(0, len(rows), 64):
-                yield _arrow(rows[at : at + 64])
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for b in batches:  # blocks of one kind come together, so a task holds at most its share of the model
-            rows = list(zip(*[b.column(i).to_pylist() for i in range(5)], strict=True))
-            for r in rows:
-                if r[0] == "tasks":
-                    yield _arrow([r])
-            held = _summed([*held, *[r for r in rows if r[0] != "tasks"]])
-        for at in range(0, len(held), 64):
-            yield _arrow(held[at : at + 64])
-
-    got = samples.select("sample", "words", "patient", "encounter").mapInArrow(task, DELTAS)
-    got = materialize(got.repartition("matrix", "block").mapInArrow(combine, DELTAS), "deltas")
-    facts = [np.frombuffer(r.vec) for r in got.filter("matrix = 'tasks'").select("vec").collect()]  # one for each task
-    rows = [tuple(r) for r in got.filter("matrix <> 'tasks'").toLocalIterator()]  # at most the model's own rows, as bytes
-    sent.destroy()
-    release(got)
-    loss, preds, n = np.sum(facts, axis=0) if facts else (0.0, 0.0, 0.0)
-    return rows, float(loss), int(preds), int(n)
-
-
-def apply(params: Params, blocks: list[tuple], cfg: Config) -> None:
-    for name, _, r, t, v in blocks:
-        r, t = np.frombuffer(r, np.int64), np.frombuffer(t, np.float32)
-        getattr(params, name)[r] += np.frombuffer(v, np.float32).reshape(len(r), -1) / t[:, None]
-    if cfg.weight_decay > 0:
-        params.W_proj *= np.float32(1 - cfg.weight_decay)
+            matrix, row, task = (b.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero(np.concatenate([[True], matrix[1:] != matrix[:-1], [True]])) if len(matrix) else [0]
+            for a, e in zip(cuts, cuts[1:]):
+                m, r, own = int(matrix[a]), row[a:e], task[a:e] < 0
+                v = _flat(b.column(3).slice(a, e - a), float)[1].reshape(e - a, -1)
+                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                base, sums, n = (np.add.reduceat(x, first, axis=0) for x in (v * own[:, None], v * ~own[:, None], (~own).astype(np.int64)))
+                if held is not None:
+                    if held[0] == m and held[1][0] == r[0]:
+                        base[0], sums[0], n[0] = base[0] + held[2][0], sums[0] + held[3][0], n[0] + held[4][0]
+                    else:
+                        yield done(*held)
+                keys = r[first]
+                if len(keys) > 1:
+                    yield done(m, keys[:-1], base[:-1], sums[:-1], n[:-1])
+                held = m, keys[-1:], base[-1:], sums[-1:], n[-1:]
+        if held is not None:
+            yield done(*held)
+
+    return rows.repartition("matrix", "row").sortWithinPartitions("matrix", "row", "task").mapInArrow(run, f"matrix int, row long, {_vec(cfg)}")
+
+
+def health(params: DataFrame) -> list[tuple[str, int, int]]:
+    """(matrix, NaN, infinite) of the matrices that have any."""
+    bad = lambda test: F.sum(F.size(F.filter("vec", test)))
+    got = params.groupBy("matrix").agg(bad(lambda x: F.isnan(x)).alias("nan"), bad(lambda x: F.abs(x.cast("double")) == float("inf")).alias("inf")).filter("nan > 0 OR inf > 0")
+    return [(NAMES[r.matrix], r.nan, r.inf) for r in got.orderBy("matrix").collect()]  # one row for each matrix
+
+
+def check_health(params: DataFrame, epoch: int) -> None:
+    if bad := health(params):
+        raise FloatingPointError("parameters are not finite after epoch %d: %s" % (epoch, "; ".join(f"{m}: {x} NaN, {y} infinite" for m, x, y in bad)))
 
 
-def fit(lines: DataFrame, cfg: Config | None = None, value: str = "value", key: str | None = None) -> tuple[Model, DataFrame]:
-    """Trains on corpus lines. Returns the model and one row of metrics for each epoch (epoch, avg_loss, predictions, seconds, lr).
+@dataclass
+class Trained:
+    """vocabs: tables (idx, token, freq; words also code and path); params: (matrix number, row, vec); metrics: (epoch, avg_loss, predictions, seconds, lr) of each epoch."""
 
-    Raises ValueError on an empty vocabulary and FloatingPointError, naming all bad matrices, when parameters stop being finite.
-    `key` names a whole-number column that tells lines apart and numbers them for the draws; without it lines are numbered by their text and repeats by chance of place.
-    """
-    cfg = cfg or Config()
+    vocabs: dict[str, DataFrame]
+    params: DataFrame
+    metrics: list[tuple]
+
+
+def train(lines: DataFrame, cfg: Config, value: str = "value", key: str | None = None) -> Trained:
+    """See `fit`."""
     spark = lines.sparkSession
     vocabs = vocabularies(materialize(token_counts(counting_samples(lines, value)), "counts"), cfg.threshold)
-    word = vocabs["word"].orderBy("idx").toArrow()  # bounded by the vocabulary, as the tree is
-    if not word.num_rows:
+    others = materialize(stacked({g: vocabs[g] for g in GROUPS if g != "word"}), "groups")
+    vocabs = {g: materialize(huffman.with_codes(v), g) if g == "word" else others.filter(F.col("group_name") == g).drop("group_name") for g, v in vocabs.items()}
+    count = dict.fromkeys(GROUPS, 0) | {r.group_name: r["count"] for r in stacked({g: v.select("idx") for g, v in vocabs.items()}).groupBy("group_name").count().collect()}
+    if not count["word"]:
         raise ValueError("the vocabulary is empty: no word reaches the threshold")
-    patient, encounter = ([r.token for r in vocabs[g].orderBy("idx").collect()] for g in ("patient", "encounter"))
-    freq = word["freq"].to_numpy().astype(float)
-    tree = huffman.codes(freq)
-    vocabs["word"] = vocabs["word"].join(huffman.table(spark, tree), "idx")
-    discard = np.maximum(0, 1 - np.sqrt(cfg.subsample * freq.sum() / freq))
-    lex = Lexicon(word["token"].to_pylist(), tree, discard, patient, encounter, cfg)
-    params = Params(cfg, len(freq), len(patient), len(encounter), lex.buckets)
+    words = materialize(entries(vocabs["word"], cfg), "entries")
+    sizes = {"output": max(1, count["word"] - 1), "input": count["word"], "W_proj": cfg.d_out, "patient": count["patient"], "encounter": count["encounter"]}
+    params = materialize(first_params(spark, cfg, sizes, words), "params")
     read = training_samples(lines, value)
-    numbered = read.withColumn("sample", F.col(key).cast("long")) if key else dense_index(read, [F.xxhash64(value), F.col(value)], "sample")
-    n, tasks = numbered.count(), spark.sparkContext.defaultParallelism
+    known = read.withColumn("sample", F.col(key).cast("long")) if key else dense_index(read, [F.xxhash64(value), F.col(value)], "sample")
+    n, tasks = known.count(), cfg.tasks or spark.sparkContext.defaultParallelism
     rounds = max(1, -(-n // (cfg.chunk_size * tasks)))
-    slot = F.pmod(F.xxhash64("sample"), F.lit(rounds * tasks))
-    dealt = numbered.select("sample", "words", "patient", "encounter", F.floor(slot / tasks).alias("round"), F.pmod(slot, F.lit(tasks)).alias("task")).repartition(tasks, "task").drop("task")
-    folder = f"{checkpoint_dir(spark)}/covarium-{uuid.uuid4().hex}-samples"
-    dealt.write.partitionBy("round").parquet(folder)
+    dealt = numbered(known, vocabs, sum(count.values())).withColumn("_slot", slot(cfg, rounds * tasks)).withColumns({"round": F.floor(F.col("_slot") / tasks).cast("int"), "task": F.pmod("_slot", F.lit(tasks)).cast("int")}).drop("_slot")
+    folder = f"{checkpoint_dir(spark)}/covarium-{uuid.uuid4().hex}-rounds"
+
+    def by_round(df: DataFrame, name: str) -> None:
+        df.write.partitionBy("round").parquet(f"{folder}/{name}")
+
+    by_round(dealt.repartition(tasks, "task"), "lines")
+    dealt = spark.read.schema("sample long, a array<int>, b array<int>, c array<int>, task int, round int").parquet(f"{folder}/lines")
+    used = dealt.select("round", "task", F.explode(F.filter(F.col("a").cast("array<bigint>"), lambda x: x >= 0)).alias("key")).distinct()
+    by_round(used.join(words, "key").select("round", "task", "key", "a", "b", "c", "x"), "lexicon")
+    lexicon = spark.read.schema("task int, key long, a array<int>, b array<int>, c array<int>, x double, round int").parquet(f"{folder}/lexicon")
+    by_round(needs(dealt, lexicon, cfg), "needs")
+    needed = spark.read.schema("task int, matrix int, row long, round int").parquet(f"{folder}/needs")
     per_epoch = count_lines(lines.withColumnRenamed(value, "value")) if cfg.count_bad_lines else n
     total, step = cfg.epoch * per_epoch, 0
-    sent = spark.sparkContext.broadcast(lex)
     metrics = []
     for epoch in range(cfg.epoch):
         began, loss, preds, lr = time.time(), 0.0, 0, cfg.lr
         for r in range(rounds if n else 0):
             lr = learning_rate(cfg.lr, step, total)
-            part = spark.read.schema("sample long, words array<string>, patient array<string>, encounter array<string>").parquet(f"{folder}/round={r}")
-            blocks, a, b, seen = run_round(part, params, sent, cfg, epoch, lr)
-            apply(params, blocks, cfg)
-            loss, preds, step = loss + a, preds + b, step + seen
-        bad = [f"{m}: {x} NaN, {y} infinite" for m, x, y in params.health() if x or y]
-        if bad:
-            raise FloatingPointError("parameters are not finite after epoch %d: %s" % (epoch + 1, "; ".join(bad)))
+            part = [t.filter(F.col("round") == r) for t in (dealt, lexicon, needed)]
+            deltas = materialize(run_round(*part, params, cfg, epoch, lr, tasks), "deltas")
+            facts = deltas.filter(F.col("matrix") == len(NAMES)).agg(F.count(F.lit(1)).alias("active"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("loss", "preds", "lines")]).first()
+            old, params = params, materialize(moved(params, deltas, facts.active, cfg), "params")
+            release(old, deltas)
+            loss, preds, step = loss + facts.loss, preds + facts.preds, step + facts.lines
+        check_health(params, epoch + 1)
         metrics.append((epoch + 1, loss / preds if preds else 0.0, preds, time.time() - began, lr))
-    sent.destroy()
     delete(spark, folder)
-    tables = matrix_table(spark, "output", params.output)
-    for name in ("input", "W_proj", "patient", "encounter"):
-        tables = tables.unionByName(matrix_table(spark, name, getattr(params, name)))
-    tables = tables.unionByName(matrix_table(spark, "ngram", params.ngram, params.buckets))
+    release(words)
+    return Trained(vocabs, params, metrics)
+
+
+def fit(lines: DataFrame, cfg: Config | None = None, value: str = "value", key: str | None = None) -> tuple[Model, DataFrame]:
+    """Trains on corpus lines. Returns the model and one row of metrics for each epoch (epoch, avg_loss, predictions, seconds, lr).
+
+    Raises ValueError on an empty vocabulary and FloatingPointError, naming all bad matrices, when parameters stop being finite.
+    `key` names a whole-number column that tells lines apart and numbers them for the draws; without it lines are numbered by their text and repeats by chance of place.
+    """
+    cfg = cfg or Config()
+    got = train(lines, cfg, value, key)
+    names = F.array(*[F.lit(k) for k in NAMES])
+    tables = got.params.select(F.element_at(names, F.col("matrix") + 1).alias("matrix"), F.col("row").alias("row_idx"), F.col("vec").cast("array<float>").alias("vec"))
     v = None
     empty = F.lit(None).cast("array<int>")
-    for g in ("word", "patient", "encounter"):
-        t = vocabs[g]
+    for g, t in got.vocabs.items():
         if g != "word":
             t = t.withColumns({"code": empty, "path": empty})
         t = t.select(F.lit(g).alias("group_name"), "idx", "token", "freq", "code", "path")
         v = t if v is None else v.unionByName(t)
-    out = spark.createDataFrame(metrics, "epoch int, avg_loss double, predictions long, seconds double, lr double")
+    out = lines.sparkSession.createDataFrame(got.metrics, "epoch int, avg_loss double, predictions long, seconds double, lr double")
     return Model(asdict(cfg), materialize(v, "vocab"), materialize(tables, "matrices")), out

@@ -154,6 +154,40 @@ def test_huffman_is_optimal_and_prefix_free(n):
     assert {x for _, p in made for x in p} == set(range(n - 1)) and all(p[0] == n - 2 for _, p in made)
 
 
+def plain_merge(freqs):
+    """The merge of one pair of nodes after the other."""
+    v = len(freqs)
+    parent, bit, w = [-1] * (2 * v - 1), [0] * (2 * v - 1), list(freqs) + [0] * (v - 1)
+    leaf, inner = v - 1, v
+    for node in range(v, 2 * v - 1):
+        for b in (0, 1):
+            if leaf >= 0 and (inner >= node or w[leaf] <= w[inner]):
+                at, leaf = leaf, leaf - 1
+            else:
+                at, inner = inner, inner + 1
+            w[node] += w[at]
+            parent[at], bit[at] = node, b
+    out = []
+    for at in range(v):
+        code, path = [], []
+        while parent[at] >= 0:
+            code, at = [bit[at], *code], parent[at]
+            path = [at - v, *path]
+        out.append((code, path))
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 2, 5, 40, 10_000])
+def test_huffman_by_classes_equals_the_plain_merge(most):
+    rng = np.random.default_rng(most)
+    for _ in range(60):
+        f = np.sort(rng.integers(1, most + 1, int(rng.integers(1, 70))))[::-1]
+        assert list(huffman.codes(f)) == plain_merge(f.tolist())
+    f = np.sort((3e5 / np.arange(1, 100_001)).astype(int) + 1)[::-1]
+    t = huffman.tree(*np.unique(f, return_counts=True))
+    assert len(t.leaves.low) + len(t.inner.low) < 10_000  # of 200,000 nodes
+
+
 def test_huffman_stats(spark):
     v = spark.createDataFrame([(i, f"t{i}", f) for i, f in enumerate([10, 6, 5, 3, 2])], "idx long, token string, freq long")
     r = huffman.depth_stats(huffman.with_codes(v)).first()
