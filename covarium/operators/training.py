@@ -91,6 +91,11 @@ def learning_rate(lr0: float, step: int, total: int) -> float:
     return max(lr0 * 1e-4, lr0 * (1 - step / max(1, total)))
 
 
+def learning_rate_at(lr0: float, step: Column, total: Column) -> Column:
+    """`learning_rate` as a column."""
+    return F.greatest(F.lit(lr0 * 1e-4), F.lit(lr0) * (1 - step / F.greatest(F.lit(1), total)))
+
+
 # Odd multipliers of the draws and of the finalizer that mixes them.
 MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 FINAL = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)

@@ -541,11 +541,13 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return ci.select("base", "target", *[F.round(x, 5).alias(x) for x in ("similarity", "lo", "hi")], "n")
 
 
-@query("""
-WITH w AS (SELECT r, j, ((r * 5 + j * 3) % 7 - 3) / 8.0::DOUBLE AS x FROM (SELECT unnest(range(16)) AS r), (SELECT unnest(range(72)) AS j))
-SELECT block, round(sqrt(sum(x * x)), 5) AS norm FROM (SELECT CASE WHEN j < 64 THEN 'word' ELSE 'patient' END AS block, x FROM w UNION ALL SELECT 'all', x FROM w) GROUP BY block""")
+@query("""WITH w AS (SELECT CASE WHEN j <= 40 THEN 'word' WHEN j <= 56 THEN 'patient' ELSE 'encounter' END AS block, x FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS j FROM embeddings))
+SELECT block, round(sqrt(sum(x * x)), 4) AS norm FROM w GROUP BY block UNION ALL SELECT 'all', round(sqrt(sum(x * x)), 4) FROM w""")
 def block_norms(spark: SparkSession, d: str) -> DataFrame:
-    return compose.block_norms(toy_model(spark, d)).select("block", F.round("norm", 5).alias("norm"))
+    """Norms of the columns of each group, of a projection with a row for each vector."""
+    rows = t(spark, d, "embeddings").select(F.lit("W_proj").alias("matrix"), F.col("vec_id").alias("row_idx"), F.col("embedding").alias("vec"))
+    model = model_store.Model({"d_word": 40, "d_patient": 16, "d_encounter": 8}, None, rows)
+    return compose.block_norms(model).select("block", F.round("norm", 4).alias("norm"))
 
 
 @query("""SELECT matrix, sum(len(v))::BIGINT AS n_values, sum(len(list_filter(v, lambda x: isnan(x))))::BIGINT AS n_nan, sum(len(list_filter(v, lambda x: isinf(x))))::BIGINT AS n_inf FROM (

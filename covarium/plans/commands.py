@@ -12,6 +12,7 @@ from covarium import cli
 from covarium.functions import vectors
 from covarium.functions.register import register
 from covarium.operators import compose, covariates, search, training, uncertainty
+from covarium.operators.ranking import dense_index
 from covarium.plans.catalogue import _SQL_GROUP, _SQL_ROUND, MERGE_SQL, U_SQL, V_SQL, _candidates, _pair_queries, _round, clinical, part_lines, query, t, toy_model
 from covarium.session import checkpoint_dir, delete
 from covarium.sources import corpus, model_store
@@ -128,10 +129,13 @@ def clipped_vectors(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", _round(vectors.clip_norm(F.col("embedding"), 0.9)).alias("clipped"), _round(vectors.clip_norm(F.col("embedding"), 0.0)).alias("free"))
 
 
-@query("SELECT step, round(greatest(0.05::DOUBLE * 1e-4::DOUBLE, 0.05::DOUBLE * (1 - step / 200.0::DOUBLE)), 9) AS lr FROM range(0, 241, 3) x(step)")
+@query("""SELECT o_orderkey, round(greatest(0.05::DOUBLE * 1e-4::DOUBLE, 0.05::DOUBLE * (1 - step / total::DOUBLE)), 9) AS lr
+    FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS step, count(*) OVER () * 3 // 4 AS total FROM orders)""")
 def learning_rates(spark: SparkSession, d: str) -> DataFrame:
-    """The step size of each round, by the lines seen before it."""
-    return spark.createDataFrame([(s, round(training.learning_rate(0.05, s, 200), 9)) for s in range(0, 241, 3)], "step long, lr double")
+    """The step size at each line of a corpus, by the lines before it; the schedule ends at three quarters, after which the least size holds."""
+    steps = dense_index(t(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], "step")
+    total = steps.agg((F.count(F.lit(1)) * 3 / 4).cast("long").alias("total"))
+    return steps.join(F.broadcast(total)).select("o_orderkey", F.round(training.learning_rate_at(0.05, F.col("step"), F.col("total")), 9).alias("lr"))  # one row on the right
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS x FROM embeddings),
