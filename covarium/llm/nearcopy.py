@@ -34,6 +34,8 @@ ROUNDS = 3
 BLOCK = 64
 #: Rows of ids (16 bytes each) that are broadcast to find their texts; more go through a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pairs of one node, as the second of a pair, that are compared in one place.
+DEALT = 256
 #: 64-bit words of a set's parities; of a set with more shingles than these have bits, up to so many more words come after them.
 MAP_WORDS, WIDE_WORDS = 16, 256
 
@@ -108,20 +110,22 @@ def _may(c: Column) -> Column:
     return (5 * low >= 4 * high) & (9 * (c + F.floor((4 * high + 4) / 5) - 1) >= 4 * (low + high))
 
 
-def _similar(left: list, right: list) -> list[list[bool]]:
-    both = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right, strict=True)]
-    return [[9 * k >= 4 * (len(a) + len(b)) for k, a, b in zip(both, left, right, strict=True)]]
-
-
 def check(pairs: DataFrame, small: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs (written ones) that have a Jaccard similarity of 0.8 or more. Sets are made of the texts of these pairs' nodes and no others."""
+    """(a, b) of the pairs (written ones) that have a Jaccard similarity of 0.8 or more. Sets are made of the texts of these pairs' nodes and no others.
+
+    Sets meet in the JVM. A node that many pairs have as `b` is dealt out: DEALT pairs, and a copy of its set, come to one place.
+    """
     used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     ids = materialize(small.join(used, "node", "left_semi").select("least.kid", "least.th"), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, ["kid", "th"], "left_semi").groupBy("kid", "th").agg(F.first("text").alias("text"))
     sets = materialize(append(texts, ["text"], _sets, "node long, own array<long>", drop=("kid", "th", "text")), "sets")
-    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-    out = materialize(append(both, ["left", "right"], _similar, "near boolean", drop=("left", "right")).filter("near").select("a", "b"), "links")
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / DEALT).alias("parts"))
+    right = sets.toDF("b", "right").join(parts, "b").select("b", "right", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    both = dealt.join(sets.toDF("a", "left"), "a").join(right, ["b", "part"])
+    near = 9 * F.size(F.array_intersect("left", "right")) >= 4 * (F.size("left") + F.size("right"))
+    out = materialize(both.filter(near).select("a", "b"), "links")
     release(ids, sets, pairs)
     tidy(pairs.sparkSession)
     return out
