@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -66,15 +67,21 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sa
 
 
 class WordCache(dict):
-    """Results of `fn` for short words. Bounded by entries of bounded size, so by bytes: it is emptied when full, and longer words aren't remembered."""
+    """Results of `fn` for short words. Bounded by entries of bounded size, so by bytes: it is emptied when full, and longer words aren't remembered. A task that has no use for it empties it (`give_back`): a
+    worker process outlives its task, and the next one's may be another operator's."""
 
     LONGEST, ENTRIES = 48, 1 << 18
+    ALL: weakref.WeakSet[WordCache] = weakref.WeakSet()
 
     def __init__(self, fn: Callable):
         super().__init__()
-        self.fn = fn
+        self.fn, self.used = fn, False
+        self.ALL.add(self)
+
+    __hash__ = object.__hash__
 
     def __missing__(self, word):
+        self.used = True
         got = self.fn(word)
         if len(word) <= self.LONGEST:
             if len(self) >= self.ENTRIES:
@@ -84,7 +91,11 @@ class WordCache(dict):
 
 
 def give_back() -> None:
-    """Return freed memory to the system: a worker process outlives its task, and what it keeps adds to the next one's."""
+    """Return freed memory to the system, and that of caches that this task didn't fill: a worker process outlives its task, and what it keeps adds to the next one's."""
+    for cache in list(WordCache.ALL):
+        if not cache.used:
+            cache.clear()
+        cache.used = False
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

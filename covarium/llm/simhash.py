@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covarium.llm.common import append
+from covarium.llm.common import append, give_back
 from covarium.session import materialize, release, ship
 
 BITS, SHINGLE, SEED, RADIUS = 64, 4, 42, 4
@@ -272,6 +272,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROW
             rows_held += len(f)
         if held:
             yield solve(pd.concat(held))
+        give_back()
 
     return dealt.mapInPandas(run, "a long, b long").filter("a <> b")
 
