@@ -166,13 +166,13 @@ def training_rows(docs: DataFrame, fold: int = 2, folds: int = 4, sample: int =
     """
     spark = docs.sparkSession
     use = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(crc_fold("doc_id", folds) != fold)
-    sizes = use.groupBy("lang").count().collect()
-    each = max(least, sample // max(1, len(sizes)))
-    unit = 1 << 62
-    limits = [(r.lang, min(unit, unit * (2 * each + 64) // r["count"])) for r in sizes]
-    # which rows lend is decided by ids and texts, so equal rows count once, however often they come
+    # which rows lend is decided by ids and texts, so equal rows count once, however often they come: in the sizes too, whose estimates leave a wide margin to the number wanted
     h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
     hashed = use.select("doc_id", "lang", text_key().alias("th"), h.alias("h"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    each = max(least, sample // max(1, len(sizes)))
+    unit = 1 << 62
+    limits = [(r.lang, min(unit, unit * (2 * each + 64) // max(1, r.n))) for r in sizes]
     below = hashed.join(F.broadcast(spark.createDataFrame(limits, "lang string, below long")), "lang").filter("h < below")
     found: dict[str, set] = {}
     for r in below.select("lang", "h", "doc_id", "th").distinct().collect():

@@ -1,6 +1,7 @@
 """Classifiers: held-out accuracy on small made-up corpora, gradients, and edge cases."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -84,6 +85,18 @@ def test_language_with_few_labels(spark):
     assert {r.lang_pred for r in langid.predict(docs, single).collect()} == {"aa", "und"}
 
 
+def test_a_language_is_learned_though_other_rows_repeat(spark):
+    """A million copies of a few rows leave each language its own distinct rows."""
+    rng = random.Random(8)
+    words = {"xx": ["hausen", "strasse", "nicht", "werden", "schule"], "yy": ["casa", "calle", "noche", "ciudad", "escuela"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(30)), lang) for i, lang in enumerate(["xx", "yy"] * 100)]
+    few = spark.createDataFrame([(1000 + i, f"only a text {i}", "xx") for i in range(8)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(few.crossJoin(spark.range(125_000)).drop("id"))
+    got = {r.lang: r["count"] for r in langid.training_rows(docs).groupBy("lang").count().collect()}
+    allowed = {lang: sum(1 for i, _, x in rows if x == lang and zlib.crc32(str(i).encode()) % 4 != 2) for lang in words}
+    assert got["yy"] == allowed["yy"] and got["xx"] >= allowed["xx"]
+
+
 def test_language_counts_of_long_texts_equal_short_pieces():
     t = b"ab cd " * 400_000
     b = np.frombuffer(b" " + b" ".join(t.split()) + b" ", np.uint8).astype(np.uint32)
