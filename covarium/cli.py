@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import argparse
 import sys
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import fields
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covarium.functions.text import MIN_SENTENCE, split_sentences
 from covarium.functions.vectors import MIN_NORM, norm
 from covarium.operators import compose, covariates, resample, search, sentences, training, uncertainty
-from covarium.session import materialize, session
+from covarium.session import delete, materialize, session
 from covarium.sources import corpus, model_store
 
 TRAIN_FLAGS = {
@@ -26,6 +29,9 @@ TRAIN_FLAGS = {
 }
 USAGE = "usage: train [options] <training text> <output model>\n  " + "  ".join(f"{k} <{t.__name__}>" for k, (_, t) in TRAIN_FLAGS.items())
 
+#: Replicates of an ensemble that are fitted at a time.
+FITS = 4
+
 
 class Usage(Exception):
     """A wrong command line; its text goes to standard error and the exit code is 1."""
@@ -128,7 +134,7 @@ def compare_bootstrap(spark: SparkSession, argv: list[str]) -> DataFrame:
         raise Usage("usage: compare-bootstrap <bases> <targets> [<model folder>/<prefix>]")
     folder, _, prefix = (argv[2] if len(argv) > 2 else "./model").rpartition("/")
     try:
-        models = model_store.load_ensemble(spark, folder or ".", prefix)
+        models = model_store.ensemble(spark, folder or ".", prefix)
     except FileNotFoundError as e:
         raise Usage(str(e)) from e
     sides = []
@@ -191,24 +197,39 @@ def write_corpus(table: DataFrame, path: str, bootstrap_seed: int | None = None,
 
 
 def bootstrap_run(spark: SparkSession, argv: list[str]) -> DataFrame:
-    """An original model (shuffle seed 42) and replicates (seed i for both draws); step size 0.02 and weight decay 1e-5 unless flags say otherwise."""
+    """An original model (shuffle seed 42) and replicates (seed i for both draws), FITS at a time; step size 0.02 and weight decay 1e-5 unless flags say otherwise."""
     p = argparse.ArgumentParser("bootstrap-run")
     p.add_argument("--input", required=True, help="sentence table")
     p.add_argument("--out", required=True, help="<folder>/<prefix> of the models")
     p.add_argument("--replicates", type=int, default=25)
     a, rest = p.parse_known_args(argv)
     cfg = parse_train(["-lr", "0.02", "-weight-decay", "1e-5", *rest, "in", "out"])[0]
-    table, out = spark.read.parquet(a.input), None
-    for i in range(a.replicates + 1):
-        text = f"{a.out}_corpus_tmp"
-        write_corpus(table, text, i or None, i or 42)
-        model, metrics = training.fit(corpus.read_lines(spark, text), cfg)
+    corpora = write_corpora(spark.read.parquet(a.input), f"{a.out}_corpus_tmp", a.replicates)
+    pools = ThreadPoolExecutor(min(FITS, a.replicates + 1))
+
+    def one(i: int) -> DataFrame:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"replicate-{i % FITS}")
+        model, metrics = training.fit(corpus.read_lines(spark, f"{corpora}/replicate_id={i}"), cfg)
         model_store.save(model, a.out + (f"_boot_{i}" if i else ""))
-        m = metrics.withColumn("replicate_id", F.lit(i))
-        out = m if out is None else out.unionByName(m)
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    return out
+        return metrics.withColumn("replicate_id", F.lit(i))
+
+    with pools:
+        made = list(pools.map(inheritable_thread_target(spark)(one), range(a.replicates + 1)))
+    delete(spark, corpora)
+    return reduce(DataFrame.unionByName, made)
+
+
+def write_corpora(table: DataFrame, path: str, replicates: int) -> str:
+    """The corpus lines of the original (replicate 0, shuffle seed 42) and of all replicates (seed i for both draws), by one job, in a folder for each."""
+    whole, drawn = ["SUBJECT_ID", "ROW_ID", "pos"], ["SUBJECT_ID", "ROW_ID", "instance", "draw", "pos"]
+    seed = F.when(F.col("replicate_id") == 0, 42).otherwise(F.col("replicate_id"))
+    keyed = lambda rows, keys: rows.select("replicate_id", resample.shuffle_key(seed, *map(F.col, keys)).alias("_key"), corpus.line(F.col("patient_group"), F.col("encounter_group"), F.col("sentence")).alias("value"))
+    rows = keyed(resample.explode_sentences(table).withColumn("replicate_id", F.lit(0)), whole)
+    if replicates:
+        sample = resample.bootstrap_notes(table, None, "SUBJECT_ID", "ROW_ID", list(range(1, replicates + 1)))
+        rows = rows.unionByName(keyed(resample.expand(sample, table), drawn))
+    rows.orderBy("replicate_id", "_key", "value").select("replicate_id", "value").write.mode("overwrite").partitionBy("replicate_id").text(path)
+    return path
 
 
 def inspect(spark: SparkSession, argv: list[str]) -> DataFrame:

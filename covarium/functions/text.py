@@ -56,9 +56,11 @@ def drop_tags(sentence: Column) -> Column:
 
 
 def letter_tokens(sentence: Column, ascii_only: bool = False) -> Column:
-    """Tokens without a digit, reduced to a-z, hyphen, slash and backslash; what is left empty goes."""
-    words = F.filter(F.split(sentence, ASCII_SPACE if ascii_only else TOKEN_SPACE), lambda w: (w != "") & ~w.rlike("[0-9]" if ascii_only else r"(?U)\d"))
-    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"[^a-z/\\-]", "")), lambda w: w != "")
+    """Tokens without a digit, reduced to a-z, hyphen, slash and backslash; what is left empty goes. Two expressions over the whole sentence, not one for each token: the first drops tokens with a digit (it can only
+    begin where a token does, so it is linear in a token's length), the second all letters but those kept and white space."""
+    space, digit = (r" \t\n\r\f", "0-9") if ascii_only else (r" \t\n\x0B\f\r", r"\p{Nd}")
+    plain = F.regexp_replace(sentence, f"(?<![^{space}])[^{space}{digit}]*+[{digit}][^{space}]*+", "")
+    return F.filter(F.split(F.regexp_replace(plain, rf"[^a-z/\\\-{space}]", ""), f"[{space}]+"), lambda w: w != "")
 
 
 def clean_sentence(sentence: Column, ascii_only: bool = False) -> Column:

@@ -27,11 +27,11 @@ def zeros(d: int) -> Column:
 
 
 def word_rows(words: DataFrame, model: Model, keys: list[str], token: str = "token", mode: str = "byte") -> DataFrame:
-    """(keys, vec): the vectors to be added for each word: its own, if it is in the vocabulary, and those of all its n-grams, repeats included."""
+    """(keys, vec): the vectors to be added for each word: its own, if it is in the vocabulary, and those of all its n-grams, repeats included. `keys` has replicate_id if the model is an ensemble."""
     m = model.meta
-    own = words.join(model.words().select(F.col("token").alias(token), "idx"), token).join(model.matrix("input"), F.col("idx") == F.col("row_idx")).select(*keys, "vec")
+    own = words.join(model.words().select(*model.by, F.col("token").alias(token), F.col("idx").alias("row_idx")), [*model.by, token]).join(model.matrix("input"), [*model.by, "row_idx"]).select(*keys, "vec")
     grams = words.select(*keys, F.explode(ngram_buckets(F.col(token), m["min_n"], m["max_n"], m["ngram_buckets"], mode)).alias("row_idx"))
-    return own.unionByName(grams.join(model.matrix("ngram"), "row_idx").select(*keys, "vec"))
+    return own.unionByName(grams.join(model.matrix("ngram"), [*model.by, "row_idx"]).select(*keys, "vec"))
 
 
 def word_vectors(words: DataFrame, model: Model, token: str = "token", mode: str = "byte") -> DataFrame:
@@ -42,8 +42,8 @@ def word_vectors(words: DataFrame, model: Model, token: str = "token", mode: str
 
 
 def projection(model: Model) -> DataFrame:
-    """One row: W, the projection as an array of rows. Its size is d_out times the sum of three dimensions, whatever the corpus."""
-    return model.matrix("W_proj").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "vec"))), lambda s: s["vec"]).alias("W"))
+    """One row, or one for each replicate: W, the projection as an array of rows. Its size is d_out times the sum of three dimensions, whatever the corpus."""
+    return model.matrix("W_proj").groupBy(*model.by).agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "vec"))), lambda s: s["vec"]).alias("W"))
 
 
 def project_words(words: DataFrame, model: Model, token: str = "token", mode: str = "byte") -> DataFrame:
@@ -60,20 +60,26 @@ def word_cache(model: Model, mode: str = "byte") -> DataFrame:
 
 
 def combined(queries: DataFrame, model: Model, mode: str = "byte") -> DataFrame:
-    """`queries` (qid, words, patient, encounter) with `vec`, of unit length unless it counts as zero."""
+    """`queries` (qid, words, patient, encounter) with `vec`, of unit length unless it counts as zero; for an ensemble once for each replicate_id."""
     m = model.meta
-    q = queries.select("qid", "words", "patient", "encounter")
-    words = q.select("qid", F.explode("words").alias("token"))
-    w = sum_vectors(word_rows(words, model, ["qid"], mode=mode), ["qid"]).select("qid", F.col("vec").alias("_w"))
-    out = queries.join(w, "qid", "left")
+    if model.replicates:
+        queries = queries.withColumn("replicate_id", F.explode(F.array(*[F.lit(i) for i in model.replicates])))
+    keys = [*model.by, "qid"]
+    q = queries.select(*keys, "words", "patient", "encounter")
+    words = q.select(*keys, F.explode("words").alias("token"))
+    w = sum_vectors(word_rows(words, model, keys, mode=mode), keys).select(*keys, F.col("vec").alias("_w"))
+    out = queries.join(w, keys, "left")
     total = F.greatest(F.size("words"), F.lit(1)).cast("double")
     parts = [F.coalesce(F.transform("_w", lambda x: x / total), zeros(m["d_word"]))]
     for g in ("patient", "encounter"):
-        tokens = q.select("qid", F.explode(g).alias("token")).join(model.words(g).select("token", "idx"), "token").join(model.matrix(g), F.col("idx") == F.col("row_idx"))
-        s = sum_vectors(tokens.select("qid", "vec"), ["qid"]).select("qid", F.col("vec").alias(f"_{g}"), F.col("n").cast("double").alias(f"_n_{g}"))
-        out = out.join(s, "qid", "left")
+        known = model.words(g).select(*model.by, "token", F.col("idx").alias("row_idx"))
+        tokens = q.select(*keys, F.explode(g).alias("token")).join(known, [*model.by, "token"]).join(model.matrix(g), [*model.by, "row_idx"])
+        s = sum_vectors(tokens.select(*keys, "vec"), keys).select(*keys, F.col("vec").alias(f"_{g}"), F.col("n").cast("double").alias(f"_n_{g}"))
+        out = out.join(s, keys, "left")
         parts.append(F.coalesce(divide(F.col(f"_{g}"), F.col(f"_n_{g}")), zeros(m[f"d_{g}"])))
-    z = out.withColumn("_z", F.concat(*parts)).join(F.broadcast(projection(model)))
+    w = F.broadcast(projection(model))  # of a fixed size for each replicate
+    z = out.withColumn("_z", F.concat(*parts))
+    z = z.join(w, model.by) if model.replicates else z.join(w)
     z = z.withColumn("vec", normalized(matvec(F.col("W"), F.col("_z"))))
     return z.select(*queries.columns, "vec")
 

@@ -1,4 +1,4 @@
-"""Dense positions over a whole table without a single-partition window."""
+"""Dense positions over a whole table, or within each of its groups, without a window that holds a table or a group."""
 
 from __future__ import annotations
 
@@ -20,3 +20,19 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx", partition
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))
     return dealt.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")
+
+
+def segmented_index(df: DataFrame, keys: list[str], order: list[Column], name: str = "idx", partitions: int | None = None) -> DataFrame:
+    """`df` with `name` = 0, 1, 2, ... within each value of `keys` (null is one) in the order given, which must be total within a group.
+
+    Rows are dealt out by ranges of (keys, order), so a large group spans ranges; each range numbers its own rows of each group, and what precedes them is the sum of one count for each range that the group spans.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(n, *map(F.col, keys), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    own = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = dealt.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", before).drop("_n").toDF("_p", *[f"_k{i}" for i in range(len(keys))], "_before")
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return dealt.withColumn("_own", own).join(starts, same).withColumn(name, F.col("_before") + F.col("_own") - 1).select(*df.columns, name)

@@ -5,11 +5,11 @@ All draws hash (seed, replicate, key), so results don't depend on partitions, an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covarium.functions.hashing import portable_int
-from covarium.operators.ranking import dense_index
+from covarium.operators.ranking import dense_index, segmented_index
 
 
 def explode_sentences(table: DataFrame) -> DataFrame:
@@ -27,10 +27,9 @@ def bootstrap_notes(notes: DataFrame, seed: int | None, patient: str, note: str,
     """Stage one draws as many patients as there are, stage two, for each drawn patient, as many of the patient's notes as there are; both with replacement.
 
     Returns replicate_id, instance (which draw of stage one), draw (which of stage two), and the patient and note drawn. `replicates`: their seeds; replicate_id is the seed.
-    Notes are numbered within their patient by a window over that patient's notes; patients by ranges. The text isn't touched: join it afterwards.
+    Notes are numbered by ranges of (patient, note), so that one patient's notes may span tasks; patients by ranges. The text isn't touched: join it afterwards.
     """
-    own = F.row_number().over(Window.partitionBy(patient).orderBy(note)) - 1
-    numbered = notes.select(patient, note).withColumn("_note", own)
+    numbered = segmented_index(notes.select(patient, note), [patient], [F.col(note)], "_note")
     sizes = numbered.groupBy(patient).agg(F.count(F.lit(1)).alias("_n"))
     ranked = dense_index(sizes, [F.col(patient)], "_patient")
     n = ranked.count()
@@ -48,9 +47,10 @@ def expand(sample: DataFrame, table: DataFrame, patient: str = "SUBJECT_ID", not
     return explode_sentences(sample.join(table, [patient, note]))
 
 
-def shuffle_key(seed: int, *keys: Column) -> Column:
+def shuffle_key(seed: int | Column, *keys: Column) -> Column:
     """Sorting by this is a reproducible shuffle. Give `keys` that tell all rows apart."""
-    return F.md5(F.concat_ws("-", F.lit(f"shuffle-{seed}"), *[k.cast("string") for k in keys]).cast("binary"))
+    first = F.concat(F.lit("shuffle-"), seed.cast("string")) if isinstance(seed, Column) else F.lit(f"shuffle-{seed}")
+    return F.md5(F.concat_ws("-", first, *[k.cast("string") for k in keys]).cast("binary"))
 
 
 def shuffled(df: DataFrame, seed: int, keys: list[str]) -> DataFrame:

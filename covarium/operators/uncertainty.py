@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covarium.functions.vectors import dot
 from covarium.operators.compose import combined
-from covarium.sources.model_store import Model
+from covarium.sources.model_store import Model, stacked
 
 
 def label(words: Column, patient: Column, encounter: Column, first_word_only: bool = False) -> Column:
@@ -40,9 +38,10 @@ def formatted(ci: DataFrame) -> DataFrame:
     return ci.withColumn("ci_text", F.when(F.col("lo").isNull(), F.lit("N/A")).otherwise(F.format_string("[%.4f, %.4f]", "lo", "hi")))
 
 
-def ensemble_intervals(models: dict[int, Model], bases: DataFrame, targets: DataFrame) -> DataFrame:
-    """Intervals for all pairs of base and target queries (qid, words, patient, encounter) over the models; bases vary slowest."""
-    vectors = lambda q: reduce(DataFrame.unionByName, [combined(q, m).select(F.lit(i).alias("replicate_id"), "qid", "vec") for i, m in models.items()])
+def ensemble_intervals(models: Model | dict[int, Model], bases: DataFrame, targets: DataFrame) -> DataFrame:
+    """Intervals for all pairs of base and target queries (qid, words, patient, encounter) over an ensemble, or models by replicate; bases vary slowest. Queries are composed once, by a plan keyed by the replicate."""
+    model = stacked(models) if isinstance(models, dict) else models
+    vectors = lambda q: combined(q, model).select("replicate_id", "qid", "vec")
     ci = formatted(intervals(similarities(vectors(bases), vectors(targets))))
     b = bases.select(F.col("qid").alias("base"), label(F.col("words"), F.col("patient"), F.col("encounter")).alias("base_label"))
     t = targets.select(F.col("qid").alias("target"), label(F.col("words"), F.col("patient"), F.col("encounter"), True).alias("target_label"))

@@ -86,8 +86,8 @@ def streaming_counts(spark: SparkSession, d: str) -> DataFrame:
     """Token counts of a corpus folder by a streaming query that takes a file at a time and starts again from its checkpoint."""
     at = scratch(spark)
     part_lines(spark, d).select("value").repartition(3).write.text(f"{at}/lines")
-    counts.start_counts_to_parquet(counts.read_corpus(spark, f"{at}/lines", 2), f"{at}/counts", f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/counts")
+    counts.start_counts_to_parquet(counts.read_corpus(spark, f"{at}/lines", 1), f"{at}/counts", f"{at}/checkpoint", 2).awaitTermination()
+    return counts.read_counts(spark, f"{at}/counts")
 
 
 @query("""SELECT p_partkey, ('0x' || substr(md5(p_name), 1, 8))::BIGINT AS draw, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> ''), ',') AS tokens, len(string_split(p_brand || ' ||| ' || p_type, ' ||| ')) AS n_groups,
@@ -100,6 +100,22 @@ def registered_functions(spark: SparkSession, d: str) -> DataFrame:
         round(vec_norm(array(cast(p_size AS DOUBLE), 1D)), 6) AS norm, vec_dot(array(cast(p_size AS DOUBLE), 1D), array(2D, 0D)) AS dot FROM covarium_part""")
 
 
+@query("""WITH w AS (SELECT DISTINCT unnest(list_filter(string_split(p_name || ' ' || lower(p_type), ' '), lambda x: x <> '')) || CASE WHEN p_size % 2 = 0 THEN 'é' ELSE '' END AS token FROM part),
+g AS (SELECT token, n, i AS place, substr('<' || token || '>', i + 1, n) AS gram FROM (SELECT token, n, unnest(range(length(token) + 3 - n)) AS i FROM w, (SELECT unnest([3, 4]) AS n) WHERE length(token) + 2 >= n)),
+b AS (SELECT *, (list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, length(hex(encode(gram))) // 2 + 1), lambda k: ('0x' || substr(hex(encode(gram)), 2 * k - 1, 2))::UHUGEINT)),
+    lambda h, x: (xor(h, CASE WHEN x >= 128 THEN x + 18446744073709551360::UHUGEINT ELSE x END) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) % 5000)::BIGINT AS bucket FROM g)
+SELECT 'gram' AS kind, token AS key, n::BIGINT AS n, (place * 100000 + bucket)::DOUBLE AS value FROM b
+UNION ALL SELECT 'mean', label::VARCHAR, j, round(avg(x), 5) + 0.0 FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS j FROM embeddings) GROUP BY label, j""")
+def registered_table_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The table function of n-grams, over words with and without a letter beyond ASCII, and the aggregate of vector means, from SQL."""
+    register(spark, 3, 4, 5000)
+    t(spark, d, "part").createOrReplaceTempView("covarium_part")
+    t(spark, d, "embeddings").createOrReplaceTempView("covarium_embeddings")
+    return spark.sql("""WITH w AS (SELECT DISTINCT concat(x, CASE WHEN p_size % 2 = 0 THEN 'é' ELSE '' END) AS token FROM (SELECT p_size, corpus_tokens(concat(p_name, ' ', lower(p_type))) AS ts FROM covarium_part) LATERAL VIEW explode(ts) AS x)
+        SELECT 'gram' AS kind, token AS key, CAST(g.n AS BIGINT) AS n, CAST(g.at * 100000 + g.bucket AS DOUBLE) AS value FROM w, LATERAL ngrams(w.token) AS g
+        UNION ALL SELECT 'mean', CAST(label AS STRING), CAST(j AS BIGINT), round(x, 5) + 0.0 FROM (SELECT label, vec_mean(embedding) AS v FROM covarium_embeddings GROUP BY label) LATERAL VIEW posexplode(v) AS j, x""")
+
+
 # ---------------------------------------------------------------- guards and small functions
 
 
@@ -257,3 +273,23 @@ def command_dump_fields(spark: SparkSession, d: str) -> DataFrame:
     at = _saved(spark, d)
     cli.dump_fields(spark, [at, f"{at}-fields"])
     return spark.read.text(f"{at}-fields/patient").select(F.lit("patient").alias("group_name"), F.col("value").alias("token"))
+
+
+@query("""WITH st AS MATERIALIZED (SELECT p_size AS subject_id, p_partkey AS row_id, lower(p_brand) AS p, 'size:' || p_size AS e, [p_name, lower(p_type)] AS ss FROM part),
+n AS (SELECT subject_id, row_id, row_number() OVER (PARTITION BY subject_id ORDER BY row_id) - 1 AS note FROM st), k AS (SELECT subject_id, count(*) AS k, row_number() OVER (ORDER BY subject_id) - 1 AS ord FROM st GROUP BY subject_id),
+i AS (SELECT rep, i AS instance, ('0x' || substr(md5(rep || '-' || i), 1, 8))::BIGINT % (SELECT count(*) FROM k) AS ord FROM (SELECT unnest([1, 2]) AS rep), (SELECT unnest(range((SELECT count(*) FROM k))) AS i)),
+j AS (SELECT rep, instance, subject_id, k, unnest(range(k)) AS draw FROM i JOIN k USING (ord)),
+x AS (SELECT rep, subject_id, ('0x' || substr(md5(rep || '-' || instance || '-' || draw), 1, 8))::BIGINT % k AS note FROM j),
+l AS (SELECT 0 AS rep, p, e, unnest(ss) AS s FROM st UNION ALL SELECT rep, p, e, unnest(ss) FROM x JOIN n USING (subject_id, note) JOIN st USING (subject_id, row_id)),
+g AS (SELECT rep, 'word' AS group_name, unnest(string_split(s, ' ')) AS token FROM l UNION ALL SELECT rep, 'patient', p FROM l UNION ALL SELECT rep, 'encounter', e FROM l)
+SELECT rep::BIGINT AS replicate_id, group_name, token, count(*) AS freq FROM g WHERE token <> '' GROUP BY ALL""")
+def command_bootstrap_run(spark: SparkSession, d: str) -> DataFrame:
+    """The `bootstrap-run` command with two replicates, read back as one ensemble: the vocabularies that each model was trained on."""
+    at, p = scratch(spark), t(spark, d, "part")
+    table = p.select(F.col("p_size").alias("SUBJECT_ID"), F.col("p_partkey").alias("ROW_ID"), F.lower("p_brand").alias("patient_group"), F.concat(F.lit("size:"), F.col("p_size")).alias("encounter_group"), F.array("p_name", F.lower("p_type")).alias("Sentences"))
+    table.write.parquet(f"{at}/sentences")
+    flags = "-d-word 4 -d-patient 2 -d-encounter 2 -d-out 4 -epoch 1 -threshold 1 -ngram-buckets 500 -maxn 4".split()
+    cli.bootstrap_run(spark, ["--input", f"{at}/sentences", "--out", f"{at}/model", "--replicates", "2", *flags])
+    m = model_store.ensemble(spark, at, "model")
+    each = [m.words(g).select(F.col("replicate_id").cast("bigint").alias("replicate_id"), F.lit(g).alias("group_name"), "token", "freq") for g in model_store.GROUPS]
+    return each[0].unionByName(each[1]).unionByName(each[2])

@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -13,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 
 
 def session(app: str = "covarium", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -36,15 +38,16 @@ def session(app: str = "covarium", master: str | None = None, partitions: int |
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors once per application, so that Arrow functions can import it."""
     app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parent
-    out = os.path.join(tempfile.mkdtemp(prefix="covarium-"), "covarium.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    spark.sparkContext.addPyFile(out)
-    _SHIPPED.add(app)
+    with _SHIPPING:
+        if app in _SHIPPED:
+            return
+        root = Path(__file__).resolve().parent
+        out = os.path.join(tempfile.mkdtemp(prefix="covarium-"), "covarium.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, str(p.relative_to(root.parent)))
+        spark.sparkContext.addPyFile(out)
+        _SHIPPED.add(app)
 
 
 def is_local(master: str) -> bool:

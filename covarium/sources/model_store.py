@@ -9,13 +9,15 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from covarium.session import checkpoint_dir, delete
+from covarium.session import checkpoint_dir, delete, ship
 
 VOCAB = "group_name string, idx long, token string, freq long, code array<int>, path array<int>"
 MATRIX = "matrix string, row_idx long, vec array<float>"
@@ -27,17 +29,25 @@ GROUPS = ("word", "patient", "encounter")
 
 @dataclass
 class Model:
-    """meta: header fields, ngram_buckets and training settings; vocab and matrices as tables. N-gram rows that no word touches may be absent: they count as zero."""
+    """meta: header fields, ngram_buckets and training settings; vocab and matrices as tables. N-gram rows that no word touches may be absent: they count as zero.
+
+    An ensemble is one model whose tables have a column replicate_id; `replicates` names its values.
+    """
 
     meta: dict
     vocab: DataFrame
     matrices: DataFrame
+    replicates: tuple[int, ...] = ()
+
+    @property
+    def by(self) -> list[str]:
+        return ["replicate_id"] if self.replicates else []
 
     def words(self, group: str = "word") -> DataFrame:
-        return self.vocab.filter(F.col("group_name") == group).select("idx", "token", "freq", "code", "path")
+        return self.vocab.filter(F.col("group_name") == group).select(*self.by, "idx", "token", "freq", "code", "path")
 
     def matrix(self, name: str) -> DataFrame:
-        return self.matrices.filter(F.col("matrix") == name).select("row_idx", "vec")
+        return self.matrices.filter(F.col("matrix") == name).select(*self.by, "row_idx", "vec")
 
 
 def save(model: Model, path: str) -> None:
@@ -61,7 +71,7 @@ CHUNK = 32 << 20
 
 
 class _Bytes:
-    """Little-endian numbers from a file of any store that Spark reaches, read chunk by chunk."""
+    """Little-endian numbers from a file of any store that Spark reaches, read chunk by chunk. `place` is where in the file the next one is."""
 
     def __init__(self, spark: SparkSession, path: str):
         jvm = spark.sparkContext._jvm
@@ -70,7 +80,11 @@ class _Bytes:
         if not fs.exists(p):
             raise FileNotFoundError(path)
         self.stream, self.jvm = fs.open(p), jvm
-        self.held, self.at = b"", 0
+        self.held, self.at, self.place = b"", 0, 0
+
+    def jump(self, place: int) -> None:
+        self.stream.seek(place)
+        self.held, self.at, self.place = b"", 0, place
 
     def take(self, n: int) -> bytes:
         if n > len(self.held) - self.at:
@@ -83,6 +97,7 @@ class _Bytes:
                 missing -= len(got)
             self.held, self.at = b"".join(parts), 0
         self.at += n
+        self.place += n
         return self.held[self.at - n : self.at]
 
     def ints(self, n: int) -> tuple[int, ...]:
@@ -97,7 +112,10 @@ def _put(spark: SparkSession, folder: str, table: pa.Table, schema: str) -> None
 
 
 def from_binary(spark: SparkSession, path: str) -> Model:
-    """Reads a native model file of any store that Spark reads, of any size: the driver reads it in order, CHUNK bytes at a time, and writes each part to a table in the shared scratch folder."""
+    """Reads a native model file of any size. The matrices are read by tasks, by ranges of rows (`ModelFile`), where executors can open the path; the driver reads the length-prefixed rest, CHUNK bytes at a time.
+
+    In a store that only Spark's own readers reach, the driver reads the matrices too, in order, and writes each part to a table in the shared scratch folder.
+    """
     f = _Bytes(spark, path)
     meta = dict(zip(HEADER, f.ints(8), strict=True))
     sizes = dict(zip((*GROUPS, "ngram", "output"), f.ints(5), strict=True))
@@ -116,13 +134,20 @@ def from_binary(spark: SparkSession, path: str) -> Model:
                 rows, held = [], 0
     d = meta["d_word"] + meta["d_patient"] + meta["d_encounter"]
     shapes = {"output": (sizes["output"], meta["d_out"]), "ngram": (sizes["ngram"], meta["d_word"]), "input": (sizes["word"], meta["d_word"]), "W_proj": (meta["d_out"], d), "patient": (sizes["patient"], meta["d_patient"]), "encounter": (sizes["encounter"], meta["d_encounter"])}
+    layout, place = [], f.place
     for name in MATRICES:
-        r, c = shapes[name]
-        step = max(1, CHUNK // max(1, 4 * c))
-        for at in range(0, r, step):
-            n = min(step, r - at)
-            a = np.frombuffer(f.take(4 * n * c), "<f4").reshape(n, c)
-            _put(spark, f"{scratch}/matrices", _matrix_rows(name, a, np.arange(at, at + n)), matrices)
+        layout.append((name, place, *shapes[name]))
+        place += 4 * shapes[name][0] * shapes[name][1]
+    split = opens(path)
+    if split:
+        f.jump(place)
+    else:
+        for name, _, r, c in layout:
+            step = max(1, CHUNK // max(1, 4 * c))
+            for at in range(0, r, step):
+                n = min(step, r - at)
+                a = np.frombuffer(f.take(4 * n * c), "<f4").reshape(n, c)
+                _put(spark, f"{scratch}/matrices", _matrix_rows(name, a, np.arange(at, at + n)), matrices)
     for part in ("code", "path"):
         rows, held = [], 0
         for i in range(sizes["word"]):
@@ -139,7 +164,96 @@ def from_binary(spark: SparkSession, path: str) -> Model:
     coded = read("lists", lists) if sizes["word"] else spark.createDataFrame([], lists)
     pick = lambda p: coded.filter(F.col("part") == p).select(F.lit("word").alias("group_name"), "place", F.col("list").alias(p))
     vocab = vocab.join(pick("code"), ["group_name", "place"], "left").join(pick("path"), ["group_name", "place"], "left")
-    return Model(meta, vocab.select("group_name", "idx", "token", F.lit(None).cast("long").alias("freq"), "code", "path"), read("matrices", matrices))
+    return Model(meta, vocab.select("group_name", "idx", "token", F.lit(None).cast("long").alias("freq"), "code", "path"), matrix_rows(spark, path, layout) if split else read("matrices", matrices))
+
+
+# ---------------------------------------------------------------- matrices of a file, by tasks
+
+
+def local_path(path: str) -> str | None:
+    """The path as the operating system opens it, for one without a scheme or of the file system."""
+    scheme, colon, rest = path.partition(":")
+    return path if not colon or "/" in scheme else re.sub("^/*", "/", rest) if scheme == "file" else None
+
+
+def opened(path: str):
+    """A binary file for reading at any place: of a shared file system, or of a store that Arrow reaches."""
+    if (own := local_path(path)) is not None:
+        return open(own, "rb")
+    from pyarrow.fs import FileSystem
+
+    store, inner = FileSystem.from_uri(path)
+    return store.open_input_file(inner)
+
+
+def opens(path: str) -> bool:
+    try:
+        opened(path).close()
+    except (OSError, ValueError, ImportError, pa.ArrowException):
+        return False
+    return True
+
+
+class ModelFile(DataSource):
+    """The matrices of a native model file as rows of MATRIX. Option `layout`: JSON of (matrix, place in the file, rows, columns); `chunk`: bytes of a partition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "covarium_model"
+
+    def schema(self) -> str:
+        return MATRIX
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ModelReader(self.options["path"], json.loads(self.options["layout"]), int(self.options.get("chunk", CHUNK)))
+
+
+class _ModelReader(DataSourceReader):
+    def __init__(self, path: str, layout: list, chunk: int):
+        self.path, self.layout, self.chunk = path, layout, chunk
+
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for name, place, rows, cols in self.layout:
+            step = max(1, self.chunk // max(1, 4 * cols))
+            out += [InputPartition((name, place + 4 * cols * at, at, min(step, rows - at), cols)) for at in range(0, rows, step)]
+        return out or [InputPartition(("", 0, 0, 0, 1))]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        name, place, first, rows, cols = partition.value
+        with opened(self.path) as f:
+            f.seek(place)
+            for at in range(first, first + rows, 8192):
+                n = min(8192, first + rows - at)
+                got = f.read(4 * n * cols)
+                if len(got) < 4 * n * cols:
+                    raise EOFError("the model file ends too early")
+                yield from _matrix_rows(name, np.frombuffer(got, "<f4").reshape(n, cols), np.arange(at, at + n)).to_batches()
+
+
+def matrix_rows(spark: SparkSession, path: str, layout: list) -> DataFrame:
+    ship(spark)
+    spark.dataSource.register(ModelFile)
+    return spark.read.format("covarium_model").option("layout", json.dumps(layout)).option("chunk", str(CHUNK)).load(path)
+
+
+def write_matrices(matrices: DataFrame, path: str, layout: list) -> None:
+    """Tasks write their rows at their places of an existing file that all of them can open. A task that is run again writes the same bytes."""
+    where = {name: (place, cols) for name, place, _, cols in layout}
+    ship(matrices.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
+        with open(path, "r+b") as f:
+            for b in batches:
+                for name, row, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    place, cols = where[name]
+                    f.seek(place + 4 * cols * row)
+                    f.write(vec.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+                    written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written])], names=["n"])
+
+    matrices.select("matrix", "row_idx", "vec").repartitionByRange("matrix", "row_idx").sortWithinPartitions("matrix", "row_idx").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def _matrix_rows(name: str, a: np.ndarray, rows: np.ndarray) -> pa.Table:
@@ -155,7 +269,25 @@ def matrix_table(spark: SparkSession, name: str, a: np.ndarray, rows: np.ndarray
 
 
 def write_binary(model: Model, path: str) -> None:
-    """Writes the native file, of any size, to any store that Spark reaches: rows come to the driver in order, a partition at a time, and go out CHUNK bytes at a time. Absent n-gram rows are written as zeros."""
+    """Writes the native file, of any size. On a file system that driver and executors share, tasks write the matrices at their places, and the driver the length-prefixed rest; absent n-gram rows are zeros.
+
+    In another store, rows come to the driver in order, a partition at a time, and go out CHUNK bytes at a time.
+    """
+    own = local_path(path)
+    if own is not None:
+        sizes, layout = _layout(model)
+        with open(own, "wb") as f:
+            for part in _head(model, sizes):
+                f.write(part)
+            place = f.tell()
+            layout = [(name, place + at, r, c) for name, at, r, c in layout]
+            end = layout[-1][1] + 4 * layout[-1][2] * layout[-1][3]
+            f.truncate(end)
+            f.seek(end)
+            for part in _tail(model):
+                f.write(part)
+        write_matrices(model.matrices, own, layout)
+        return
     spark = model.vocab.sparkSession
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
@@ -175,30 +307,48 @@ def to_binary(model: Model) -> bytes:
     return b"".join(binary_parts(model))
 
 
-def binary_parts(model: Model) -> Iterator[bytes]:
+def _layout(model: Model) -> tuple[dict[str, int], list[tuple]]:
+    """Sizes of the groups, and (matrix, place after the first matrix's begin, rows, columns) in the file's order."""
     m = model.meta
     counts = {r.group_name: r["count"] for r in model.vocab.groupBy("group_name").count().collect()}
     sizes = {g: counts.get(g, 0) for g in GROUPS}
     d = m["d_word"] + m["d_patient"] + m["d_encounter"]
     n_out = max(1, sizes["word"] - 1)
     shapes = {"output": (n_out, m["d_out"]), "ngram": (m["ngram_buckets"], m["d_word"]), "input": (sizes["word"], m["d_word"]), "W_proj": (m["d_out"], d), "patient": (sizes["patient"], m["d_patient"]), "encounter": (sizes["encounter"], m["d_encounter"])}
-    yield struct.pack("<8i", *[int(m[h]) for h in HEADER]) + struct.pack("<5i", *[sizes[g] for g in GROUPS], m["ngram_buckets"], n_out)
+    layout, at = [], 0
+    for name in MATRICES:
+        layout.append((name, at, *shapes[name]))
+        at += 4 * shapes[name][0] * shapes[name][1]
+    return sizes, layout
+
+
+def _head(model: Model, sizes: dict[str, int]) -> Iterator[bytes]:
+    m = model.meta
+    yield struct.pack("<8i", *[int(m[h]) for h in HEADER]) + struct.pack("<5i", *[sizes[g] for g in GROUPS], m["ngram_buckets"], max(1, sizes["word"] - 1))
     for g in GROUPS:
         for r in model.words(g).select("idx", "token").orderBy("idx").toLocalIterator():
             t = r.token.encode()
             yield struct.pack("<I", len(t)) + t + struct.pack("<i", r.idx)
-    for name in MATRICES:
-        n, c = shapes[name]
+
+
+def _tail(model: Model) -> Iterator[bytes]:
+    for field in ("code", "path"):
+        for r in model.words("word").select("idx", field).orderBy("idx").toLocalIterator():
+            v = r[field] or []
+            yield struct.pack(f"<I{len(v)}i", len(v), *v)
+
+
+def binary_parts(model: Model) -> Iterator[bytes]:
+    sizes, layout = _layout(model)
+    yield from _head(model, sizes)
+    for name, _, n, c in layout:
         at, zero = 0, bytes(4 * c)
         for r in model.matrix(name).orderBy("row_idx").toLocalIterator():
             yield zero * (r.row_idx - at) + np.array(r.vec, "<f4").tobytes()
             at = r.row_idx + 1
         for _ in range(n - at):
             yield zero
-    for field in ("code", "path"):
-        for r in model.words("word").select("idx", field).orderBy("idx").toLocalIterator():
-            v = r[field] or []
-            yield struct.pack(f"<I{len(v)}i", len(v), *v)
+    yield from _tail(model)
 
 
 # ---------------------------------------------------------------- ensembles
@@ -227,6 +377,55 @@ def load_ensemble(spark: SparkSession, folder: str, prefix: str) -> dict[int, Mo
     return {i: load(spark, f"{folder}/{prefix}" + (f"_boot_{i}" if i else "")) for i in ids}
 
 
+_SHAPE = (*HEADER[:6], "ngram_buckets")
+
+
+def _same_shape(metas: list[dict]) -> dict:
+    if any(m.get(k) != metas[0].get(k) for m in metas for k in _SHAPE):
+        raise ValueError("the models of an ensemble differ in dimensions or n-grams")
+    return metas[0]
+
+
+def stacked(models: dict[int, Model]) -> Model:
+    """The models as one, with replicate_id."""
+    one = lambda part: reduce(DataFrame.unionByName, [getattr(m, part).withColumn("replicate_id", F.lit(i)) for i, m in models.items()])
+    return Model(_same_shape([m.meta for m in models.values()]), one("vocab"), one("matrices"), tuple(models))
+
+
+class _Stored(Model):
+    """An ensemble's folders, read together: one scan for a group or a matrix, whatever the number of replicates."""
+
+    def __init__(self, spark: SparkSession, meta: dict, paths: dict[int, str]):
+        super().__init__(meta, None, None, tuple(paths))
+        self.spark, self.paths = spark, paths
+
+    def _read(self, part: str, schema: str) -> DataFrame:
+        jvm = self.spark.sparkContext._jvm
+        found = []
+        for path in self.paths.values():
+            p = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+            if p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+                found.append(f"{path}/{part}")
+        if not found:
+            return self.spark.createDataFrame([], f"replicate_id int, {schema}")
+        number = F.regexp_extract(F.col("_metadata.file_path"), r"_boot_([0-9]+)/(?:vocab|matrices)/", 1)
+        rows = self.spark.read.schema(schema).parquet(*found)
+        return rows.select(F.when(number == "", 0).otherwise(number.cast("int")).alias("replicate_id"), *rows.columns)
+
+    def words(self, group: str = "word") -> DataFrame:
+        return self._read(f"vocab/group_name={group}", "idx long, token string, freq long, code array<int>, path array<int>")
+
+    def matrix(self, name: str) -> DataFrame:
+        return self._read(f"matrices/matrix={name}", "row_idx long, vec array<float>")
+
+
+def ensemble(spark: SparkSession, folder: str, prefix: str) -> Model:
+    """The original and its replicates as one model."""
+    paths = {i: f"{folder}/{prefix}" + (f"_boot_{i}" if i else "") for i in replicate_ids(list_names(spark, folder), prefix)}
+    metas = [json.loads(r.value) for r in spark.read.text([f"{p}/meta" for p in paths.values()]).collect()]  # one line for each model
+    return _Stored(spark, _same_shape(metas), paths)
+
+
 def write_field_dump(model: Model, path: str) -> None:
     """Sorted patient and encounter fields, one a line."""
     for g in ("patient", "encounter"):
