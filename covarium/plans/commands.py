@@ -210,6 +210,20 @@ def ensemble_members(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i,) for i in model_store.replicate_ids(names, "m")], "replicate_id long")
 
 
+_KNOWN = "tok AS (SELECT vec_id AS id, 'w' || vec_id AS token, embedding::DOUBLE[] AS own FROM embeddings)"
+_AND_OTHERS = _KNOWN[:-1] + " UNION ALL SELECT -1 - vec_id, 'x' || vec_id, list_transform(range(64), lambda j: 0.0::DOUBLE) FROM embeddings)"
+
+
+@query(f"WITH {V_SQL.replace(_KNOWN, _AND_OTHERS)} SELECT token, list_transform(vec, lambda x: round(x, 6) + 0.0) AS vec FROM wv")
+def stored_word_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all words of a model that is stored by row, and of as many outside its vocabulary, which are their n-grams alone."""
+    at = scratch(spark)
+    model_store.save(toy_model(spark, d), f"{at}/model", 16)
+    e = t(spark, d, "embeddings")
+    words = e.select(F.explode(F.array(F.concat(F.lit("w"), F.col("vec_id")), F.concat(F.lit("x"), F.col("vec_id")))).alias("token"))
+    return compose.word_vectors(words, model_store.load(spark, f"{at}/model")).select("token", _round("vec", 6).alias("vec"))  # n-gram sums are 64ths, which six places hold
+
+
 def _saved(spark: SparkSession, d: str) -> str:
     at = scratch(spark)
     model_store.save(toy_model(spark, d), f"{at}/model")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import json
 import re
 import struct
@@ -50,18 +51,57 @@ class Model:
         return self.matrices.filter(F.col("matrix") == name).select(*self.by, "row_idx", "vec")
 
 
-def save(model: Model, path: str) -> None:
-    model.vocab.write.mode("overwrite").partitionBy("group_name").parquet(f"{path}/vocab")
-    model.matrices.write.mode("overwrite").partitionBy("matrix").parquet(f"{path}/matrices")
+#: Matrices that queries join row by row, and so are worth a layout by row.
+BY_ROW = ("ngram", "input")
+
+
+def save(model: Model, path: str, buckets: int = 0) -> None:
+    """With `buckets`, the n-gram and input matrices are written in so many files by the hash of a row's number, so that queries of the loaded model join them where they lie."""
     spark = model.vocab.sparkSession
-    spark.createDataFrame([(json.dumps(model.meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    model.vocab.write.mode("overwrite").partitionBy("group_name").parquet(f"{path}/vocab")
+    rest = model.matrices.filter(~F.col("matrix").isin(*BY_ROW)) if buckets else model.matrices
+    rest.write.mode("overwrite").partitionBy("matrix").parquet(f"{path}/matrices")
+    for name in BY_ROW if buckets else ():
+        table = f"covarium_{uuid.uuid4().hex}"
+        rows = model.matrix(name).repartition(buckets, "row_idx")
+        rows.write.format("parquet").mode("overwrite").bucketBy(buckets, "row_idx").sortBy("row_idx").option("path", f"{path}/buckets/{name}").saveAsTable(table)
+        spark.sql(f"DROP TABLE {table}")  # its files stay: they aren't the catalogue's
+    meta = {**model.meta, "buckets": buckets} if buckets else model.meta
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+class _ByRow(Model):
+    def __init__(self, meta: dict, vocab: DataFrame, rest: DataFrame, by_row: dict[str, DataFrame]):
+        whole = rest
+        for name, rows in by_row.items():
+            whole = whole.unionByName(rows.select(F.lit(name).alias("matrix"), "row_idx", "vec"))
+        super().__init__(meta, vocab, whole)
+        self.by_row = by_row
+
+    def matrix(self, name: str) -> DataFrame:
+        return self.by_row[name] if name in self.by_row else super().matrix(name)
+
+
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """Files of `save` as a table that Spark knows to be bucketed; the catalogue's entry lasts as long as the session."""
+    table = f"covarium_{uuid.uuid4().hex}"
+    quoted = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {table} (row_idx BIGINT, vec ARRAY<FLOAT>) USING parquet CLUSTERED BY (row_idx) SORTED BY (row_idx) INTO {buckets} BUCKETS LOCATION '{quoted}'")
+    atexit.register(_drop, spark, table)
+    return spark.table(table)
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone at exit
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def load(spark: SparkSession, path: str) -> Model:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     v = spark.read.parquet(f"{path}/vocab").select("group_name", "idx", "token", "freq", "code", "path")
     m = spark.read.parquet(f"{path}/matrices").select("matrix", "row_idx", "vec")
-    return Model(meta, v, m)
+    n = meta.pop("buckets", 0)
+    return _ByRow(meta, v, m, {k: _bucketed(spark, f"{path}/buckets/{k}", n) for k in BY_ROW}) if n else Model(meta, v, m)
 
 
 # ---------------------------------------------------------------- binary file
@@ -377,7 +417,7 @@ def load_ensemble(spark: SparkSession, folder: str, prefix: str) -> dict[int, Mo
     return {i: load(spark, f"{folder}/{prefix}" + (f"_boot_{i}" if i else "")) for i in ids}
 
 
-_SHAPE = (*HEADER[:6], "ngram_buckets")
+_SHAPE = (*HEADER[:6], "ngram_buckets", "buckets")
 
 
 def _same_shape(metas: list[dict]) -> dict:
@@ -408,7 +448,7 @@ class _Stored(Model):
                 found.append(f"{path}/{part}")
         if not found:
             return self.spark.createDataFrame([], f"replicate_id int, {schema}")
-        number = F.regexp_extract(F.col("_metadata.file_path"), r"_boot_([0-9]+)/(?:vocab|matrices)/", 1)
+        number = F.regexp_extract(F.col("_metadata.file_path"), r"_boot_([0-9]+)/(?:vocab|matrices|buckets)/", 1)
         rows = self.spark.read.schema(schema).parquet(*found)
         return rows.select(F.when(number == "", 0).otherwise(number.cast("int")).alias("replicate_id"), *rows.columns)
 
@@ -416,7 +456,8 @@ class _Stored(Model):
         return self._read(f"vocab/group_name={group}", "idx long, token string, freq long, code array<int>, path array<int>")
 
     def matrix(self, name: str) -> DataFrame:
-        return self._read(f"matrices/matrix={name}", "row_idx long, vec array<float>")
+        part = f"buckets/{name}" if self.meta.get("buckets") and name in BY_ROW else f"matrices/matrix={name}"
+        return self._read(part, "row_idx long, vec array<float>")
 
 
 def ensemble(spark: SparkSession, folder: str, prefix: str) -> Model:

@@ -186,6 +186,28 @@ def test_matrices_of_a_file_are_read_and_written_by_tasks(spark, tmp_path, monke
         model_store.from_binary(spark, str(tmp_path / "short.bin"))
 
 
+def test_a_model_stored_by_row_is_joined_where_it_lies(spark, tmp_path):
+    m, _, names = toy(spark)
+    at = str(tmp_path / "m")
+    model_store.save(m, at, 4)
+    back = model_store.load(spark, at)
+    words = spark.createDataFrame([(w,) for w in [*names[0], "unseen", "é"]], "token string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        shuffles = [compose.word_rows(words, x, ["token"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(row_idx") for x in (m, back)]
+        got = {r.token: r.vec for r in compose.word_vectors(words, back).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert shuffles == [4, 2]  # the words' sides alone
+    for r in compose.word_vectors(words, m).collect():
+        assert got[r.token] == pytest.approx(r.vec, abs=1e-9)
+    assert back.meta == m.meta and back.matrices.count() == m.matrices.count()
+    model_store.save(toy(spark, 1)[0], str(tmp_path / "m_boot_1"), 4)
+    whole = compose.combined(frame(spark), model_store.ensemble(spark, str(tmp_path), "m"))
+    assert whole.filter("replicate_id = 0").count() == 4 and {r.qid: r.vec for r in whole.filter("replicate_id = 0").collect()}[1] == pytest.approx({r.qid: r.vec for r in compose.combined(frame(spark), m).collect()}[1], abs=1e-6)
+
+
 real = model_store._put
 
 
