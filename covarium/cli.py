@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from covarium.functions.text import MIN_SENTENCE, split_sentences
 from covarium.functions.vectors import MIN_NORM, norm
-from covarium.operators import compose, covariates, resample, search, sentences, training, uncertainty
+from covarium.operators import boundaries, compose, covariates, resample, search, sentences, training, uncertainty
 from covarium.session import delete, materialize, session
 from covarium.sources import corpus, model_store
 
@@ -166,11 +166,13 @@ def sentence_step(spark: SparkSession, argv: list[str]) -> DataFrame:
     p.add_argument("--batch-size", type=int, default=5000, help="accepted and unused: partitions take the place of batches")
     p.add_argument("--workers", type=int, default=None, help="partitions to work in")
     p.add_argument("--min-len", type=int, default=MIN_SENTENCE)
+    p.add_argument("--splitter", choices=("rule", "learned"), default="rule", help="learned: boundaries learned from these notes")
     a = p.parse_args(argv)
     merged = spark.read.parquet(a.input)
     if a.workers:
         merged = merged.repartition(a.workers)
-    corpus.write_parquet(sentences.sentence_table(merged, a.min_len, split_sentences), a.out)
+    split = split_sentences if a.splitter == "rule" else boundaries.splitter(boundaries.learn(merged))
+    corpus.write_parquet(sentences.sentence_table(merged, a.min_len, split), a.out)
     return sentences.totals(spark.read.schema(corpus.SENTENCES).parquet(a.out))
 
 

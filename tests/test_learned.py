@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_model import frame, toy
 
 from covarium.functions.register import register
-from covarium.operators import boundaries, compose, resample, sentences, uncertainty
+from covarium.operators import boundaries, compose, resample, search, sentences, uncertainty
 from covarium.operators.ranking import segmented_index
 from covarium.sources import model_store
 from covarium.streaming import counts
@@ -217,3 +217,24 @@ def test_table_function_and_aggregate(spark):
     assert sorted((r.x, r.gram) for r in got) == [("ab", "<ab"), ("ab", "ab>"), ("é", "<é>")]
     r = spark.sql("SELECT k, vec_mean(v) AS m FROM VALUES (1, array(1D, 2D)), (1, array(3D, 4D)), (1, NULL), (2, NULL) AS t(k, v) GROUP BY k ORDER BY k").collect()
     assert r[0].m == [2.0, 3.0] and r[1].m is None
+
+
+def test_neighbours_in_groups_and_parts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BYTES", 200)
+    monkeypatch.setattr(search, "PART_ROWS", 90)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(4)
+    v = rng.integers(-3, 4, size=(300, 6)).astype(float)  # many ties
+    v[5] = 0
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+    c = spark.createDataFrame([(i, f"w{i}", x.tolist(), float(np.linalg.norm(x))) for i, x in enumerate(v)], "idx long, token string, vec array<double>, norm double").repartition(7)
+    got = {}
+    for r in search.nearest(c.filter("idx % 10 = 0 OR idx = 5").select(F.concat(F.lit("q"), F.col("idx")).alias("qid"), "vec"), c, 9).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.idx, r.token))
+    live = [i for i in range(0, 300, 10) if v[i].any()]
+    assert set(got) == {f"q{i}" for i in live}
+    for i in live:
+        sims = np.array([float((unit[i] * u).sum()) for u in unit])
+        near = [j for j in np.lexsort((np.arange(300), -np.round(sims, 12))) if v[j].any()][:9]
+        assert [np.round(sims[j], 9) for _, j, _ in sorted(got[f"q{i}"])] == [np.round(sims[j], 9) for j in near] and all(t == f"w{j}" for _, j, t in got[f"q{i}"])
+    assert search.nearest(c.limit(0).select(F.col("idx").alias("qid"), "vec"), c, 3).count() == 0

@@ -414,6 +414,8 @@ def test_corpus_commands(spark, tmp_path):
     spark.createDataFrame([(i, 1, 5, 3, "The patient was seen today. She feels much better now.") for i in range(4)], corpus.NOTES).write.parquet(f"{p}/NOTEEVENTS.parquet")
     assert cli.main(["merge", "--data-dir", p, "--out", f"{p}/merged"], spark) == 0
     assert cli.main(["sentences", "--input", f"{p}/merged", "--out", f"{p}/sentences"], spark) == 0
+    assert cli.main(["sentences", "--input", f"{p}/merged", "--out", f"{p}/learned", "--splitter", "learned"], spark) == 0
+    assert spark.read.parquet(f"{p}/learned").count() == 4
     assert cli.main(["corpus", "--input", f"{p}/sentences", "--out", f"{p}/c0"], spark) == 0
     assert cli.main(["corpus", "--input", f"{p}/sentences", "--out", f"{p}/c1", "--bootstrap-seed", "3"], spark) == 0
     got = corpus.training_samples(corpus.read_lines(spark, f"{p}/c0")).collect()
