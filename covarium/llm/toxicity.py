@@ -10,7 +10,7 @@ Only whole documents have labels. So training alternates: each toxic document le
 document its two most suspicious windows and one by chance; then the network is trained on these windows.
 
 The fit uses at most `SAMPLE` labelled documents of each label, those with the smallest hashes of their ids. None is left out for its length: a text longer than `TRAIN_CHARS`
-of its label lends passages that are spread evenly over it. All documents are scored, all their windows. The evidence that a training document's own words
+lends passages that are spread evenly over it, so what reaches the driver is bounded. All documents are scored, all their windows. The evidence that a training document's own words
 get leaves that document out, so that words which one document has alone teach nothing. The model is a few megabytes, whatever the corpus.
 
 Defined results: a null or empty text, or one without words, scores 0; shorter texts than a window are one window; a last window repeats words of the one before
@@ -28,8 +28,8 @@ from covarium.llm.common import append, crc_fold, labelled
 
 WINDOW, STRIDE = 24, 12
 SAMPLE = 1500
-#: Characters that a training text lends, by its label, and those of one passage. What is toxic in a text may be one passage of it, so toxic texts are read nearly whole.
-TRAIN_CHARS = {0: 12_000, 1: 200_000}
+#: Characters that a training text lends, whatever its label, and those of one passage of a longer one.
+TRAIN_CHARS = 100_000
 PASSAGE = 2_000
 GRAMS = (4, 5, 6)
 HIDDEN, LEARNED = 12, 6
@@ -427,9 +427,9 @@ def passages(text: Column, limit: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, y, text): at most `sample` documents of each label, and of each text at most what its label's TRAIN_CHARS allow."""
+    """(doc_id, y, text): at most `sample` documents of each label, and of each text at most TRAIN_CHARS characters."""
     rows = labelled(docs, labels, label, allowed, sample, (0,)).unionByName(labelled(docs, labels, label, allowed, sample, (1,)))
-    return rows.withColumn("text", F.when(F.col("y") == 1, passages(F.col("text"), TRAIN_CHARS[1])).otherwise(passages(F.col("text"), TRAIN_CHARS[0])))
+    return rows.withColumn("text", passages(F.col("text"), TRAIN_CHARS))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 1, folds: int = 3) -> Model:
