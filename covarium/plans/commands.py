@@ -14,7 +14,7 @@ from covarium.functions.register import register
 from covarium.operators import compose, covariates, search, training, uncertainty
 from covarium.operators.ranking import dense_index
 from covarium.plans.catalogue import _SQL_GROUP, _SQL_ROUND, MERGE_SQL, U_SQL, V_SQL, _candidates, _pair_queries, _round, clinical, part_lines, query, t, toy_model
-from covarium.session import checkpoint_dir, delete
+from covarium.session import checkpoint_dir, delete, materialize
 from covarium.sources import corpus, model_store
 from covarium.streaming import counts
 
@@ -67,6 +67,32 @@ def command_corpus(spark: SparkSession, d: str) -> DataFrame:
     return corpus.read_lines(spark, f"{at}/corpus").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {_NOTE_SQL},
+r AS (SELECT p || ' ||| ' || e || ' ||| ' || unnest(ss) AS value, subject_id, row_id, unnest(range(len(ss))) AS pos FROM st)
+SELECT row_number() OVER (ORDER BY md5('shuffle-9-' || subject_id || '-' || row_id || '-' || pos), subject_id, row_id, pos) - 1 AS place, value FROM r""")
+def command_corpus_order(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus of all sentences by the `corpus` command with a shuffle seed: each line with its place in the files."""
+    at = scratch(spark)
+    corpus.write_parquet(covariates.merge_notes(*clinical(spark, d)), f"{at}/merged")
+    cli.sentence_step(spark, ["--input", f"{at}/merged", "--out", f"{at}/sentences"])
+    cli.corpus_step(spark, ["--input", f"{at}/sentences", "--out", f"{at}/corpus", "--shuffle-seed", "9"])
+    lines = spark.read.text(f"{at}/corpus").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return dense_index(materialize(lines, "lines"), [F.col("file"), F.col("block"), F.col("at")], "place").select(F.col("place").cast("bigint").alias("place"), "value")
+
+
+@query("""WITH l AS (SELECT lower(p_brand) AS p, 'size:' || p_size AS e, p_name || ' ' || lower(p_type) || ' ' || lower(p_brand) AS w FROM part),
+k AS (SELECT 'word' AS group_name, unnest(string_split(w, ' ')) AS token FROM l UNION ALL SELECT 'patient', p FROM l UNION ALL SELECT 'encounter', e FROM l),
+c AS (SELECT group_name, token, count(*) AS freq FROM k WHERE token <> '' GROUP BY ALL HAVING group_name <> 'word' OR count(*) >= 30)
+SELECT group_name, row_number() OVER (PARTITION BY group_name ORDER BY freq DESC, token) - 1 AS idx, token, freq FROM c UNION ALL SELECT 'epoch', i, '', 0 FROM range(1, 3) t(i)""")
+def command_train(spark: SparkSession, d: str) -> DataFrame:
+    """The `train` command: the vocabularies of the model that it stores, and the epochs of its metrics."""
+    at = scratch(spark)
+    part_lines(spark, d).select("value").write.text(f"{at}/lines")
+    metrics = cli.train(spark, [*"-d-word 4 -d-patient 2 -d-encounter 2 -d-out 4 -epoch 2 -threshold 30 -ngram-buckets 500 -maxn 4".split(), f"{at}/lines", f"{at}/model"])
+    vocab = model_store.load(spark, f"{at}/model").vocab.select("group_name", "idx", "token", "freq")
+    return vocab.unionByName(metrics.select(F.lit("epoch").alias("group_name"), F.col("epoch").cast("bigint").alias("idx"), F.lit("").alias("token"), F.lit(0).cast("bigint").alias("freq")))
+
+
 @query("""SELECT count(*) FILTER (length(value) > 0) AS n_lines, count(*) FILTER (len(string_split(value, ' ||| ')) = 3) AS n_grouped
     FROM (SELECT CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment || ' ||| ' || CASE WHEN c_custkey % 4 = 1 THEN '' ELSE 'x ||| ' END || c_name END AS value FROM customer)""")
 def count_corpus_file(spark: SparkSession, d: str) -> DataFrame:
