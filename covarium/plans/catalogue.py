@@ -386,7 +386,9 @@ def ngram_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {W_SQL},
 p AS (SELECT doc_id, len(words) AS n, unnest(range(len(words))) AS pos FROM w),
-q AS (SELECT doc_id, n, pos, ('0x' || substr(md5('42-' || doc_id || '-' || pos), 1, 8))::BIGINT % 5 + 1 AS win FROM p),
+x0 AS (SELECT doc_id, n, pos, (('0x' || substr(md5('42-' || doc_id), 1, 8))::BIGINT + pos * {skipgram.STEP}) & 4294967295 AS x FROM p),
+x1 AS (SELECT doc_id, n, pos, (xor(x, x >> {skipgram.MIX[0][1]}) * {skipgram.MIX[0][0]}) & 4294967295 AS x FROM x0), x2 AS (SELECT doc_id, n, pos, (xor(x, x >> {skipgram.MIX[1][1]}) * {skipgram.MIX[1][0]}) & 4294967295 AS x FROM x1),
+q AS (SELECT doc_id, n, pos, xor(x, x >> 15) % 5 + 1 AS win FROM x2),
 r AS (SELECT doc_id, pos, greatest(0, pos - win) AS lo, least(n - 1, pos + win) AS hi FROM q)
 SELECT doc_id, sum(hi - lo)::BIGINT AS n_pairs, sum((lo + hi) * (hi - lo + 1) // 2 - pos)::BIGINT AS ctx_pos_sum, sum(pos * (hi - lo))::BIGINT AS pos_sum FROM r WHERE hi > lo GROUP BY doc_id""")
 def skipgram_pairs(spark: SparkSession, d: str) -> DataFrame:
