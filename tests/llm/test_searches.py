@@ -7,11 +7,12 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from covarium.llm import bisection, importance, inner_products, lexical
+from covarium.llm import bisection, importance, inner_products, lexical, queries
 from covarium.llm.terms import cut
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -201,3 +202,19 @@ def test_resampling_of_empty_tables(spark):
     assert importance.resample(none, docs).count() == 0
     assert importance.resample(docs, none, share=50).filter("rank = 1").count() == 1
     assert importance.resample(docs, docs, share=100, keep_text=True).filter("rank is not null").select("text").count() == 2
+
+
+# ---------------------------------------------------------------- the queries and their SQL
+
+
+@pytest.mark.parametrize("name, keys", [("op11_top_k", ("query_id", "rank")), ("op12_lexical_search", ("item_id", "rank")), ("op13_importance_resampling", ("doc_id",))])
+def test_queries_equal_their_sql(spark, name, keys):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    rows = sorted(want.fetchall(), key=repr)
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(*columns).collect()
+    assert sorted(map(tuple, got), key=repr) == rows and rows
+    assert len({tuple(r[columns.index(k)] for k in keys) for r in rows}) == len(rows)
