@@ -9,6 +9,7 @@ divided by those of all tasks together. What a round's tasks need doesn't depend
 
 Within a task, lines are worked off `batch` at a time with matrix products: centres meet all tree nodes of their contexts at once, in tiles of at most `CELLS` pairs of a centre and a node, whatever a line's length. The
 nodes' rows are as old as the batch; a node that many pairs of a batch visit takes a shortened step, as one solved for at its end would be. A batch of one line is nearest to a sequential trainer.
+Batches are counted from a task's first line, in whatever pieces its lines arrive: a batch larger than a piece adds up its moves and makes them once it is full.
 
 All draws (initial values, windows, subsampling, which task gets a line) are integer hashes of stable numbers, so they depend neither on partitions nor on batches, a task that is run again after a lost executor gives
 the same differences, and other engines can state them.
@@ -211,13 +212,13 @@ def tiles(visits: np.ndarray, nodes: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def train_batch(p: Params, lex: Lexicon, cfg: Config, lr: float, group: tuple, line: np.ndarray, word: np.ndarray, centre: np.ndarray, context: np.ndarray) -> tuple[float, int]:
-    """One batch in place; returns (loss, predictions). group: (start, tokens) of the patient and of the encounter tokens of each line; centre: rising places in `word`.
+def batch_moves(p: Params, lex: Lexicon, cfg: Config, lr: float, group: tuple, line: np.ndarray, word: np.ndarray, centre: np.ndarray, context: np.ndarray) -> tuple[float, int, dict]:
+    """What lines of a batch move, from the rows as they are: (loss, predictions, (rows, moves) by matrix, where rows may repeat and None is all rows). `short`: by how much the steps of tree nodes are shortened.
 
-    All moves are made at the end, from the rows as they were, so tiles don't show in the result.
+    group: (start, tokens) of the patient and of the encounter tokens of each line; centre: rising places in `word`.
     """
     if not len(centre):
-        return 0.0, 0
+        return 0.0, 0, {}
     kind = p.output.dtype
     (ps, pt), (es, et) = group
     own, of = np.unique(word, return_inverse=True)
@@ -273,31 +274,79 @@ def train_batch(p: Params, lex: Lexicon, cfg: Config, lr: float, group: tuple, l
         for out, part in zip(lines, (q[:, cfg.d_word : mid], q[:, mid:]), strict=True):
             _add_rows(out, line[here], part)
     move, short, *nodes = whole
-    move /= (1 + short)[:, None]
-    if nodes:
-        p.output[nodes[0]] += move
-    else:
-        p.output += move
-    p.W_proj += turn
-    p.input[own] += moved
-    _add_rows(p.ngram, grams, moved[owner])
-    for m, start, tokens, per_line in ((p.patient, ps, pt, lines[0]), (p.encounter, es, et, lines[1])):
+    nodes = nodes[0] if nodes else None
+    found = {"output": (nodes, move), "short": (nodes, short), "W_proj": (None, turn), "input": (own, moved), "ngram": (grams, moved[owner])}
+    for name, start, tokens, per_line in (("patient", ps, pt, lines[0]), ("encounter", es, et, lines[1])):
         count = np.diff(start)
-        _add_rows(m, tokens, np.repeat(per_line / np.maximum(count, 1)[:, None], count, axis=0))
+        found[name] = tokens, np.repeat(per_line / np.maximum(count, 1)[:, None], count, axis=0)
+    return loss, preds, found
+
+
+class Batch:
+    """The batch that lines are being added to. Its moves are made when it is full, so neither tiles nor pieces show in the result."""
+
+    def __init__(self, p: Params, size: int):
+        self.p, self.size, self.lines = p, size, 0
+        self.one: dict = {}
+        self.all: dict = {}
+
+    def add(self, found: dict, lines: int) -> None:
+        """Moves of so many more lines."""
+        self.lines += lines
+        if found and not (self.one or self.all):
+            self.one = found
+        elif found:
+            if not self.all:
+                self.all = {k: np.zeros_like(getattr(self.p, k)) for k in NAMES} | {"short": np.zeros(len(self.p.output), self.p.output.dtype)}
+                self._sum(self.one)
+                self.one = {}
+            self._sum(found)
+        if self.lines >= self.size:
+            self.make()
+
+    def _sum(self, found: dict) -> None:
+        for k, (rows, moves) in found.items():
+            if rows is None:
+                self.all[k] += moves
+            else:
+                _add_rows(self.all[k], rows, moves)
+
+    def make(self) -> None:
+        found = self.one or {k: (None, v) for k, v in self.all.items()}
+        self.one, self.all, self.lines = {}, {}, 0
+        if not found:
+            return
+        found["output"][1][:] /= (1 + found.pop("short")[1])[:, None]
+        for k, (rows, moves) in found.items():
+            m = getattr(self.p, k)
+            if rows is None:
+                m += moves
+            else:
+                _add_rows(m, rows, moves)
+
+
+def train_batch(p: Params, lex: Lexicon, cfg: Config, lr: float, group: tuple, line: np.ndarray, word: np.ndarray, centre: np.ndarray, context: np.ndarray) -> tuple[float, int]:
+    """One whole batch in place; returns (loss, predictions). See `batch_moves`."""
+    loss, preds, found = batch_moves(p, lex, cfg, lr, group, line, word, centre, context)
+    Batch(p, 0).add(found, 0)
     return loss, preds
 
 
-def train_lines(p: Params, lex: Lexicon, cfg: Config, epoch: int, lr: float, sample: np.ndarray, words: tuple, patient: tuple, encounter: tuple) -> tuple[float, int]:
-    """All of these lines, batch by batch; returns (loss, predictions). Tokens come as (start, numbers) of all lines."""
+def train_lines(p: Params, lex: Lexicon, cfg: Config, epoch: int, lr: float, sample: np.ndarray, words: tuple, patient: tuple, encounter: tuple, batch: Batch | None = None) -> tuple[float, int]:
+    """All of these lines, batch by batch; returns (loss, predictions). Tokens come as (start, numbers) of all lines. `batch`: the one that earlier lines left open, and that later ones may fill; without it the last batch ends here."""
     line, word, centre, context = pairs_of(lex, cfg, epoch, sample, *words)
-    loss, preds = 0.0, 0
-    for a in range(0, len(sample), cfg.batch):
-        b = min(a + cfg.batch, len(sample))
+    loss, preds, a = 0.0, 0, 0
+    now = batch or Batch(p, cfg.batch)
+    while a < len(sample):
+        b = min(a + cfg.batch - now.lines, len(sample))
         c0, c1 = np.searchsorted(line, (a, b))
         p0, p1 = np.searchsorted(centre, (c0, c1))
         part = [(s[a : b + 1] - s[a], t[s[a] : s[b]]) for s, t in (patient, encounter)]
-        x, y = train_batch(p, lex, cfg, lr, part, line[c0:c1] - a, word[c0:c1], centre[p0:p1] - c0, context[p0:p1])
-        loss, preds = loss + x, preds + y
+        x, y, found = batch_moves(p, lex, cfg, lr, part, line[c0:c1] - a, word[c0:c1], centre[p0:p1] - c0, context[p0:p1])
+        now.add(found, b - a)
+        loss, preds, a = loss + x, preds + y, b
+    if batch is None:
+        now.make()
     return loss, preds
 
 
@@ -411,6 +460,7 @@ class _Task:
         self.number, self.cfg, self.epoch, self.lr = number, cfg, epoch, lr
         self.entries, self.params, self.p = [], {}, None
         self.loss, self.preds, self.lines = 0.0, 0, 0
+        self.batch = None  # open until it is full or the task's lines end
 
     def take(self, kind: int, b: pa.RecordBatch) -> None:
         key = b.column(2).to_numpy()
@@ -433,7 +483,7 @@ class _Task:
             got = self.params.pop(k, [])
             self.rows[k] = np.concatenate([r for r, _ in got]) if got else np.zeros(0, np.int64)
             setattr(self.p, k, np.concatenate([v for _, v in got]) if got else np.zeros((0, self.cfg.columns[k]), self.cfg.dtype))
-        self.old = self.p.copy()
+        self.old, self.batch = self.p.copy(), Batch(self.p, self.cfg.batch)
         self.lex = Lexicon(paths[0], np.searchsorted(self.rows["output"], paths[1]), codes[1], grams[0], grams[1], skip)
 
     def _learn(self, sample: np.ndarray, words: tuple, patient: tuple, encounter: tuple) -> None:
@@ -446,12 +496,13 @@ class _Task:
             ok = v >= 0
             return np.concatenate([[0], np.cumsum(ok)])[start], np.searchsorted(rows, v[ok])
 
-        loss, preds = train_lines(self.p, self.lex, self.cfg, self.epoch, self.lr, sample, (words[0], ids), known(patient, self.rows["patient"]), known(encounter, self.rows["encounter"]))
+        loss, preds = train_lines(self.p, self.lex, self.cfg, self.epoch, self.lr, sample, (words[0], ids), known(patient, self.rows["patient"]), known(encounter, self.rows["encounter"]), self.batch)
         self.loss, self.preds, self.lines = self.loss + loss, self.preds + preds, self.lines + len(sample)
 
     def sent(self) -> Iterator[pa.RecordBatch]:
         if self.p is None:
             return
+        self.batch.make()
         n = len(NAMES)
         one = pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([0], pa.int64()), _list(np.array([0, 0]), np.zeros(0, self.cfg.dtype), pa.from_numpy_dtype(self.cfg.dtype))], names=["matrix", "row", "vec"])
         yield self._with(one, self.loss, self.preds, self.lines)

@@ -424,3 +424,48 @@ def test_corpus_commands(spark, tmp_path):
     flags = "-d-word 4 -d-patient 2 -d-encounter 2 -d-out 4 -epoch 1 -threshold 1 -ngram-buckets 100 -maxn 4".split()
     assert cli.main(["bootstrap-run", "--input", f"{p}/sentences", "--out", f"{p}/e", "--replicates", "1", *flags], spark) == 0
     assert sorted(model_store.load_ensemble(spark, p, "e")) == [0, 1]
+
+
+def test_batches_do_not_depend_on_the_pieces_in_which_lines_arrive():
+    """A batch that is larger than a piece, and pieces that cut batches anywhere, give what all lines at once do."""
+    rng = np.random.default_rng(3)
+    words = [rng.integers(-1, 4, rng.integers(1, 8)) for _ in range(23)]
+
+    def task(batch, pieces):
+        cfg = training.Config(**{**SMALL.__dict__, "precision": "double", "batch": batch, "grad_clip": 0.05})
+        lex = small_lexicon(cfg)
+        p = training.Params(cfg, 4, 2, 1, lex.buckets)
+        now, got = training.Batch(p, batch), np.zeros(2)
+        for a, b in zip([0, *pieces], [*pieces, 23]):
+            n = np.cumsum([0, *map(len, words[a:b])])
+            line = np.arange(b - a + 1)
+            got += training.train_lines(p, lex, cfg, 0, 0.1, np.arange(a, b), (n, np.concatenate(words[a:b])), (line, np.arange(a, b) % 2), (line, np.zeros(b - a, np.int64)), now)
+        now.make()
+        return got, p
+
+    for batch in (1, 4, 10**9):
+        (whole, p), (cut, q) = task(batch, []), task(batch, [1, 7, 8, 17])
+        assert cut == pytest.approx(whole, rel=1e-12) and whole[1] > 0
+        for k in MATRICES:
+            assert getattr(q, k) == pytest.approx(getattr(p, k), rel=1e-10, abs=1e-13), (batch, k)
+
+
+def test_a_round_does_not_depend_on_arrow_batches(spark):
+    """The rows of a task come in Arrow batches of any size; a training batch spans them."""
+    lines = [f"p{i % 3} ||| e{i % 2} ||| w{i % 5} w{i % 7} w{i % 11} w{i % 4}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, value string")
+    cfg = training.Config(**{**SMALL.__dict__, "precision": "double", "batch": 10**9, "tasks": 2, "epoch": 1, "chunk_size": 10**9})
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def rows(size):
+        spark.conf.set(key, size)
+        return {(r.matrix, r.row): list(r.vec) for r in training.train(df, cfg, key="id").params.collect()}
+
+    try:
+        whole, cut = rows("10000"), rows("17")
+    finally:
+        spark.conf.set(key, before)
+    assert whole.keys() == cut.keys()
+    for k, v in whole.items():
+        assert cut[k] == pytest.approx(v, rel=1e-9, abs=1e-12), k
