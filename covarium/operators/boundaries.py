@@ -17,10 +17,10 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from covarium.session import materialize, release, ship
 
@@ -28,6 +28,8 @@ from covarium.session import materialize, release, ship
 ABBREVIATION, STARTER, COLLOCATION, ALWAYS = 0.3, 30.0, 7.88, 0.99
 #: Types that a splitter sends to the tasks at most.
 MAX_TYPES = 1 << 20
+#: Texts and characters that a task cuts at a time, so that it holds Python strings of a few texts, not of an Arrow batch.
+PIECE, PIECE_CHARS = 64, 1 << 20
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 NUMBER = r"^[0-9.,:/-]+$"
 INITIAL = r"^\p{L}$"
@@ -124,6 +126,32 @@ def cut(text: str, short: set, starters: set, together: set) -> list[str]:
     return [*out, text[begin:]] if last is not None else []
 
 
+class Pairs:
+    """A set of pairs by their first; equal strings are held once."""
+
+    def __init__(self, firsts: list[str], seconds: list[str]):
+        same: dict[str, str] = {}
+        self.behind: dict[str, set[str]] = {}
+        for a, b in zip(firsts, seconds, strict=True):
+            self.behind.setdefault(a, set()).add(same.setdefault(b, b))
+
+    def __contains__(self, pair: tuple[str, str]) -> bool:
+        return pair[1] in self.behind.get(pair[0], ())
+
+
+def cut_all(texts: pa.Array, short: set, starters: set, together: set | Pairs) -> pa.Array:
+    """The sentences of each text, a few texts at a time; none of a null or empty one."""
+    kind, out, some, chars = pa.list_(pa.string()), [], [], 0
+    for t in texts:
+        text = t.as_py()
+        some.append(cut(text, short, starters, together) if text else [])
+        chars += len(text or "")
+        if len(some) >= PIECE or chars >= PIECE_CHARS:
+            out.append(pa.array(some, kind))
+            some, chars = [], 0
+    return pa.concat_arrays([*out, pa.array(some, kind)])
+
+
 def splitter(found: Boundaries) -> Callable[[Column], Column]:
     """For `sentence_table`: cuts texts by what was learned. The tables are sent to the tasks after a check of their size."""
     spark = found.abbreviations.sparkSession
@@ -132,10 +160,12 @@ def splitter(found: Boundaries) -> Callable[[Column], Column]:
         raise ValueError(f"more than {MAX_TYPES} types passed a threshold")
     ship(spark)
     columns = [[c.to_pylist() for c in t.columns] for t in tables]
-    sent = spark.sparkContext.broadcast([set(columns[0][0]), set(columns[1][0]), set(zip(*columns[2], strict=True))])
+    sent = spark.sparkContext.broadcast([set(columns[0][0]), set(columns[1][0]), Pairs(*columns[2])])
 
-    @pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut(t, *sent.value) if t else [])
+    @arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = cut_all(texts, *sent.value)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return run

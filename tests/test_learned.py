@@ -238,3 +238,23 @@ def test_neighbours_in_groups_and_parts_equal_brute_force(spark, monkeypatch):
         near = [j for j in np.lexsort((np.arange(300), -np.round(sims, 12))) if v[j].any()][:9]
         assert [np.round(sims[j], 9) for _, j, _ in sorted(got[f"q{i}"])] == [np.round(sims[j], 9) for j in near] and all(t == f"w{j}" for _, j, t in got[f"q{i}"])
     assert search.nearest(c.limit(0).select(F.col("idx").alias("qid"), "vec"), c, 3).count() == 0
+
+
+def test_texts_are_cut_a_few_at_a_time():
+    """The sentences of a batch of texts are those of each text, while Python holds those of a few texts only."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    together = boundaries.Pairs(["approx", "approx", "b"], ["Five".lower(), "six", "six"])
+    assert ("approx", "six") in together and ("b", "five") not in together and ("c", "six") not in together
+    know = ({"approx"}, {"the"}, together)
+    one = "It took approx. five days. The rest was short! " * 200
+    texts = pa.array([None, "", *[f"{i} {one}" for i in range(1000)]])
+    tracemalloc.start()
+    got = boundaries.cut_all(texts, *know)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1002 and got[0].as_py() == got[1].as_py() == [] and len(boundaries.cut_all(texts[:0], *know)) == 0
+    assert all(got[i].as_py() == boundaries.cut(texts[i].as_py(), *know) for i in (2, 65, 66, 1001))
+    assert peak < 6 << 20  # all sentences as Python strings: 40 MB
