@@ -8,7 +8,7 @@
 A full stop before white space ends a sentence unless its token begins a collocation with the next one, or is an abbreviation or an initial whose next token is no starter in upper case, or is a number whose next token
 begins in lower case. `!` and `?` always end one.
 
-Learning takes two passes over the texts, each combined before it is shuffled; the tables that come out are as small as the vocabulary's part that passes the thresholds. Null and empty texts have no tokens.
+Learning takes one pass over the texts, combined before it is shuffled; the tables that come out are as small as the vocabulary's part that passes the thresholds. Null and empty texts have no tokens.
 """
 
 from __future__ import annotations
@@ -40,11 +40,16 @@ def type_of(token: Column) -> Column:
 
 
 def token_rows(texts: DataFrame, text_col: str) -> DataFrame:
-    """(type, stop, next) of every token: whether it ends in a full stop, and the type of the token behind it in its text."""
+    """(type, stop, next, n): how often a type comes with or without a full stop; with one, before which type behind it in its text (null: none).
+
+    Tokens are counted as they stand first, so types are made once for each different token (or pair) and not for every one.
+    """
     words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    cut = texts.select(F.transform(words, lambda w: F.struct(type_of(w).alias("type"), w.endswith(".").alias("stop"))).alias("w"))
-    behind = F.transform("w", lambda x, i: F.struct(x["type"].alias("type"), x["stop"].alias("stop"), F.get("w", i + 1)["type"].alias("next")))
-    return cut.select(F.explode_outer(behind).alias("t")).filter(F.col("t").isNotNull()).select("t.type", "t.stop", "t.next")
+    behind = F.transform("w", lambda x, i: F.struct(x.alias("token"), F.when(x.endswith("."), F.get("w", i + 1)).alias("behind")))
+    tokens = texts.select(words.alias("w")).select(F.explode_outer(behind).alias("t")).filter(F.col("t").isNotNull())
+    tokens = tokens.groupBy("t.token", "t.behind").agg(F.count(F.lit(1)).alias("n"))
+    typed = tokens.select(type_of(F.col("token")).alias("type"), F.col("token").endswith(".").alias("stop"), type_of(F.col("behind")).alias("next"), "n")
+    return typed.groupBy("type", "stop", "next").agg(F.sum("n").alias("n"))
 
 
 def _ll(k: Column, n: Column, p: Column) -> Column:
@@ -77,9 +82,9 @@ class Boundaries:
 
 
 def learn(texts: DataFrame, text_col: str = "TEXT") -> Boundaries:
-    rows = token_rows(texts, text_col)
-    types = materialize(rows.groupBy("type").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if("stop").cast("double").alias("k")), "types")
-    pairs = materialize(rows.filter("stop AND next IS NOT NULL").groupBy("type", "next").agg(F.count(F.lit(1)).cast("double").alias("both")), "pairs")
+    rows = materialize(token_rows(texts, text_col), "tokens")
+    types = materialize(rows.groupBy("type").agg(F.sum("n").cast("double").alias("n"), F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).cast("double").alias("k")), "types")
+    pairs = rows.filter("stop AND next IS NOT NULL").select("type", "next", F.col("n").cast("double").alias("both"))
     sums = types.agg(F.sum("n").alias("tokens"), F.sum("k").alias("stops"))  # one row
     word = F.col("type").rlike(r"\p{L}") & ~F.col("type").rlike(INITIAL)
     scored = types.filter(word & (F.col("k") > 0)).join(F.broadcast(sums)).withColumn("score", abbreviation_score(F.col("n"), F.col("k"), F.col("stops") / F.col("tokens"), F.col("type")))
@@ -96,7 +101,7 @@ def learn(texts: DataFrame, text_col: str = "TEXT") -> Boundaries:
     together = known.filter("open AND next <> ''").join(first, "type").join(freq, "next").join(facts).filter("both > 1 AND both / first > second / tokens")
     together = together.withColumn("score", association(F.col("both"), F.col("first"), F.col("second"), F.col("tokens"))).filter(F.col("score") >= COLLOCATION).select("type", "next", "score")
     out = Boundaries(short, materialize(starts, "starters"), materialize(together, "collocations"))
-    release(types, pairs)
+    release(types, rows)
     return out
 
 

@@ -258,3 +258,17 @@ def test_texts_are_cut_a_few_at_a_time():
     assert len(got) == 1002 and got[0].as_py() == got[1].as_py() == [] and len(boundaries.cut_all(texts[:0], *know)) == 0
     assert all(got[i].as_py() == boundaries.cut(texts[i].as_py(), *know) for i in (2, 65, 66, 1001))
     assert peak < 6 << 20  # all sentences as Python strings: 40 MB
+
+
+def test_tokens_are_counted_before_they_become_types(spark):
+    """(type, stop, next) with counts equal a plain loop, and the texts are read once."""
+    texts = ["Dr. Who came. (Then) he left. Dr. who", None, "", "end.", "Then DR. Who then, then."]
+    kind = lambda w: boundaries._TYPE_EDGE.sub("", w.lower())
+    want = {}
+    for t in texts:
+        w = (t or "").split()
+        for x, y in zip(w, [*w[1:], None]):
+            key = (kind(x), x.endswith("."), kind(y) if y is not None and x.endswith(".") else None)
+            want[key] = want.get(key, 0) + 1
+    got = boundaries.token_rows(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()
+    assert {(r.type, r.stop, r.next): r.n for r in got} == want and len(got) == len(want)
