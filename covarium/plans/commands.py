@@ -14,7 +14,7 @@ from covarium.functions.register import register
 from covarium.operators import compose, covariates, search, training, uncertainty
 from covarium.operators.ranking import dense_index
 from covarium.plans.catalogue import _SQL_GROUP, _SQL_ROUND, MERGE_SQL, U_SQL, V_SQL, _candidates, _pair_queries, _round, clinical, part_lines, query, t, toy_model
-from covarium.session import checkpoint_dir, delete, materialize
+from covarium.session import checkpoint_dir, delete
 from covarium.sources import corpus, model_store
 from covarium.streaming import counts
 
@@ -76,8 +76,7 @@ def command_corpus_order(spark: SparkSession, d: str) -> DataFrame:
     corpus.write_parquet(covariates.merge_notes(*clinical(spark, d)), f"{at}/merged")
     cli.sentence_step(spark, ["--input", f"{at}/merged", "--out", f"{at}/sentences"])
     cli.corpus_step(spark, ["--input", f"{at}/sentences", "--out", f"{at}/corpus", "--shuffle-seed", "9"])
-    lines = spark.read.text(f"{at}/corpus").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    return dense_index(materialize(lines, "lines"), [F.col("file"), F.col("block"), F.col("at")], "place").select(F.col("place").cast("bigint").alias("place"), "value")
+    return corpus.placed_lines(spark, f"{at}/corpus")
 
 
 @query("""WITH l AS (SELECT lower(p_brand) AS p, 'size:' || p_size AS e, p_name || ' ' || lower(p_type) || ' ' || lower(p_brand) AS w FROM part),

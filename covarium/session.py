@@ -77,11 +77,11 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write `df` as Parquet under the shared checkpoint folder and read it back: lineage is cut, and a lost executor loses nothing."""
+def materialize(df: DataFrame, name: str = "t", codec: str | None = None) -> DataFrame:
+    """Write `df` as Parquet under the shared checkpoint folder and read it back: lineage is cut, and a lost executor loses nothing. `codec`: of the files, for tables of much text."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/covarium-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     atexit.register(delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._covarium_path = path

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, ArrayType
 
 from covarium.functions.hashing import portable_int
 from covarium.functions.text import GROUP_SEP, split_groups, tokens
+from covarium.session import materialize
 
 ADMISSIONS = "HADM_ID long, ADMITTIME string, DISCHTIME string, ADMISSION_TYPE string, INSURANCE string, LANGUAGE string, RELIGION string, MARITAL_STATUS string, ETHNICITY string, HOSPITAL_EXPIRE_FLAG int"
 PATIENTS = "SUBJECT_ID long, DOB string, GENDER string"
@@ -59,6 +60,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.length("value") > 0)
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(place, value): all lines with their place in the files, in the order of the files' names. Lines stay where they are read: a split's lines are numbered as they come, and only a count for each split meets in one place."""
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = materialize(read, "lines", "zstd")  # numbers of splits hold for one reading
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).select("file", "block", "first", before.alias("before"))
+    return lines.join(F.broadcast(starts), ["file", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("place"), "value")  # one row for each split
+
+
 def count_lines(lines: DataFrame) -> int:
     """Lines that aren't empty, whether or not they parse."""
     return lines.filter(F.length("value") > 0).count()

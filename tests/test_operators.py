@@ -260,3 +260,37 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     got = {(r.group_name, r.token): r.freq for r in spark.table("running").collect()}
     batch = vocabulary.token_counts(corpus.counting_samples(corpus.read_lines(spark, str(tmp_path / "in"))))
     assert got == {(r.group_name, r.token): r.freq for r in batch.collect()} and got["word", "x"] == 6
+
+
+def test_rows_are_numbered_where_they_were_dealt(spark):
+    """Dense positions need one shuffle by ranges; neither a window nor a second shuffle moves the rows again."""
+    from covarium.operators.ranking import segmented_index
+
+    df = spark.range(1000).select(F.pmod(F.col("id") * 7919, F.lit(1009)).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    got = dense_index(df, [F.col("v")], "place", 7)
+    assert [(r.place, r.v) for r in got.orderBy("place").collect()] == list(enumerate(sorted(r.v for r in df.collect())))
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = segmented_index(df, ["g"], [F.col("v")], "place", 7)
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    by = {}
+    for r in sorted(df.collect(), key=lambda r: r.v):
+        by.setdefault(r.g, []).append(r.v)
+    assert {(r.g, r.place, r.v) for r in got.collect()} == {(g, i, v) for g, vs in by.items() for i, v in enumerate(vs)}
+
+
+def test_lines_have_their_places_in_the_files(spark, tmp_path):
+    """Files of many splits, several to a task and several tasks to a file."""
+    (tmp_path / "c").mkdir()
+    want = []
+    for i, n in enumerate((300, 0, 5, 900)):
+        lines = [f"line {j} of {i} " + "x" * (j % 13) if j % 10 else "" for j in range(n)]
+        (tmp_path / "c" / f"part-{i:05}").write_text("".join(x + "\n" for x in lines))
+        want += lines
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = corpus.placed_lines(spark, str(tmp_path / "c"))
+        assert "RepartitionByExpression" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert [(r.place, r.value) for r in got.orderBy("place").collect()] == list(enumerate(want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
