@@ -445,6 +445,12 @@ def _rows(matrix: int, rows: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), matrix, np.int32)), pa.array(rows, pa.int64()), vec], names=["matrix", "row", "vec"])
 
 
+def _none(cfg: Config) -> pa.RecordBatch:
+    """One row without values under the matrix number after the last, for facts."""
+    kind = pa.from_numpy_dtype(cfg.dtype)
+    return pa.RecordBatch.from_arrays([pa.array([len(NAMES)], pa.int32()), pa.array([0], pa.int64()), _list(np.array([0, 0]), np.zeros(0, cfg.dtype), kind)], names=["matrix", "row", "vec"])
+
+
 # ---------------------------------------------------------------- a round
 
 #: Kinds of rows that come to a task, in this order: vocabulary entries, parameters (the matrix's number is added), lines.
@@ -503,9 +509,7 @@ class _Task:
         if self.p is None:
             return
         self.batch.make()
-        n = len(NAMES)
-        one = pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([0], pa.int64()), _list(np.array([0, 0]), np.zeros(0, self.cfg.dtype), pa.from_numpy_dtype(self.cfg.dtype))], names=["matrix", "row", "vec"])
-        yield self._with(one, self.loss, self.preds, self.lines)
+        yield self._with(_none(self.cfg), self.loss, self.preds, self.lines)
         for m, k in enumerate(NAMES):
             d = getattr(self.p, k) - getattr(self.old, k)
             some = np.flatnonzero(d.any(axis=1))
@@ -546,14 +550,29 @@ def run_round(lines: DataFrame, lexicon: DataFrame, needed: DataFrame, params: D
     return rows.repartition(tasks, "task").sortWithinPartitions("task", "kind", "key").mapInArrow(run, f"matrix int, row long, {_vec(cfg)}, task int, loss double, preds long, lines long")
 
 
-def moved(params: DataFrame, deltas: DataFrame, active: int, cfg: Config) -> DataFrame:
-    """The parameters after a round: rows of sparse matrices move by the mean over the tasks that changed them, those of dense ones by the mean over the `active` tasks; then the projection decays."""
-    rows = params.select("matrix", "row", F.lit(-1).alias("task"), "vec").unionByName(deltas.filter(F.col("matrix") < len(NAMES)).select("matrix", "row", "task", "vec"))
+#: What a round's table of parameters has beside them: the sums of loss and predictions since the epoch began, in rows of a matrix number after the last.
+_FACTS = ("loss", "preds")
+
+
+def moved(params: DataFrame, deltas: DataFrame, active: int, cfg: Config, facts: bool = False) -> DataFrame:
+    """The parameters after a round: rows of sparse matrices move by the mean over the tasks that changed them, those of dense ones by the mean over the `active` tasks; then the projection decays.
+
+    With `facts`, both tables have loss and preds, and so has the result: what the tasks report is added up in the same job, and nobody need ask for it after each round.
+    """
+    more = _FACTS if facts else ()
+    if not facts:
+        params, deltas = params.select("matrix", "row", "vec"), deltas.filter(F.col("matrix") < len(NAMES))
+    rows = params.select("matrix", "row", F.lit(-1).alias("task"), "vec", *more).unionByName(deltas.select("matrix", "row", "task", "vec", *more))
     dense, shrink = [NAMES.index(k) for k in DENSE], 1 - cfg.weight_decay
 
+    def with_facts(b: pa.RecordBatch, loss: float = 0.0, preds: int = 0) -> pa.RecordBatch:
+        if not facts:
+            return b
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, loss)), pa.array(np.full(b.num_rows, preds, np.int64))], names=[*b.schema.names, *_FACTS])
+
     def done(m: int, row: np.ndarray, base: np.ndarray, sums: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         new = base + sums / np.maximum(1, active if m in dense else n)[..., None]
-        return _rows(m, row, (new * shrink if NAMES[m] == "W_proj" else new).astype(cfg.dtype))
+        return with_facts(_rows(m, row, (new * shrink if NAMES[m] == "W_proj" else new).astype(cfg.dtype)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of a batch, which the next one may go on with
@@ -562,6 +581,9 @@ def moved(params: DataFrame, deltas: DataFrame, active: int, cfg: Config) -> Dat
             cuts = np.flatnonzero(np.concatenate([[True], matrix[1:] != matrix[:-1], [True]])) if len(matrix) else [0]
             for a, e in zip(cuts, cuts[1:]):
                 m, r, own = int(matrix[a]), row[a:e], task[a:e] < 0
+                if m == len(NAMES):
+                    yield with_facts(_none(cfg), *[b.column(i).slice(a, e - a).to_numpy().sum() for i in (4, 5)])
+                    continue
                 v = _flat(b.column(3).slice(a, e - a), float)[1].reshape(e - a, -1)
                 first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
                 base, sums, n = (np.add.reduceat(x, first, axis=0) for x in (v * own[:, None], v * ~own[:, None], (~own).astype(np.int64)))
@@ -577,7 +599,7 @@ def moved(params: DataFrame, deltas: DataFrame, active: int, cfg: Config) -> Dat
         if held is not None:
             yield done(*held)
 
-    return rows.repartition("matrix", "row").sortWithinPartitions("matrix", "row", "task").mapInArrow(run, f"matrix int, row long, {_vec(cfg)}")
+    return rows.repartition("matrix", "row").sortWithinPartitions("matrix", "row", "task").mapInArrow(run, f"matrix int, row long, {_vec(cfg)}" + (", loss double, preds long" if facts else ""))
 
 
 def health(params: DataFrame) -> list[tuple[str, int, int]]:
@@ -626,24 +648,30 @@ def train(lines: DataFrame, cfg: Config, value: str = "value", key: str | None =
     by_round(dealt.repartition(tasks, "task"), "lines")
     dealt = spark.read.schema("sample long, a array<int>, b array<int>, c array<int>, task int, round int").parquet(f"{folder}/lines")
     used = dealt.select("round", "task", F.explode(F.filter(F.col("a").cast("array<bigint>"), lambda x: x >= 0)).alias("key")).distinct()
-    by_round(used.join(words, "key").select("round", "task", "key", "a", "b", "c", "x"), "lexicon")
+    by_round(used.join(words, "key").select("round", "task", "key", "a", "b", "c", "x").repartition("round", "task"), "lexicon")  # a file for each task, not one for each partition
     lexicon = spark.read.schema("task int, key long, a array<int>, b array<int>, c array<int>, x double, round int").parquet(f"{folder}/lexicon")
-    by_round(needs(dealt, lexicon, cfg), "needs")
+    by_round(needs(dealt, lexicon, cfg).repartition("round", "task"), "needs")
     needed = spark.read.schema("task int, matrix int, row long, round int").parquet(f"{folder}/needs")
     per_epoch = count_lines(lines.withColumnRenamed(value, "value")) if cfg.count_bad_lines else n
     total, step = cfg.epoch * per_epoch, 0
+    # a round's tasks and lines are known before it, so no round waits for an answer about the last one
+    about = {r.round: r for r in dealt.groupBy("round").agg(F.count_distinct("task").alias("active"), F.count(F.lit(1)).alias("lines")).collect()}  # one row for each round
+    state = params.withColumns({"loss": F.lit(0.0), "preds": F.lit(0).cast("bigint")})
     metrics = []
     for epoch in range(cfg.epoch):
-        began, loss, preds, lr = time.time(), 0.0, 0, cfg.lr
+        began, lr = time.time(), cfg.lr
         for r in range(rounds if n else 0):
             lr = learning_rate(cfg.lr, step, total)
             part = [t.filter(F.col("round") == r) for t in (dealt, lexicon, needed)]
-            deltas = materialize(run_round(*part, params, cfg, epoch, lr, tasks), "deltas")
-            facts = deltas.filter(F.col("matrix") == len(NAMES)).agg(F.count(F.lit(1)).alias("active"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("loss", "preds", "lines")]).first()
-            old, params = params, materialize(moved(params, deltas, facts.active, cfg), "params")
-            release(old, deltas)
-            loss, preds, step = loss + facts.loss, preds + facts.preds, step + facts.lines
+            deltas = run_round(*part, params, cfg, epoch, lr, tasks)
+            old, state = params, materialize(moved(state, deltas, about[r].active if r in about else 0, cfg, True), "params")
+            release(old)
+            params = state.filter(F.col("matrix") < len(NAMES)).select("matrix", "row", "vec")
+            params._covarium_path = state._covarium_path
+            step += about[r].lines if r in about else 0
         check_health(params, epoch + 1)
+        loss, preds = state.agg(*[F.sum(c) for c in _FACTS]).first()
+        state = params.withColumns({"loss": F.lit(0.0), "preds": F.lit(0).cast("bigint")})
         metrics.append((epoch + 1, loss / preds if preds else 0.0, preds, time.time() - began, lr))
     delete(spark, folder)
     release(words)

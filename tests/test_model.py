@@ -469,3 +469,17 @@ def test_a_round_does_not_depend_on_arrow_batches(spark):
     assert whole.keys() == cut.keys()
     for k, v in whole.items():
         assert cut[k] == pytest.approx(v, rel=1e-9, abs=1e-12), k
+
+
+def test_a_round_adds_up_what_its_tasks_report(spark):
+    """Loss and predictions go along with the parameters, so a round is one job: sums of the epoch so far and of all tasks, in one place beside unchanged parameters."""
+    cfg = training.Config(**{**SMALL.__dict__, "precision": "double"})
+    old, n = training.Params(cfg, 6, 2, 1, np.arange(5)), len(training.NAMES)
+    facts = "loss double, preds long"
+    rows = params_table(spark, old).selectExpr("*", "0D AS loss", "0L AS preds").unionByName(spark.createDataFrame([(n, 0, [], 1.5, 10)], f"matrix int, row long, vec array<double>, {facts}"))
+    deltas = spark.createDataFrame([(n, 0, [], 0, 2.0, 5), (n, 0, [], 1, 0.25, 7), (1, 3, [1.0] * 8, 1, 0.0, 0)], f"matrix int, row long, vec array<double>, task int, {facts}")
+    got = training.moved(rows.repartition(3), deltas.repartition(2), 2, cfg, True)
+    told = got.filter(f"matrix = {n}").collect()
+    assert sum(r.loss for r in told) == 3.75 and sum(r.preds for r in told) == 22
+    new = params_back(got.filter(f"matrix < {n}"), old)
+    assert new.input[3] == pytest.approx(old.input[3] + 1) and (new.output == old.output).all() and got.filter(f"matrix < {n} AND (loss <> 0 OR preds <> 0)").count() == 0
