@@ -32,6 +32,9 @@ USAGE = "usage: train [options] <training text> <output model>\n  " + "  ".join(
 #: Replicates of an ensemble that are fitted at a time.
 FITS = 4
 
+#: Columns of a sentence table that a line begins with.
+GROUPS = ["patient_group", "encounter_group"]
+
 
 class Usage(Exception):
     """A wrong command line; its text goes to standard error and the exit code is 1."""
@@ -182,20 +185,21 @@ def corpus_step(spark: SparkSession, argv: list[str]) -> DataFrame:
     p.add_argument("--out", required=True)
     p.add_argument("--bootstrap-seed", type=int, default=None)
     p.add_argument("--shuffle-seed", type=int, default=None)
+    p.add_argument("--compression", choices=("gzip", "none"), default="gzip", help="of the files of lines; the other commands read either, programs that want plain text need none")
     a = p.parse_args(argv)
-    write_corpus(spark.read.parquet(a.input), a.out, a.bootstrap_seed, a.shuffle_seed)
+    write_corpus(spark.read.parquet(a.input), a.out, a.bootstrap_seed, a.shuffle_seed, a.compression)
     return spark.read.text(a.out).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-def write_corpus(table: DataFrame, path: str, bootstrap_seed: int | None = None, shuffle_seed: int | None = None) -> None:
-    """Corpus lines of a sentence table, shuffled; with a bootstrap seed, of a resampled one."""
+def write_corpus(table: DataFrame, path: str, bootstrap_seed: int | None = None, shuffle_seed: int | None = None, compression: str = "gzip") -> None:
+    """Corpus lines of a sentence table, shuffled; with a bootstrap seed, of a resampled one. What is moved to its place is the line and the keys of its place."""
     if bootstrap_seed is None:
         rows, keys = resample.explode_sentences(table), ["SUBJECT_ID", "ROW_ID", "pos"]
     else:
         drawn = resample.bootstrap_notes(table, bootstrap_seed, "SUBJECT_ID", "ROW_ID")
-        rows, keys = resample.expand(drawn, table), ["SUBJECT_ID", "ROW_ID", "instance", "draw", "pos"]
-    rows = resample.shuffled(rows, resample.shuffle_seed(bootstrap_seed, shuffle_seed), keys)
-    corpus.write_lines(rows, path, corpus.line(F.col("patient_group"), F.col("encounter_group"), F.col("sentence")))
+        rows, keys = resample.expand(drawn, table, near=GROUPS), ["SUBJECT_ID", "ROW_ID", "instance", "draw", "pos"]
+    lines = rows.select(*keys, corpus.line(*map(F.col, GROUPS), F.col("sentence")).alias("value"))
+    corpus.write_lines(resample.shuffled(lines, resample.shuffle_seed(bootstrap_seed, shuffle_seed), keys), path, F.col("value"), compression)
 
 
 def bootstrap_run(spark: SparkSession, argv: list[str]) -> DataFrame:

@@ -42,9 +42,10 @@ def bootstrap_notes(notes: DataFrame, seed: int | None, patient: str, note: str,
     return second.join(numbered, [patient, "_note"]).select("replicate_id", "instance", "draw", patient, note)
 
 
-def expand(sample: DataFrame, table: DataFrame, patient: str = "SUBJECT_ID", note: str = "ROW_ID") -> DataFrame:
-    """All sentences of the drawn notes; a note drawn twice comes twice."""
-    return explode_sentences(sample.join(table, [patient, note]))
+def expand(sample: DataFrame, table: DataFrame, patient: str = "SUBJECT_ID", note: str = "ROW_ID", near: list[str] | None = None) -> DataFrame:
+    """All sentences of the drawn notes; a note drawn twice comes twice. `near`: columns by which a task sorts its notes first, so that rows which share long strings leave it one after the other and compress well when they are moved on."""
+    drawn = sample.join(table, [patient, note])
+    return explode_sentences(drawn.sortWithinPartitions(*near) if near else drawn)
 
 
 def shuffle_key(seed: int | Column, *keys: Column) -> Column:

@@ -103,8 +103,9 @@ def line(patient: Column, encounter: Column, words: Column) -> Column:
     return F.concat(F.coalesce(patient, e), F.lit(GROUP_SEP), F.coalesce(encounter, e), F.lit(GROUP_SEP), F.coalesce(words, e))
 
 
-def write_lines(df: DataFrame, path: str, value: Column) -> None:
-    df.select(value.alias("value")).write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, value: Column, compression: str = "none") -> None:
+    """`compression`: of the files, none or gzip; lines are read from either alike, but a task reads whole files of the latter."""
+    df.select(value.alias("value")).write.mode("overwrite").option("compression", compression).text(path)
 
 
 def query_triples(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -426,6 +426,21 @@ def test_corpus_commands(spark, tmp_path):
     assert sorted(model_store.load_ensemble(spark, p, "e")) == [0, 1]
 
 
+def test_corpus_files_are_compressed(spark, tmp_path):
+    """By default, with the lines of plain files in their order; what is moved to its place is one string and the keys of its place."""
+    p = str(tmp_path)
+    rows = [(i % 7, i, f"age_group:adult gender:{'fm'[i % 2]}", "mortality:alive", [f"the patient number {j} was seen on ward {i} today" for j in range(40)]) for i in range(50)]
+    spark.createDataFrame(rows, corpus.SENTENCES).write.parquet(f"{p}/sentences")
+    for name, more in (("whole", ["--shuffle-seed", "9"]), ("drawn", ["--bootstrap-seed", "7"])):
+        assert cli.main(["corpus", "--input", f"{p}/sentences", "--out", f"{p}/{name}", *more], spark) == 0
+        stored = sum(f.stat().st_size for f in (tmp_path / name).glob("part-*"))
+        assert cli.main(["corpus", "--input", f"{p}/sentences", "--out", f"{p}/{name}_plain", *more, "--compression", "none"], spark) == 0
+        lines = [line for f in sorted((tmp_path / f"{name}_plain").glob("part-*")) for line in f.read_text().splitlines()]
+        assert stored < sum(map(len, lines)) / 3
+        assert [r.value for r in corpus.placed_lines(spark, f"{p}/{name}").orderBy("place").collect()] == lines
+        assert sorted(r.value for r in corpus.read_lines(spark, f"{p}/{name}").collect()) == sorted(lines)
+
+
 def test_batches_do_not_depend_on_the_pieces_in_which_lines_arrive():
     """A batch that is larger than a piece, and pieces that cut batches anywhere, give what all lines at once do."""
     rng = np.random.default_rng(3)

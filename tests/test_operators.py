@@ -225,6 +225,15 @@ def test_expand_keeps_repeats(spark):
     assert sorted(r.sentence for r in resample.expand(drawn, table).collect()) == ["a", "a", "b", "b"]
 
 
+def test_expand_brings_like_notes_together(spark):
+    table = spark.createDataFrame([(i, i, f"g{i * 7 % 5}", ["a", "b"]) for i in range(60)], "SUBJECT_ID long, ROW_ID long, g string, Sentences array<string>")
+    drawn = spark.createDataFrame([(i, i) for i in [*range(60), 3]], "SUBJECT_ID long, ROW_ID long")
+    got = resample.expand(drawn, table, near=["g"]).withColumn("part", F.spark_partition_id()).collect()
+    for part in {r.part for r in got}:
+        assert (gs := [r.g for r in got if r.part == part]) == sorted(gs)
+    assert sorted((r.ROW_ID, r.sentence) for r in got) == sorted((r.ROW_ID, r.sentence) for r in resample.expand(drawn, table).collect())
+
+
 def test_shuffle_is_seeded(spark):
     df = spark.range(200)
     a = [r.id for r in resample.shuffled(df, 1, ["id"]).collect()]
